@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemloom.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from itemloom.llm.toxicity import toxicity
 
@@ -31,5 +37,5 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_license_scan, op5_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op4_license_scan, op5_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
