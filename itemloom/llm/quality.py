@@ -33,15 +33,15 @@ class Rules:
     repeat_percent: int = 50
 
 
-def window_hashes(words: Words, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word's index and hash (salted by document) of each n-word window inside a document."""
+def window_hashes(words: Words, h: np.ndarray, n: int, by_doc: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """First word's index and hash of each n-word window inside a document; ``by_doc`` salts it by document."""
     if len(h) < n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * powers(_BASE, len(h)), out=sums[1:])
     first = np.flatnonzero(words.doc[n - 1 :] == words.doc[: len(h) - n + 1])
     value = (sums[first + n] - sums[first]) * powers(_INVERSE, len(h))[first]
-    return first, mix(value + words.doc[first].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    return first, mix(value + words.doc[first].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) if by_doc else value)
 
 
 def repeated(h: np.ndarray) -> np.ndarray:
