@@ -37,6 +37,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemloom.llm.ivfpq import search
+
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from itemloom.llm.simhash import hex_fingerprint, near_classes
 
@@ -44,5 +50,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_fingerprint("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op4_license_scan, op5_quality_rules, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op4_license_scan, op5_quality_rules, op8_nearest, op9_simhash)}
 ORACLE_SQL: dict[str, str] = {}
