@@ -37,6 +37,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemloom.llm.lm import score
+
+    # The deleted part is an eighth of the training documents, by another hash of the id.
+    out = score(_table(spark, sf_dir, "documents"), fold("doc_id", 5) != 1, F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0)
+    return out.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from itemloom.llm.ivfpq import search
 
@@ -50,5 +58,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_fingerprint("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op4_license_scan, op5_quality_rules, op8_nearest, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op4_license_scan, op5_quality_rules, op6_language_model, op8_nearest, op9_simhash)}
 ORACLE_SQL: dict[str, str] = {}
