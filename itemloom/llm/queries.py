@@ -58,5 +58,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_fingerprint("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op4_license_scan, op5_quality_rules, op6_language_model, op8_nearest, op9_simhash)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemloom.llm.langid import identify
+
+    out = identify(_table(spark, sf_dir, "documents"), fold("doc_id", 5) != 0)
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op4_license_scan, op5_quality_rules, op6_language_model, op8_nearest, op9_simhash, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
