@@ -25,6 +25,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemloom.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from itemloom.llm.licenses import scan
 
@@ -65,5 +71,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op4_license_scan, op5_quality_rules, op6_language_model, op8_nearest, op9_simhash, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_packing, op4_license_scan, op5_quality_rules, op6_language_model, op8_nearest, op9_simhash, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
