@@ -1,7 +1,7 @@
 """Order-preserving packing of tokenised documents into windows, by dynamic programming.
 
 Documents of a partition stand one after another.  Windows are cut from that sequence at document
-ends or sentence ends (and, where a stretch without either is longer than a window, at forced
+ends, sentence ends or clause ends (and, where a stretch without either is longer than a window, at forced
 places).  With s_j the tokens before place j, and p_j the penalty of cutting there,
 
     f_j = p_j + min over i with s_j - s_i <= window of f_i + window - (s_j - s_i)
@@ -39,8 +39,9 @@ class Packing:
     tokenizer: str = public_tokenizers.path("word_bpe_49k.json")
     window: int = 2048
     end_id: int = 1
-    #: Tokens of padding that avoiding one cut is worth: inside a document at a sentence's end, and elsewhere.
+    #: Tokens of padding that avoiding one cut is worth: inside a document at a sentence's or clause's end, and elsewhere.
     sentence_penalty: float = 1.0
+    clause_penalty: float = 3.0
     forced_penalty: float = 64.0
     block_chars: int = 1 << 20
     cache: int = 500_000
@@ -59,7 +60,8 @@ class Encoder:
 
         self.tokenizer, self.cache, self.known = Tokenizer.from_file(path), cache, {"": b""}
         vocabulary = self.tokenizer.get_vocab()
-        self.sentence_ends = np.array(sorted(i for t, i in vocabulary.items() if (w := t.removesuffix("</w>")) and t != w and set(w) <= set(".!?")), np.uint32)
+        ending = lambda marks: np.array(sorted(i for t, i in vocabulary.items() if (w := t.removesuffix("</w>")) and t != w and set(w) <= set(marks)), np.uint32)
+        self.sentence_ends, self.clause_ends = ending(".!?"), ending(",;:")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = []
@@ -83,10 +85,10 @@ def _encoder(path: str, cache: int) -> Encoder:
     return Encoder(path, cache)
 
 
-def cut_places(ids: np.ndarray, document_ends: np.ndarray, sentence_ends: np.ndarray, p: Packing) -> tuple[np.ndarray, np.ndarray]:
+def cut_places(ids: np.ndarray, document_ends: np.ndarray, encode: Encoder, p: Packing) -> tuple[np.ndarray, np.ndarray]:
     """Places (tokens before them) where a cut may be, first 0 and last the end, and their penalties."""
-    ends = np.flatnonzero(np.isin(ids, sentence_ends)) + 1
-    places = np.unique(np.concatenate(([0], ends, document_ends)))
+    sentences, clauses = (np.flatnonzero(np.isin(ids, e)) + 1 for e in (encode.sentence_ends, encode.clause_ends))
+    places = np.unique(np.concatenate(([0], sentences, clauses, document_ends)))
     gaps = np.diff(places)
     long = np.flatnonzero(gaps > p.window)
     forced = [np.arange(places[i] + p.window // 8, places[i + 1], p.window // 8) for i in long]
@@ -94,6 +96,7 @@ def cut_places(ids: np.ndarray, document_ends: np.ndarray, sentence_ends: np.nda
     hard = np.concatenate(forced) if forced else np.zeros(0, np.int64)
     every = np.unique(np.concatenate((places, hard)))
     penalty = np.full(len(every), p.sentence_penalty)
+    penalty[np.isin(every, clauses)] = p.clause_penalty
     penalty[np.isin(every, hard)] = p.forced_penalty
     penalty[np.isin(every, free)] = 0.0
     return every, penalty
@@ -145,7 +148,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: Packing
             size = np.array([len(h[1]) // 4 for h in held], np.int64)
             ends = np.cumsum(size)
             raw = b"".join(h[1] for h in held)
-            cuts = best_cuts(*cut_places(np.frombuffer(raw, "<u4"), ends, encode.sentence_ends, p), p.window)
+            cuts = best_cuts(*cut_places(np.frombuffer(raw, "<u4"), ends, encode, p), p.window)
             final = len(cuts) - 1 if last else max(len(cuts) - 3, 0)
             begins, rows, k = ends - size, [], 0
             for a, b in zip(cuts[:final], cuts[1 : final + 1]):
