@@ -51,6 +51,13 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemloom.llm.mixing import Mixing, label_domain, mix
+
+    p = Mixing(max_rate=8.0)
+    return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), label_domain(), {"good": 0.90, "poor": 0.08, "toxic": 0.02}, p=p)
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from itemloom.llm.ivfpq import search
 
@@ -71,5 +78,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_packing, op4_license_scan, op5_quality_rules, op6_language_model, op8_nearest, op9_simhash, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_packing, op4_license_scan, op5_quality_rules, op6_language_model, op7_mixing, op8_nearest, op9_simhash, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}

@@ -232,23 +232,26 @@ def _merge(spans: list, length: int, size: int) -> list[tuple[int, int]]:
     return [(a, min(b, size)) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400, hot: int = 20_000, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400, hot: int = 20_000, keep: list[str] | None = None) -> DataFrame:
     """Removes each byte of a text covered by a ``length``-byte string that starts anywhere else too.
 
     Elsewhere includes the same text, overlapping or not; strings never cross texts, and all are
     judged on the input.  Null text counts as empty.  Of rows that repeat, each is elsewhere for
-    the other, so both go; a table with one short text, or none, is returned unchanged.  Columns
-    of docs other than ``id_col`` and ``text`` are ignored.
+    the other, so both go; a table with one short text, or none, is returned unchanged.
 
-    Columns: id_col, n_bytes, n_removed, n_spans, spans (array of start, end), kept_sha256, and
-    with ``keep_text`` kept, the bytes that stay.
+    Columns: id_col, n_bytes, n_removed, n_spans, spans (array of start, end), kept_sha256.  With
+    ``keep``, a list of further columns of docs, also kept (the bytes that stay, as text; a character
+    of which only a part stays goes) and ``keep``'s columns as c0, c1, ...
     """
     space = Workspace(docs.sparkSession)
-    rows = docs.select(_row_key(docs, id_col, text).alias("uid"), F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(_row_key(docs, id_col, text).alias("uid"), F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep or [])])
     starts = repeated_starts(rows.select("uid", "text"), length, hot, space)
     spans = starts.distinct().groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # bounded by the text's length
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept_sha256 string" + ", kept binary" * keep_text
+    more = [f"c{i}" for i in range(len(keep or []))]
+    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept_sha256 string"
+    if keep is not None:
+        schema = ", ".join([schema, "kept string", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in more)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_ = zstandard.ZstdDecompressor().decompress
@@ -259,10 +262,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 gone = [] if runs is None else _merge(list(runs), length, len(raw))
                 edges = [0, *(e for span in gone for e in span), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out.append((key, len(raw), len(raw) - len(kept), len(gone), [{"start": a, "end": b} for a, b in gone], hashlib.sha256(kept).hexdigest(), kept))
+                out.append((key, len(raw), len(raw) - len(kept), len(gone), [{"start": a, "end": b} for a, b in gone], hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep is not None else ""))
             result = pd.DataFrame(out, columns=[id_col, "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"])
             if result[id_col].isna().any():
                 result[id_col] = result[id_col].astype("Int64") if kind in ("bigint", "int") else result[id_col]
-            yield result if keep_text else result.drop(columns="kept")
+            yield result.drop(columns="kept") if keep is None else result.assign(**{c: frame[c] for c in more})
 
-    return pack(rows, ["id"]).join(spans, "uid", "left").select("id", "packed", "runs").mapInPandas(run, schema)
+    return pack(rows, ["id", *more]).join(spans, "uid", "left").select("id", "packed", "runs", *more).mapInPandas(run, schema)
