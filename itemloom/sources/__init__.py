@@ -1 +1 @@
-"""Item-bank analytics on Sparksources."""
+"""Readers of trees, page blocks, price tables and file fingerprints."""
