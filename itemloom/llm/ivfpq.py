@@ -86,7 +86,7 @@ def _unit(raw: np.ndarray) -> np.ndarray:
 
 def fit(rows: DataFrame, p: IvfPq) -> Index | None:
     """Centroids and codebooks from at most ``p.sample`` rows, those of the smallest hash of the id."""
-    sample = rows.orderBy(F.xxhash64("id", F.lit(p.seed)), "id").limit(p.sample).toPandas().sort_values("id")
+    sample = rows.orderBy(F.xxhash64("id", F.lit(p.seed)), "id").limit(p.sample).toArrow().to_pandas().sort_values("id")
     if not len(sample):
         return None
     x = _unit(np.stack(sample["vector"].to_numpy()))

@@ -163,7 +163,7 @@ def lexicon(rows: DataFrame, labels: list[str]) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"cell": at, "n": total[at]})
 
-    counts = rows.mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     dense = np.zeros((1 << LEXICON_BITS) * width)
     dense[counts["cell"].to_numpy(np.int64)] = counts["n"]
     dense = dense.reshape(-1, width)
@@ -229,7 +229,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str =
     model = None
     if labels:
         chosen = rows.select("id", "lang").orderBy(F.xxhash64("id", "lang"), "id").limit(p.sample)
-        sample = rows.join(F.broadcast(chosen.distinct()), ["id", "lang"], "left_semi").limit(2 * p.sample).toPandas().sort_values("id", kind="stable").reset_index(drop=True)
+        sample = rows.join(F.broadcast(chosen.distinct()), ["id", "lang"], "left_semi").limit(2 * p.sample).toArrow().to_pandas().sort_values("id", kind="stable").reset_index(drop=True)
         model = fit(sample, labels, lexicon(rows.select("text", "lang"), labels), p)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of features x labels
 

@@ -116,7 +116,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str,
     known = known.groupBy(id_col).agg(F.min("domain").alias("domain"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(p.max_examples)
     rows = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)
-    sample = rows.dropDuplicates([id_col]).toPandas().sort_values(id_col, kind="stable").reset_index(drop=True)
+    sample = rows.dropDuplicates([id_col]).toArrow().to_pandas().sort_values(id_col, kind="stable").reset_index(drop=True)
     model = fit(sample, p)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # features x domains: a fixed size
 

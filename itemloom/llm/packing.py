@@ -16,6 +16,7 @@ their tokens are carried into the next block.  Only a partition's last window ca
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -31,8 +32,6 @@ from pyspark.sql import functions as F
 
 from itemloom.llm.textops import frames
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
 
 @dataclass(frozen=True)
 class Packing:
@@ -51,33 +50,69 @@ class Encoder:
     """Ids of texts as little-endian uint32 bytes; encodings of strings between white space are kept.
 
     The tokenizer drops white space and never joins what stands on its two sides, so the ids of
-    a text are those of its pieces; at most ``cache`` pieces are kept at a time.
+    a text are those of its pieces; at most ``cache`` pieces are kept at a time.  A piece of Latin
+    letters, with or without closing punctuation, is one or two units for the tokenizer's BPE model, which is
+    asked directly; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str, cache: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.known = Tokenizer.from_file(path), cache, {"": b""}
+        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        self.known: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         ending = lambda marks: np.array(sorted(i for t, i in vocabulary.items() if (w := t.removesuffix("</w>")) and t != w and set(w) <= set(marks)), np.uint32)
         self.sentence_ends, self.clause_ends = ending(".!?"), ending(",;:")
+        # How the tokenizer's byte level writes each byte: printable Latin-1 as itself, the rest from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.written = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word of composed Latin letters; None for any other."""
+        if not word.isalpha() or max(word) >= "\u0250" or "\u0130" in word or not unicodedata.is_normalized("NFC", word):
+            return None
+        text = word.lower()
+        if not text.isascii():
+            text = "".join([self.written[b] for b in text.encode()])
+        return np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
+
+    def _whole(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: bytes) -> bytes:
+        known = self.known
+        base = piece.rstrip(b".,;:!?")
+        if (ids := known.get(base) if base else None) is None:
+            try:
+                ids = self._word(base.decode()) if base else None
+            except UnicodeDecodeError:
+                ids = None
+            if ids is None:
+                return self._whole(piece.decode("utf-8", "replace"))
+            known[base] = ids
+        elif piece != base and not base.decode().isalpha():
+            return self._whole(piece.decode("utf-8", "replace"))
+        if piece == base:
+            return ids
+        marks = piece[len(base) :]
+        if marks not in known:
+            known[marks] = self._whole(marks.decode())
+        return ids + known[marks]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = []
+        known, out = self.known, []
         for text in texts:
-            if "<|" not in text:  # else a special token's spelling might arise
-                text = text.translate(_LOWER)
-            cut.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-        if len(self.known) > self.cache:
-            self.known = {"": b""}
-        known = self.known
-        new = list({piece for pieces in cut for piece in pieces if piece not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[piece] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[piece] for piece in pieces]) for pieces in cut]
+            raw = text.encode("utf-8", "replace")
+            # Folding A-Z first might spell a special token, whose marks are the only ones that matter.
+            pieces = (raw if b"<|" in raw else raw.lower()).split()
+            for piece in set(pieces).difference(known):
+                known[piece] = self._piece(piece)
+            out.append(b"".join([known[piece] for piece in pieces]))
+            if len(known) > self.cache:
+                known.clear()
+        return out
 
 
 @lru_cache(maxsize=2)

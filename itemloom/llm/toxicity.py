@@ -102,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str
     """Fits on at most ``p.max_examples`` labelled documents, chosen by a hash of the id."""
     wanted = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("__y"))
     chosen = wanted.orderBy(F.xxhash64(id_col), id_col).limit(p.max_examples)
-    rows = featurise(docs.select(id_col, text).join(F.broadcast(chosen), id_col), text, [id_col, "__y"], p.bits).toPandas()
+    rows = featurise(docs.select(id_col, text).join(F.broadcast(chosen), id_col), text, [id_col, "__y"], p.bits).toArrow().to_pandas()
     rows = rows.sort_values(id_col, kind="stable")
     return fit(list(rows["features"]), [int(v > 0) for v in rows["__y"]], p)
 

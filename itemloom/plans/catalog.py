@@ -1,17 +1,18 @@
-"""The named queries and their DuckDB counterparts."""
+"""The named queries over the tables of a data folder, and their DuckDB counterparts.
 
-from __future__ import annotations
-
-from collections.abc import Callable
+Papers are orders and questions their lines (score: quantity, difficulty: ten times the discount);
+usage is the events table; the concept tree is region / nation / supplier; texts are documents.
+"""
 
-from pyspark.sql import DataFrame, SparkSession
+from __future__ import annotations
 
-Query = Callable[[SparkSession, str], DataFrame]
+from itemloom.plans import bank, evaluation, ingest, papers, similar, trees, usage  # noqa: F401  they register
+from itemloom.plans.registry import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
