@@ -63,7 +63,7 @@ def hamming(a: Column, b: Column) -> Column:
 def sign_bits(v: Column) -> Column:
     """A vector's signs packed into longs, 32 to each."""
     words = F.sequence(F.lit(0), F.greatest(F.floor((F.size(v) - 1) / 32), F.lit(0)).cast("int"))
-    word = lambda w: F.aggregate(F.transform(F.slice(v, w * 32 + 1, F.lit(32)), lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    word = lambda w: F.aggregate(F.transform(F.slice(v, w * 32 + 1, F.lit(32)), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
     return F.transform(words, word)
 
 

@@ -21,11 +21,14 @@ def kind_counts(questions: DataFrame, paper: str, kind: str) -> DataFrame:
 
 
 def rank_within(group: list[str], order: list[str], low: Column, high: Column, alone: float = 0.3) -> Column:
-    """A value rising evenly from low to high with a row's rank in its group; ``alone`` of the way if it is the only one."""
+    """A value rising evenly from low to high with a row's rank in its group; ``alone`` of the way if it is the only one.
+
+    Rounded half up; a billionth makes up for halves that binary fractions miss.
+    """
     w = Window.partitionBy(*group)
     n = F.count(F.lit(1)).over(w)
     rank = F.row_number().over(w.orderBy(*order)) - 1
-    return F.round(low + (high - low) * F.when(n > 1, rank / F.greatest(n - 1, F.lit(1))).otherwise(alone), 2)
+    return F.round(low + (high - low) * F.when(n > 1, rank / F.greatest(n - 1, F.lit(1))).otherwise(alone) + 1e-9, 2)
 
 
 def renumber(rows: DataFrame, group: list[str], order: list[str], name: str = "no") -> DataFrame:

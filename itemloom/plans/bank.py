@@ -121,7 +121,7 @@ def _meta(spark, d):
 
 
 @query(
-    f"""WITH m AS ({_META}), e AS (SELECT o_orderkey, list_transform(regexp_extract_all(school_year || ' ' || title, '(^|[^0-9])((19|20)[0-9][0-9])', 2), y -> y::INT) AS ys,
+    f"""WITH m AS ({_META}), e AS (SELECT o_orderkey, list_transform(regexp_extract_all(school_year || ' ' || title, '(^|[^0-9])((19|20)[0-9][0-9])', 2), lambda y: y::INT) AS ys,
     CASE WHEN school_year <> '' THEN '上' WHEN title LIKE '%下学期' THEN '下' ELSE '' END AS term, trim(regexp_extract(region, '^\\s*([^·•/]*)', 1)) AS province FROM m)
     SELECT o_orderkey, list_min(ys) AS first_year, list_contains(ys, 1997) AS in_1997, list_min(ys) < 1997 AS before_1997, term, province FROM e"""
 )
@@ -131,7 +131,7 @@ def year_term_extract(spark, d):
 
 
 @query(
-    """SELECT d.doc_id, coalesce(list_aggregate(list_sort(list_filter([CASE WHEN n_chars < 300 THEN 'short' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN quality IS NULL THEN 'unlabelled' END, CASE WHEN trim(text) = '' THEN 'empty' END], x -> x IS NOT NULL)), 'string_agg', ','), '') AS reasons
+    """SELECT d.doc_id, coalesce(list_aggregate(list_sort(list_filter([CASE WHEN n_chars < 300 THEN 'short' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN quality IS NULL THEN 'unlabelled' END, CASE WHEN trim(text) = '' THEN 'empty' END], lambda x: x IS NOT NULL)), 'string_agg', ','), '') AS reasons
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 )
 def review_reasons(spark, d):

@@ -20,7 +20,7 @@ _ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount"]
 
 @query(
     """SELECT l_orderkey AS paper, count(*) AS items, sum(l_quantity) AS total_score, max(o_orderdate) AS updated_at,
-    round(CASE WHEN sum(l_quantity) <> 0 THEN sum(round(l_discount * 100)::BIGINT * l_quantity::BIGINT)::DOUBLE / 10 / sum(l_quantity) ELSE avg(l_discount * 10) END, 2) AS avg_coef
+    round(CASE WHEN sum(l_quantity) <> 0 THEN sum(round(l_discount * 100)::BIGINT * l_quantity::BIGINT)::DOUBLE / 10 / sum(l_quantity) ELSE avg(l_discount * 10) END + 1e-9, 2) AS avg_coef
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"""
 )
 def paper_summary(spark, d):
@@ -29,7 +29,7 @@ def paper_summary(spark, d):
     each = lines.groupBy(F.col("l_orderkey").alias("paper")).agg(F.count(F.lit(1)).alias("items"), F.sum("l_quantity").alias("total_score"), F.sum(F.col("tenths") * F.col("l_quantity").cast("long")).alias("w"), F.avg("coef").alias("mean"))
     orders = table(spark, d, "orders", "o_orderkey", "o_orderdate")
     coef = F.when(F.col("total_score") != 0, F.col("w").cast("double") / 10 / F.col("total_score")).otherwise(F.col("mean"))
-    return each.join(orders, each.paper == orders.o_orderkey).select("paper", "items", "total_score", F.col("o_orderdate").cast("timestamp_ntz").alias("updated_at"), F.round(coef, 2).alias("avg_coef"))
+    return each.join(orders, each.paper == orders.o_orderkey).select("paper", "items", "total_score", F.col("o_orderdate").cast("timestamp_ntz").alias("updated_at"), F.round(coef + 1e-9, 2).alias("avg_coef"))
 
 
 @query("SELECT l_orderkey, string_agg(l_returnflag || ':' || n, ',' ORDER BY l_returnflag) AS kinds FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
@@ -58,7 +58,7 @@ _SORT = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_extendedp
 
 @query(
     f"""SELECT l_orderkey, l_linenumber, l_partkey, round((CASE kind WHEN 'A' THEN 0.12 WHEN 'N' THEN 0.2 ELSE 0.25 END)::DOUBLE + ((CASE kind WHEN 'A' THEN 0.55 WHEN 'N' THEN 0.65 ELSE 0.75 END)::DOUBLE - (CASE kind WHEN 'A' THEN 0.12 WHEN 'N' THEN 0.2 ELSE 0.25 END)::DOUBLE) *
-    CASE WHEN n > 1 THEN (r - 1)::DOUBLE / (n - 1) ELSE 0.3::DOUBLE END, 2) AS coef
+    CASE WHEN n > 1 THEN (r - 1)::DOUBLE / (n - 1) ELSE 0.3::DOUBLE END + 1e-9, 2) AS coef
     FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, kind) AS n, row_number() OVER (PARTITION BY l_orderkey, kind ORDER BY {_SORT}) AS r FROM ({_LINES}))"""
 )
 def baseline_difficulty(spark, d):

@@ -9,7 +9,7 @@ from itemloom.plans.registry import query
 from itemloom.sources.tables import table
 
 _NORM = "regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace({}, '_{{2,}}|＿+|—{{2,}}|（\\s*）|\\(\\s*\\)', '', 'g'), '\\\\[a-zA-Z]+', '', 'g'), '[\\s$\\\\{{}}]', '', 'g')), '\\p{{P}}', '', 'g')"
-_GRAMS = """SELECT {key}, g, count(*) AS n FROM (SELECT {key}, unnest(list_concat(list_transform(range(1, length(t)), i -> substr(t, i, 2)), list_transform(range(1, length(t) - 1), i -> substr(t, i, 3)))) AS g FROM {table}) GROUP BY 1, 2"""
+_GRAMS = """SELECT {key}, g, count(*) AS n FROM (SELECT {key}, unnest(list_concat(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)), list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))) AS g FROM {table}) GROUP BY 1, 2"""
 
 
 @query(f"SELECT item_id, {_NORM.format('text')} AS normal, length(text) AS n FROM benchmark")
@@ -60,7 +60,7 @@ def hybrid_scores(spark, d):
     return sim.blended(_lexical(spark, d), semantic).where("score > 0.05").select("ka", "kb", F.round("score", 3).alias("score"))
 
 
-@query("SELECT a.vec_id AS kq, b.vec_id AS kr, list_sum(list_transform(list_zip(a.embedding, b.embedding), z -> ((z[1] > 0) <> (z[2] > 0))::INT))::INT AS bits, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id < 10 AND b.vec_id < 200")
+@query("SELECT a.vec_id AS kq, b.vec_id AS kr, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: ((z[1] > 0) <> (z[2] > 0))::INT))::INT AS bits, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id < 10 AND b.vec_id < 200")
 def quantised_hamming(spark, d):
     rows = table(spark, d, "embeddings").where("vec_id < 200").withColumn("bits", sign_bits(F.col("embedding")))
     a = rows.where("vec_id < 10").select(F.col("vec_id").alias("kq"), "label", F.col("bits").alias("ba"), F.col("embedding").alias("va"))

@@ -124,9 +124,9 @@ _PRICE_ROWS = [(1, "m0", "2024-01-05", 2.0, 8.0, None), (2, "m0", "2024-01-15",
 
 
 @query(
-    f"""WITH p AS (SELECT * FROM {_PRICES} v(price_id, model, at, inp, outp, bound)), u AS (SELECT event_id, model, ts, tokens FROM ({_USAGE})),
-    back AS (SELECT event_id, price_id, inp, outp FROM u JOIN p ON u.model = p.model AND p.at <= u.ts QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY p.at DESC, price_id DESC) = 1),
-    fwd AS (SELECT event_id, price_id, inp, outp FROM u JOIN p ON u.model = p.model QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY p.at, price_id) = 1)
+    f"""WITH p AS (SELECT * FROM {_PRICES} v(price_id, model, since, inp, outp, bound)), u AS (SELECT event_id, model, ts, tokens FROM ({_USAGE})),
+    back AS (SELECT event_id, price_id, inp, outp FROM u JOIN p ON u.model = p.model AND p.since <= u.ts QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY p.since DESC, price_id DESC) = 1),
+    fwd AS (SELECT event_id, price_id, inp, outp FROM u JOIN p ON u.model = p.model QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY p.since, price_id) = 1)
     SELECT u.event_id, coalesce(b.price_id, f.price_id) AS price_id, round((tokens * coalesce(b.inp, f.inp)::DOUBLE + 10 * coalesce(b.outp, f.outp)::DOUBLE) / 1000000, 8) AS cost FROM u LEFT JOIN back b ON u.event_id = b.event_id LEFT JOIN fwd f ON u.event_id = f.event_id"""
 )
 def price_asof_cost(spark, d):
