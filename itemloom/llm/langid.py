@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm.textops import Block, Rolling, blocks, mix
+from itemloom.llm.workspace import small_batches
 
 CHAIN = 64
 GRAMS = (2, 3, 4)
@@ -223,6 +224,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str =
 
     Columns: id_col, lang_pred, score (the predicted label's share of all words' marginals).
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     labels = sorted(r["lang"] for r in rows.select("lang").distinct().collect())

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from itemloom.llm.textops import ALNUM, LOWER, Rolling, blocks
+from itemloom.llm.workspace import small_batches
 
 #: Plain phrases, and the label that each stands for.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -129,6 +130,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", phrases: dict[str
     first_word, last_word, base_labels, labels, score (1.0 if a template is accepted, else 0.5
     if a phrase is found, else 0.0).
     """
+    small_batches(docs.sparkSession)
     schema = ", ".join([f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep] + ["n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

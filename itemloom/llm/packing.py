@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm.textops import frames
+from itemloom.llm.workspace import small_batches
 
 
 @dataclass(frozen=True)
@@ -170,6 +171,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: Packing
     Columns: id_col, start (the document's tokens before the piece), length, ids_crc32 (of the ids as
     little-endian uint32), doc_tokens, sequence_id (unique: partition and number), offset (from 0, gapless).
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

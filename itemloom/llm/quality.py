@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from itemloom.llm.textops import NOT_SPACE, Block, Words, blocks, mix, powers
+from itemloom.llm.workspace import small_batches
 
 _BASE = 0xA0761D6478BD642F | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -98,6 +99,7 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text", rules: Rules =
     windows found twice or more), line_share and share_N for each n-gram length, reasons (sorted
     names of the rules that failed), base_failed, kept.
     """
+    small_batches(docs.sparkSession)
     sizes = sorted(rules.coverage)
     schema = ", ".join(
         [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm.textops import NOT_SPACE, blocks, mix, unique_per_doc
+from itemloom.llm.workspace import small_batches
 
 #: Letters and digits; everything else separates words, so that punctuation doesn't hide one.
 MEMBER = NOT_SPACE.copy()
@@ -135,5 +136,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
     are scored but not learnt from.  An empty table gives no rows; columns that aren't named
     here are ignored.
     """
+    small_batches(docs.sparkSession)
     model = train(docs, labels.select(id_col, label).where(learn), id_col, text, label, p)
     return score(docs, model, keep or [id_col], text, p)

@@ -17,11 +17,20 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bounds the session's Arrow batches by bytes, because texts can be long; a lower bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= size:
+        spark.conf.set(key, str(size))
+
+
 class Workspace:
     """Tables of one run: written as Parquet, read back without their lineage, dropped when used up."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self.path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
