@@ -62,7 +62,8 @@ class Automaton:
                 for k in range(int(m[2])):
                     if k >= int(m[1]):
                         exits.append(self._last)
-                    self.any_word[self._last] = self._new()
+                    state = self._last
+                    self.any_word[state] = self._new()
                 for state in exits:
                     self.empty[state].add(self._last)
             else:
