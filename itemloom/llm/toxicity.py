@@ -1,6 +1,6 @@
 """Toxicity scores from FTRL-proximal logistic regression.
 
-Features are presence of hashed words, word pairs and pairs with one word between them
+Features are presence of hashed words, their stems, word pairs and pairs with one word between them
 (skip-grams).  FTRL-proximal keeps a learning rate per coordinate and an L1 penalty that leaves
 most weights at exactly zero, so the model that goes to the executors is a short list of
 (index, weight) pairs whose length can't exceed ``2**bits``.
@@ -19,12 +19,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.textops import NOT_SPACE, blocks, mix, unique_per_doc
+from itemloom.llm.textops import NOT_SPACE, Rolling, blocks, mix, unique_per_doc
 from itemloom.llm.workspace import small_batches
 
 #: Letters and digits; everything else separates words, so that punctuation doesn't hide one.
 MEMBER = NOT_SPACE.copy()
 MEMBER[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
+#: Bytes of a word's stem; compounds and inflections share one.
+STEM = 6
 
 
 @dataclass(frozen=True)
@@ -43,8 +45,10 @@ class Ftrl:
 def _grams(block, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, feature) of all grams of a block, with repetitions."""
     words = block.words(MEMBER)
-    h, shift = words.hashes(), np.uint64(64 - bits)
-    docs, ids = [words.doc], [h >> shift]
+    rolling, shift = Rolling(block.buf), np.uint64(64 - bits)
+    h = words.hashes(rolling)
+    stems = rolling(words.start, np.minimum(words.end, words.start + STEM))
+    docs, ids = [words.doc, words.doc], [h >> shift, mix(stems * np.uint64(0x2545F4914F6CDD1D)) >> shift]
     for gap, salt in ((1, 0x5851F42D4C957F2D), (2, 0x14057B7EF767814F)):
         if len(h) > gap:
             near = words.doc[gap:] == words.doc[:-gap]

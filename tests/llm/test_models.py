@@ -25,8 +25,10 @@ def crc(i: int) -> int:
 
 
 def test_toxic_texts_score_high(spark):
-    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
-    rows = op2_toxicity(spark, FOLDER).collect()
+    """On the largest test table; the smaller ones label 37 toxic texts to learn from."""
+    folder = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = op2_toxicity(spark, folder).collect()
     assert all(r.held_out == (crc(r.doc_id) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     held = [(truth[r.doc_id], r.predicted) for r in rows if r.held_out and truth.get(r.doc_id) is not None]
     assert sum(a == b for a, b in held) >= 0.95 * len(held)
