@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.textops import Rolling, blocks, mix
+from itemloom.llm.textops import Rolling, blocks, mix, trim
 from itemloom.llm.workspace import Workspace
 
 TRIGGER = 24
@@ -160,6 +160,8 @@ def _by_order(contexts: DataFrame, length: int, batch: int = 1500) -> DataFrame:
                 kept = kept[cut:].reset_index(drop=True)
         if kept is not None and len(kept):
             yield _equal_windows(kept.drop_duplicates(["trigger", "context"]).reset_index(drop=True), length)
+        del kept
+        trim()
 
     return contexts.repartition("trigger").sortWithinPartitions("trigger").mapInPandas(run, _STARTS)
 

@@ -8,11 +8,13 @@ one document if that is longer), not by the partition's.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 BLOCK_BYTES = 1 << 19
 _MASK = (1 << 64) - 1
@@ -39,14 +41,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**k mod 2**64 for k < n, kept for the largest n asked for up to a few MB."""
+    """base**k mod 2**64 for k < n, kept for the largest n asked for up to some MB."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(n, BLOCK_BYTES + 4096)
         have = np.full(size, base & _MASK, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 4 * BLOCK_BYTES:
+        if size <= 2 * BLOCK_BYTES:
             _powers[base] = have
     return have[:n]
 
@@ -112,6 +114,13 @@ def utf8(texts: pd.Series) -> list[bytes]:
     return [x.encode("utf-8", "surrogatepass") if isinstance(x, str) else b"" for x in texts]
 
 
+def trim() -> None:
+    """Gives free memory back to the system, because Spark keeps Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    if (release := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        release(0)
+
+
 def frames(batches: Iterator[pd.DataFrame], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pd.DataFrame]:
     """The same rows in frames of about ``limit`` characters, or of one longer document."""
     for batch in batches:
@@ -121,6 +130,7 @@ def frames(batches: Iterator[pd.DataFrame], text: str = "text", limit: int = BLO
         part = np.cumsum(sizes) // limit
         for cut in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(part)) + 1):
             yield batch.iloc[cut].reset_index(drop=True)
+    trim()
 
 
 def blocks(batches: Iterator[pd.DataFrame], text: str = "text", lower: bool = True, limit: int = BLOCK_BYTES, fold=None) -> Iterator[Block]:
