@@ -23,25 +23,13 @@ from pyspark.sql import functions as F
 
 from itemloom.llm.components import components
 from itemloom.llm.quality import window_hashes
-from itemloom.llm.textops import ALNUM, NOT_SPACE, blocks, mix, unique_per_doc, utf8
+from itemloom.llm.textops import ALNUM, Block, blocks, mix, unique_per_doc, utf8
 from itemloom.llm.workspace import Workspace
 
 _BITS8 = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _SPACES = b"\t\n\x0b\x0c\r"
 
 
-def majority(doc: np.ndarray, h: np.ndarray, docs: int) -> np.ndarray:
-    """Per document, the 64 bits that are set in over half of its hashes."""
-    total = np.bincount(doc, minlength=docs)
-    octets = np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)
-    out = np.zeros(docs, np.uint64)
-    for k in range(8):
-        seen = np.bincount(doc * 256 + octets[:, k], minlength=docs * 256).reshape(docs, 256) @ _BITS8
-        bits = (2 * seen > total[:, None]).astype(np.uint64)
-        out |= (bits << np.arange(8 * k, 8 * k + 8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    return out
-
-
 def _text_fingerprint(raw: bytes, shingle: int, seed: int, part: int = 1 << 17) -> int:
     """Fingerprint of a text's word shingles; words are runs of anything but ASCII white space."""
     words = raw.lower().translate(bytes.maketrans(_SPACES, b" " * len(_SPACES))).split(b" ")
@@ -212,39 +200,87 @@ def hex_fingerprint(fp: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def sketches(rows: DataFrame, tables: int, shingle: int, words: int) -> DataFrame:
-    """Per row: ``tables`` fingerprints of the distinct words, and ``words`` of the distinct shingles.
+def _shingles(block: Block, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash of each distinct shingle, by document.
 
-    Words are lower-cased runs of letters and digits.  A text with fewer words than a shingle has
-    one shingle, the whole sequence; one without words has zeros.
+    Words are runs of letters and digits.  A text with fewer words than a shingle has one shingle,
+    the whole sequence; one without words has none.
     """
+    found, docs = block.words(ALNUM), len(block.start)
+    h, counts = found.hashes(), found.counts()
+    first, value = window_hashes(found, h, shingle, by_doc=False)
+    whole = np.zeros(docs, np.uint64)
+    place = np.arange(len(h)) - (np.cumsum(counts) - counts)[found.doc]
+    np.add.at(whole, found.doc, mix(h + place.astype(np.uint64)))
+    short = np.flatnonzero((counts > 0) & (counts < shingle))
+    doc, value, _ = unique_per_doc(np.concatenate((found.doc[first], short)), np.concatenate((value, whole[short])))
+    return doc, value
+
 
-    def many(doc: np.ndarray, h: np.ndarray, docs: int, n: int) -> np.ndarray:
-        doc, h, _ = unique_per_doc(doc, h)
-        return np.stack([majority(doc, mix(h * np.uint64(2 * k + 0x9E37FD1)), docs) for k in range(n)], axis=1).view(np.int64)
+def signatures(rows: DataFrame, shingle: int, bands: int, per_band: int) -> DataFrame:
+    """(uid, node, size, keys): hash and size of the set of lower-cased shingles, and a key a band of ``per_band`` minima.
+
+    A set without shingles has node 0 and no keys.
+    """
+    factors = np.random.default_rng(13).integers(1, 1 << 63, bands * per_band, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in blocks(batches, "text", fold=str.lower):
-            found, docs = block.words(ALNUM), len(block.start)
-            h, counts = found.hashes(), found.counts()
-            first, value = window_hashes(found, h, shingle, by_doc=False)
-            doc = found.doc[first]
-            whole = np.zeros(docs, np.uint64)
-            np.add.at(whole, found.doc, h)
-            short = np.flatnonzero((counts > 0) & (counts < shingle))
-            doc, value = np.concatenate((doc, short)), np.concatenate((value, whole[short]))
-            yield pd.DataFrame({"uid": block.frame["uid"], "fps": list(many(found.doc, h, docs, tables)), "sketch": list(many(doc, value, docs, words))})
+            doc, h = _shingles(block, shingle)
+            docs = len(block.start)
+            node, size, keys = np.zeros(docs, np.uint64), block.per_doc(doc), [[]] * docs
+            if len(doc):
+                at = np.flatnonzero(np.diff(doc, prepend=-1))
+                node[doc[at]] = mix(np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at) + size[doc[at]].astype(np.uint64))
+                band = mix(np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(at), 1)))
+                for k, factor in enumerate(factors):
+                    band[:, k // per_band] = mix(band[:, k // per_band] ^ np.minimum.reduceat(h * factor, at))
+                for i, row in zip(doc[at].tolist(), band.view(np.int64)):
+                    keys[i] = row
+            yield pd.DataFrame({"uid": block.frame["uid"], "node": node.view(np.int64), "size": size, "keys": keys})
+
+    return rows.mapInPandas(run, "uid long, node long, size long, keys array<long>")
+
+
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(node, set): the distinct shingles' hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in blocks(batches, "text", fold=str.lower):
+            doc, h = _shingles(block, shingle)
+            cut = np.searchsorted(doc, np.arange(1, len(block.start)))
+            yield pd.DataFrame({"node": block.frame["node"], "set": np.split(h.view(np.int64), cut)})
+
+    return rows.mapInPandas(run, "node long, set array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of ``similarity`` or more, counted exactly."""
+    left, right = (sets.select(F.col("node").alias(n), F.col("set").alias(s)) for n, s in (("a", "s1"), ("b", "s2")))
+    both = F.size(F.array_intersect("s1", "s2"))
+    return pairs.join(right, "b").join(left, "a").where(both / (F.size("s1") + F.size("s2") - both) >= similarity).select("a", "b")
+
+
+def near_roots(leaves: DataFrame, sets: DataFrame, similarity: float, space: Workspace) -> DataFrame:
+    """(node, root) of the components of similar nodes among those (key, node, size) that share a key."""
+    least = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("first"), F.col("size").alias("most"))).alias("x")
+    star = leaves.join(leaves.groupBy("key").agg(least).select("key", "x.first", "x.most"), "key").where("node <> first")
+    pairs = _alike(star, "size", "most", similarity).select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
+    return components(space.save(_verified(pairs, sets, similarity), "close"), space, "near")
+
 
-    return rows.mapInPandas(run, "uid long, fps array<long>, sketch array<long>")
+def _alike(pairs: DataFrame, n: str, m: str, similarity: float) -> DataFrame:
+    """Without the pairs whose sizes alone rule the similarity out."""
+    return pairs.where(F.least(n, m) / F.greatest(n, m) >= similarity)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 8, words: int = 8, budget: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 40, per_band: int = 6) -> DataFrame:
     """Keeps one document, that of the smallest id, of each group of near-duplicates.
 
     Documents are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is
-    ``similarity`` or more, as estimated (to within one standard error) from a SimHash sketch of
-    64 * ``words`` bits.  Candidates are trie links within ``budget`` bits in any of ``tables``
-    fingerprints of the documents' distinct words, which scattered edits change far less than shingles.
+    ``similarity`` or more.  Candidates share all minima of any of ``bands`` bands of ``per_band`` MinHashes of
+    these sets, so a pair of similarity s is one with probability 1 - (1 - s**per_band)**bands, wherever the
+    texts differ: 0.999995 at 0.8 for ideal hashes, more above.  Candidates are then compared exactly.
 
     Copies count as one node throughout; wordless and null texts are copies of each other.  Of
     rows that repeat, id included, one stays.  All columns of ``docs`` are returned unchanged.
@@ -252,23 +288,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     space = Workspace(docs.sparkSession)
     uid = F.xxhash64(F.col(id_col), F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(uid.alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    seen = space.save(sketches(rows, tables, shingle, words).withColumn("node", F.xxhash64("fps", "sketch")), "sketches")
-    nodes = seen.groupBy("node").agg(F.min("fps").alias("fps"), F.min("sketch").alias("sketch"))
-    leaves = nodes.select("node", F.posexplode("fps").alias("table", "fp"))
-    firsts = space.save(leaves.groupBy("table", "fp").agg(F.min("node").alias("node")), "firsts")
-    links = trie_links(firsts.select("table", "fp"), budget)
-    a = firsts.select("table", F.col("fp").alias("a"), F.col("node").alias("one"))
-    b = firsts.select("table", F.col("fp").alias("b"), F.col("node").alias("two"))
-    pairs = links.join(a, ["table", "a"]).join(b, ["table", "b"]).select("one", "two")
-    same = leaves.join(firsts.withColumnRenamed("node", "one"), ["table", "fp"]).select("one", F.col("node").alias("two"))
-    pairs = pairs.unionByName(same).where("one <> two").select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).distinct()
-    left, right = (nodes.select(F.col("node").alias(n), F.col("sketch").alias(s)) for n, s in (("one", "s1"), ("two", "s2")))
-    bits = 64 * words
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    limit = bits * share + math.sqrt(bits * share * (1 - share))
-    differ = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    close = pairs.join(left, "one").join(right, "two").where(differ <= limit).select(F.col("one").alias("a"), F.col("two").alias("b"))
-    roots = components(close, space, "near")
+    seen = space.save(signatures(rows, shingle, bands, per_band), "signatures")
+    nodes = seen.groupBy("node").agg(F.min("uid").alias("uid"), F.min("size").alias("size"), F.min("keys").alias("keys"))
+    leaves = space.save(nodes.select("uid", "node", "size", F.explode("keys").alias("key")), "leaves")
+    shared = leaves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    leaves = space.save(leaves.join(shared, "key", "left_semi"), "shared")
+    sets = space.save(shingle_sets(rows.join(leaves.select("uid", "node").distinct(), "uid").dropDuplicates(["node"]), shingle), "sets")
+    roots = near_roots(leaves.select("key", "node", "size"), sets, similarity, space)
     ids = docs.select(uid.alias("uid"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("id"))
     member = seen.select("uid", "node").join(roots, "node", "left").select("uid", F.coalesce("root", "node").alias("root"))
     chosen = ids.join(member, "uid").groupBy("root").agg(F.min(F.struct("id", "uid")).alias("best")).select("best.uid")

@@ -109,6 +109,48 @@ def test_different_texts_stay(spark):
     assert drop_near_duplicates(docs).count() == 30
 
 
+def shingles(text: str) -> set[tuple[str, ...]]:
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def similarity(a: str, b: str) -> float:
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def edits(rng: random.Random) -> dict[str, tuple[str, str]]:
+    """Pairs of similarity just over 0.8: text appended, a block replaced, single words changed."""
+
+    def fresh(n):
+        return ["w%d" % rng.randrange(5000) for _ in range(n)]
+
+    w = fresh(rng.randrange(150, 600))
+    n, at = len(w), len(w) // 3
+    block, single = int((n - 4) * 0.11) - 4, int((n - 4) * 0.022)
+    scattered = list(w)
+    for i in range(single):
+        scattered[10 + i * (n - 20) // single] = "other"
+    out = {"appended": w + fresh(int((n - 4) * 0.245)), "block": w[:at] + fresh(block) + w[at + block :], "scattered": scattered}
+    return {kind: tuple(" ".join([kind + x for x in part]) for part in (w, e)) for kind, e in out.items()}
+
+
+def test_recall_is_the_same_for_every_kind_of_edit(spark):
+    rng = random.Random(5)
+    pairs = [pair for _ in range(120) for pair in edits(rng).values()]
+    assert all(0.8 <= similarity(*pair) < 0.87 for pair in pairs)
+    docs = spark.createDataFrame([(10 * k + i, t) for k, pair in enumerate(pairs) for i, t in enumerate(pair)], "doc_id long, text string").repartition(8)
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == [10 * k for k in range(len(pairs))]
+
+
+def test_similarity_is_exact(spark):
+    """A hundred shingles: 12 appended words leave 100/112, 25 leave exactly 0.8, 26 leave 100/126."""
+    words = ["w%d" % i for i in range(200)]
+    for more, stay in ((12, 1), (25, 1), (26, 2)):
+        docs = spark.createDataFrame([(1, " ".join(words[:104])), (2, " ".join(words[: 104 + more]))], "doc_id long, text string")
+        assert drop_near_duplicates(docs, bands=64, per_band=2).count() == stay
+
+
 def test_hex(spark):
     row = spark.range(1).select(hex_fingerprint(F.lit(-1).cast("long")).alias("a"), hex_fingerprint(F.lit(10).cast("long")).alias("b")).first()
     assert (row.a, row.b) == ("f" * 16, "0" * 15 + "a")
