@@ -261,12 +261,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(right, "b").join(left, "a").where(both / (F.size("s1") + F.size("s2") - both) >= similarity).select("a", "b")
 
 
-def near_roots(leaves: DataFrame, sets: DataFrame, similarity: float, space: Workspace) -> DataFrame:
-    """(node, root) of the components of similar nodes among those (key, node, size) that share a key."""
-    least = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("first"), F.col("size").alias("most"))).alias("x")
-    star = leaves.join(leaves.groupBy("key").agg(least).select("key", "x.first", "x.most"), "key").where("node <> first")
-    pairs = _alike(star, "size", "most", similarity).select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
-    return components(space.save(_verified(pairs, sets, similarity), "close"), space, "near")
+def near_roots(leaves: DataFrame, sets: DataFrame, similarity: float, space: Workspace, most: int = 16, stars: int = 8) -> DataFrame:
+    """(node, root) of the components of similar nodes among those (key, node, size) that share a key.
+
+    Only pairs whose nodes are in one component already are left out, which changes no component.
+    A round compares one node of each key with the rest of the key's nodes; keys of more than one
+    component stay for the next round, with another node.  As soon as the pairs left after a round are at most
+    ``most`` for each row, and after ``stars`` rounds anyhow, all of them are compared.
+    """
+    links = roots = None
+    for turn in range(stars + 1):
+        if roots is None:
+            now = leaves.withColumn("root", F.col("node"))
+        else:
+            now = leaves.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+        parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        parts = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("own")).where("parts > 1")
+        open_keys = space.save(parts.select("key", "n", ((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2).alias("pairs")), f"open-{turn}")
+        count = open_keys.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
+        if not count.n:
+            break
+        now = now.join(open_keys.select("key"), "key", "left_semi")
+        every = turn == stars or (turn > 0 and count.pairs <= most * count.n)
+        if every:
+            other = now.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "size", "root")))
+            pairs = now.join(other, "key").where("root <> root2 and node < node2")
+        else:
+            first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), *(F.col(c).alias(f"{c}2") for c in ("node", "size", "root")))).alias("x")
+            pairs = now.join(now.groupBy("key").agg(first).select("key", "x.node2", "x.size2", "x.root2"), "key").where("root <> root2")
+        pairs = _alike(pairs, "size", "size2", similarity).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        close = space.save(_verified(pairs, sets, similarity), f"close-{turn}")
+        links = close if links is None else links.unionByName(close)
+        roots = space.save(components(links, space, f"near-{turn}"), f"roots-{turn}")
+        if every:
+            break
+    return leaves.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots
 
 
 def _alike(pairs: DataFrame, n: str, m: str, similarity: float) -> DataFrame:
@@ -293,11 +322,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     leaves = space.save(nodes.select("uid", "node", "size", F.explode("keys").alias("key")), "leaves")
     shared = leaves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     leaves = space.save(leaves.join(shared, "key", "left_semi"), "shared")
+    space.drop("leaves")
     sets = space.save(shingle_sets(rows.join(leaves.select("uid", "node").distinct(), "uid").dropDuplicates(["node"]), shingle), "sets")
     roots = near_roots(leaves.select("key", "node", "size"), sets, similarity, space)
     ids = docs.select(uid.alias("uid"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("id"))
     member = seen.select("uid", "node").join(roots, "node", "left").select("uid", F.coalesce("root", "node").alias("root"))
     chosen = ids.join(member, "uid").groupBy("root").agg(F.min(F.struct("id", "uid")).alias("best")).select("best.uid")
     chosen = space.save(chosen, "chosen")
+    space.drop("signatures", "shared", "sets")
     kept = docs.withColumn("__uid", uid).join(chosen.withColumnRenamed("uid", "__uid"), "__uid", "left_semi")
     return kept.dropDuplicates(["__uid"]).select(*docs.columns)

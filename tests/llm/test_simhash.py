@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from itemloom.llm.queries import op9_simhash
-from itemloom.llm.simhash import drop_near_duplicates, hex_fingerprint, near_classes, trie_forest
+from itemloom.llm.simhash import drop_near_duplicates, hex_fingerprint, near_classes, near_roots, trie_forest
+from itemloom.llm.workspace import Workspace
 
 
 def lower(text: str) -> str:
@@ -151,6 +152,29 @@ def test_similarity_is_exact(spark):
         assert drop_near_duplicates(docs, bands=64, per_band=2).count() == stay
 
 
+def test_members_unlike_the_first_are_compared_with_each_other(spark):
+    """40 sets in two keys, 8 kinds of 5 alike: whichever node comes first, most are unlike it."""
+    kinds = {node: node % 8 for node in range(1, 41)}
+    sets = spark.createDataFrame([(n, [100 * k + i for i in range(20)] + [-n]) for n, k in kinds.items()], "node long, set array<long>")
+    leaves = spark.createDataFrame([(n % 8 // 4, n, 21) for n in kinds], "key long, node long, size long")
+    for most in (0, 2, 16):  # stars alone, stars and then all pairs, all pairs
+        roots = {r.node: r.root for r in near_roots(leaves, sets, 0.8, Workspace(spark), most=most).collect()}
+        assert roots == {n: min(m for m in kinds if kinds[m] == k) for n, k in kinds.items()}
+
+
+def test_same_words_in_another_order(spark):
+    """Forty texts of one set of words; each has one near copy, and nothing else is alike."""
+    rng = random.Random(6)
+    words, rows = ["w%d" % i for i in range(200)], []
+    for k in range(40):
+        rng.shuffle(words)
+        swapped = list(words)
+        swapped[90], swapped[91] = swapped[91], swapped[90]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(swapped))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == [10 * k for k in range(40)]
+
+
 def test_hex(spark):
     row = spark.range(1).select(hex_fingerprint(F.lit(-1).cast("long")).alias("a"), hex_fingerprint(F.lit(10).cast("long")).alias("b")).first()
     assert (row.a, row.b) == ("f" * 16, "0" * 15 + "a")
