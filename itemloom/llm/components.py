@@ -12,7 +12,8 @@ def components(links: DataFrame, space: Workspace, name: str = "stars") -> DataF
     """(node, root) for every node of links (a, b); root is the component's smallest node.
 
     Every step is a join with a partially aggregated minimum, written to the shared folder, so
-    that neither a hub nor a component is ever gathered into one task.
+    that no component is ever gathered into one task: a hub's links are one side of a join whose other side has
+    one row for it, which adaptive execution splits.  The result is a table of ``space``, named ``name``.
     """
     both = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = space.save(both, f"{name}-0")
@@ -32,4 +33,7 @@ def components(links: DataFrame, space: Workspace, name: str = "stars") -> DataF
             break
         last = state
     roots = now.groupBy("a").agg(F.min("b").alias("root"))
-    return roots.select(F.col("a").alias("node"), "root").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    roots = roots.select(F.col("a").alias("node"), "root").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    roots = space.save(roots, name)
+    space.drop(f"{name}-{step}")
+    return roots

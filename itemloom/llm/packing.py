@@ -43,8 +43,8 @@ class Packing:
     sentence_penalty: float = 1.0
     clause_penalty: float = 3.0
     forced_penalty: float = 64.0
-    block_chars: int = 1 << 20
-    cache: int = 500_000
+    block_chars: int = 1 << 19
+    cache: int = 120_000
 
 
 class Encoder:

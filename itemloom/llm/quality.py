@@ -96,15 +96,15 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text", rules: Rules =
     itself, so ties, repeated rows and an empty table need no care.
 
     Columns: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (words inside 3-word
-    windows found twice or more), line_share and share_N for each n-gram length, reasons (sorted
-    names of the rules that failed), base_failed, kept.
+    windows found twice or more), base_failed, kept, line_share and share_N for each n-gram length,
+    reasons (sorted names of the rules that failed).
     """
     small_batches(docs.sparkSession)
     sizes = sorted(rules.coverage)
     schema = ", ".join(
         [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
         + [f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-        + ["line_share double", *(f"share_{n} double" for n in sizes), "reasons string", "base_failed boolean", "kept boolean"]
+        + ["base_failed boolean", "kept boolean", "line_share double", *(f"share_{n} double" for n in sizes), "reasons string"]
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,13 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemloom.llm.components import components
 from itemloom.llm.quality import window_hashes
 from itemloom.llm.textops import ALNUM, Block, blocks, mix, unique_per_doc, utf8
-from itemloom.llm.workspace import Workspace
+from itemloom.llm.workspace import Workspace, free_name
 
 _BITS8 = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _SPACES = b"\t\n\x0b\x0c\r"
@@ -190,7 +190,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     own = space.save(fingerprints(docs, id_col, text, shingle), "fingerprints")
     leaves = space.save(own.groupBy("fp").agg(F.min(id_col).alias("least")), "leaves")
     links = trie_links(leaves.select(F.lit(0).alias("table"), "fp"), budget).select("a", "b")
-    roots = space.save(components(links, space).withColumnRenamed("node", "fp"), "roots")
+    roots = components(links, space, "roots").withColumnRenamed("node", "fp")
     classes = leaves.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = classes.groupBy("root").agg(F.min("least").alias("component"))
     return own.join(classes.join(named, "root").select("fp", "component"), "fp").select(id_col, "fp", "component")
@@ -262,37 +262,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def near_roots(leaves: DataFrame, sets: DataFrame, similarity: float, space: Workspace, most: int = 16, stars: int = 8) -> DataFrame:
-    """(node, root) of the components of similar nodes among those (key, node, size) that share a key.
+    """(node, root) of the components of similar nodes among those (key, node, size, weight) that share a key.
 
     Only pairs whose nodes are in one component already are left out, which changes no component.
-    A round compares one node of each key with the rest of the key's nodes; keys of more than one
+    The first round compares each key's node of the largest weight with the key's other nodes: with weights
+    that count what a node shares, that is the text that the others are copies of.  Keys of more than one
     component stay for the next round, with another node.  As soon as the pairs left after a round are at most
     ``most`` for each row, and after ``stars`` rounds anyhow, all of them are compared.
     """
     links = roots = None
     for turn in range(stars + 1):
-        if roots is None:
+        every = False
+        if turn == 0:
             now = leaves.withColumn("root", F.col("node"))
+            if not now.limit(1).count():
+                break
         else:
-            now = leaves.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-        parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        parts = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("own")).where("parts > 1")
-        open_keys = space.save(parts.select("key", "n", ((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2).alias("pairs")), f"open-{turn}")
-        count = open_keys.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
-        if not count.n:
-            break
-        now = now.join(open_keys.select("key"), "key", "left_semi")
-        every = turn == stars or (turn > 0 and count.pairs <= most * count.n)
+            now = leaves.join(roots, "node", "left").select("key", "node", "size", "weight", F.coalesce("root", "node").alias("root"))
+            parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+            parts = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("own")).where("parts > 1")
+            open_keys = space.save(parts.select("key", "n", ((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2).alias("pairs")), f"open-{turn}")
+            count = open_keys.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
+            if not count.n:
+                break
+            now = now.join(open_keys.select("key"), "key", "left_semi")
+            every = turn == stars or count.pairs <= most * count.n
         if every:
             other = now.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "size", "root")))
             pairs = now.join(other, "key").where("root <> root2 and node < node2")
         else:
-            first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), *(F.col(c).alias(f"{c}2") for c in ("node", "size", "root")))).alias("x")
+            order = F.xxhash64("node", F.lit(turn)).alias("h")
+            first = F.max(F.struct(*(["weight"] if turn == 0 else []), order, *(F.col(c).alias(f"{c}2") for c in ("node", "size", "root")))).alias("x")
             pairs = now.join(now.groupBy("key").agg(first).select("key", "x.node2", "x.size2", "x.root2"), "key").where("root <> root2")
         pairs = _alike(pairs, "size", "size2", similarity).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         close = space.save(_verified(pairs, sets, similarity), f"close-{turn}")
         links = close if links is None else links.unionByName(close)
-        roots = space.save(components(links, space, f"near-{turn}"), f"roots-{turn}")
+        roots = components(links, space, f"roots-{turn}")
+        space.drop(f"open-{turn}", f"roots-{turn - 1}")
+        space.tidy()
         if every:
             break
     return leaves.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots
@@ -320,15 +327,18 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     seen = space.save(signatures(rows, shingle, bands, per_band), "signatures")
     nodes = seen.groupBy("node").agg(F.min("uid").alias("uid"), F.min("size").alias("size"), F.min("keys").alias("keys"))
     leaves = space.save(nodes.select("uid", "node", "size", F.explode("keys").alias("key")), "leaves")
-    shared = leaves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    leaves = space.save(leaves.join(shared, "key", "left_semi"), "shared")
+    shared = leaves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    leaves = leaves.join(shared, "key").withColumn("weight", F.sum("n").over(Window.partitionBy("node")))  # a node has a row a band
+    leaves = space.save(leaves.drop("n"), "shared")
     space.drop("leaves")
     sets = space.save(shingle_sets(rows.join(leaves.select("uid", "node").distinct(), "uid").dropDuplicates(["node"]), shingle), "sets")
-    roots = near_roots(leaves.select("key", "node", "size"), sets, similarity, space)
+    roots = near_roots(leaves.select("key", "node", "size", "weight"), sets, similarity, space)
     ids = docs.select(uid.alias("uid"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("id"))
     member = seen.select("uid", "node").join(roots, "node", "left").select("uid", F.coalesce("root", "node").alias("root"))
     chosen = ids.join(member, "uid").groupBy("root").agg(F.min(F.struct("id", "uid")).alias("best")).select("best.uid")
     chosen = space.save(chosen, "chosen")
-    space.drop("signatures", "shared", "sets")
-    kept = docs.withColumn("__uid", uid).join(chosen.withColumnRenamed("uid", "__uid"), "__uid", "left_semi")
-    return kept.dropDuplicates(["__uid"]).select(*docs.columns)
+    space.drop("signatures", "shared", "sets", *(f"{kind}-{turn}" for kind in ("close", "roots") for turn in range(9)))
+    space.tidy()
+    key = free_name(docs, "uid")
+    kept = docs.withColumn(key, uid).join(chosen.withColumnRenamed("uid", key), key, "left_semi")
+    return kept.dropDuplicates([key]).select(*docs.columns)

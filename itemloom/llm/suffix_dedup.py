@@ -5,9 +5,11 @@
    equal offsets, so triggers cut all texts into phrases consistently without reading any other
    text.  A *context* is the text of all windows that share one trigger (a phrase and what follows
    it): at most ``2 * length`` bytes.
-2. *Dictionary.*  Contexts are counted by (trigger hash, context hash).  A trigger found once can't
-   begin a repeat; a context found twice is repeated as a whole.  Only distinct contexts that
-   share a trigger with a different one are left, and only their text is shuffled.
+2. *Dictionary.*  Contexts are counted by (trigger hash, context hash), 128 bits, before anything is
+   joined.  A trigger found once can't begin a repeat; a context found twice is repeated as a whole.
+   Only distinct contexts that share a trigger with a different one are left, and only their text is
+   shuffled.  Triggers and contexts that hold more than one in 10,000 of all rows are fewer than
+   10,000, so they are broadcast and their rows stay where they are.
 3. *Corpus order.*  Contexts of one trigger are put into the order of what follows the trigger
    (the parse's suffix array, with common-prefix lengths between neighbours), and refined, byte by
    byte to the left, by what precedes it (the suffixes of dictionary phrases).  Two windows are
@@ -181,18 +183,40 @@ def _by_hash(contexts: DataFrame, length: int) -> DataFrame:
     return windows.where("single").join(many, ["one", "two"], "left_semi").select("uid", "first", F.col("first").alias("last"))
 
 
+def _common(counts: DataFrame, count: str, total: int, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """``counts`` in two: keys that hold more than one in ``most`` of all ``total``, so fewer than ``most`` keys, and the rest."""
+    least = max(total // most, 1)
+    return counts.where(F.col(count) > least), counts.where(F.col(count) <= least)
+
+
+def _keyed(rows: DataFrame, keys: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keys``; what belongs to a common key meets it where it is, and only the rest is shuffled.
+
+    ``keys`` has each key once, with how many of the ``total`` rows are its own in ``count``.
+    """
+    common, rest = _common(keys, count, total)
+    common, rest = (x.drop(count) if how == "left_semi" else x for x in (common, rest))
+    here = rows.join(F.broadcast(common), on, how)  # fewer than 10,000 keys
+    there = rows.join(F.broadcast(common.select(*on)), on, "left_anti").join(rest, on, how)
+    return here.unionByName(there)
+
+
 def repeated_starts(rows: DataFrame, length: int, hot: int, space: Workspace) -> DataFrame:
     """Runs (uid, first, last) of starts of windows that start anywhere else too; rows has uid and text."""
     contexts = space.save(parse(rows, length), "contexts")
-    many = contexts.groupBy("trigger").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("trigger")
-    again = space.save(contexts.join(many, "trigger", "left_semi"), "again")
-    space.drop("contexts")
     one = F.min(F.struct("uid", "first", "last", "at"))
-    kinds = again.groupBy("trigger", "context").agg(F.count(F.lit(1)).alias("times"), one.alias("one"))
+    kinds = contexts.groupBy("trigger", "context").agg(F.count(F.lit(1)).alias("times"), one.alias("one"))
+    by_trigger = F.sum("times").alias("rows"), F.count(F.lit(1)).alias("contexts")
+    # A trigger found once can't begin a repeat; most are, so that only few kinds are kept.
     kinds = space.save(kinds, "kinds")
-    whole = again.join(kinds.where("times > 1").select("trigger", "context"), ["trigger", "context"], "left_semi").select("uid", "first", "last")
-    differing = kinds.groupBy("trigger").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
-    wanted = kinds.join(differing, "trigger").select("one.uid", F.struct("trigger", "context", (F.col("times") == 1).alias("single"), "contexts", "one.first", "one.last", "one.at").alias("piece"))
+    triggers = space.save(kinds.groupBy("trigger").agg(*by_trigger).where("rows > 1"), "triggers")
+    sizes = triggers.agg(F.max("contexts").alias("most"), F.count(F.lit(1)).alias("n")).first()
+    counted = kinds.agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("rows")).first()
+    total, n_kinds = int(counted["rows"] or 0), int(counted["kinds"] or 0)
+    repeated = kinds.where("times > 1").select("trigger", "context", "times")
+    whole = _keyed(contexts, repeated, ["trigger", "context"], "times", total, "left_semi").select("uid", "first", "last")
+    differing = triggers.where("contexts > 1").select("trigger", "contexts")
+    wanted = _keyed(kinds, differing, ["trigger"], "contexts", n_kinds).select("one.uid", F.struct("trigger", "context", (F.col("times") == 1).alias("single"), "contexts", "one.first", "one.last", "one.at").alias("piece"))
     wanted = wanted.groupBy("uid").agg(F.collect_list("piece").alias("pieces"))  # bounded by the text's length
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,7 +230,7 @@ def repeated_starts(rows: DataFrame, length: int, hot: int, space: Workspace) ->
 
     pieces = pack(rows, []).join(wanted, "uid").mapInPandas(cut, "uid long, trigger long, context long, single boolean, contexts long, first long, last long, at int, piece binary")
     out = whole.unionByName(_by_order(pieces.where(F.col("contexts") <= hot), length))
-    if differing.where(F.col("contexts") > hot).limit(1).count():
+    if int(sizes["most"] or 0) > hot:
         out = out.unionByName(_by_hash(pieces.where(F.col("contexts") > hot), length))
     return out
 
@@ -241,17 +265,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     judged on the input.  Null text counts as empty.  Of rows that repeat, each is elsewhere for
     the other, so both go; a table with one short text, or none, is returned unchanged.
 
-    Columns: id_col, n_bytes, n_removed, n_spans, spans (array of start, end), kept_sha256.  With
+    Columns: id_col, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start, end).  With
     ``keep``, a list of further columns of docs, also kept (the bytes that stay, as text; a character
     of which only a part stays goes) and ``keep``'s columns as c0, c1, ...
     """
     space = Workspace(docs.sparkSession)
     rows = docs.select(_row_key(docs, id_col, text).alias("uid"), F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep or [])])
     starts = repeated_starts(rows.select("uid", "text"), length, hot, space)
-    spans = starts.distinct().groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # bounded by the text's length
+    spans = starts.groupBy("uid").agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # bounded by the text's length
+    spans = space.save(spans, "runs")
+    space.drop("contexts", "kinds", "triggers")
+    space.tidy()
     kind = docs.schema[id_col].dataType.simpleString()
     more = [f"c{i}" for i in range(len(keep or []))]
-    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept_sha256 string"
+    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
     if keep is not None:
         schema = ", ".join([schema, "kept string", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in more)])
 
@@ -264,8 +291,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 gone = [] if runs is None else _merge(list(runs), length, len(raw))
                 edges = [0, *(e for span in gone for e in span), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out.append((key, len(raw), len(raw) - len(kept), len(gone), [{"start": a, "end": b} for a, b in gone], hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep is not None else ""))
-            result = pd.DataFrame(out, columns=[id_col, "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"])
+                out.append((key, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in gone], kept.decode("utf-8", "ignore") if keep is not None else ""))
+            result = pd.DataFrame(out, columns=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
             if result[id_col].isna().any():
                 result[id_col] = result[id_col].astype("Int64") if kind in ("bigint", "int") else result[id_col]
             yield result.drop(columns="kept") if keep is None else result.assign(**{c: frame[c] for c in more})

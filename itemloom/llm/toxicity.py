@@ -1,7 +1,8 @@
 """Toxicity scores from FTRL-proximal logistic regression.
 
-Features are presence of hashed words, their stems, word pairs and pairs with one word between them
-(skip-grams).  FTRL-proximal keeps a learning rate per coordinate and an L1 penalty that leaves
+Features are presence of hashed words, their stems (leading bytes, so that compounds and inflections
+share one), word pairs and pairs with one word between them (skip-grams).  The stem's length is chosen by
+log loss on a quarter of the rows that may be learnt from, before the model is fitted on all of them.  FTRL-proximal keeps a learning rate per coordinate and an L1 penalty that leaves
 most weights at exactly zero, so the model that goes to the executors is a short list of
 (index, weight) pairs whose length can't exceed ``2**bits``.
 
@@ -12,7 +13,7 @@ bounds what the driver holds whatever the corpus' size; scoring is one narrow pa
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,6 @@ from itemloom.llm.workspace import small_batches
 #: Letters and digits; everything else separates words, so that punctuation doesn't hide one.
 MEMBER = NOT_SPACE.copy()
 MEMBER[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
-#: Bytes of a word's stem; compounds and inflections share one.
-STEM = 6
 
 
 @dataclass(frozen=True)
@@ -40,15 +39,29 @@ class Ftrl:
     bits: int = 20
     epochs: int = 3
     max_examples: int = 12_000
+    #: Lengths of stems in bytes that compete; 0 is none.
+    stems: tuple[int, ...] = (0, 4, 6)
 
 
-def _grams(block, bits: int) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Model:
+    """The weights that aren't zero, by index, the bias and the stem's length."""
+
+    index: np.ndarray
+    value: np.ndarray
+    bias: float
+    stem: int = 0
+
+
+def _grams(block, bits: int, stem: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, feature) of all grams of a block, with repetitions."""
     words = block.words(MEMBER)
     rolling, shift = Rolling(block.buf), np.uint64(64 - bits)
     h = words.hashes(rolling)
-    stems = rolling(words.start, np.minimum(words.end, words.start + STEM))
-    docs, ids = [words.doc, words.doc], [h >> shift, mix(stems * np.uint64(0x2545F4914F6CDD1D)) >> shift]
+    docs, ids = [words.doc], [h >> shift]
+    if stem:
+        docs.append(words.doc)
+        ids.append(mix(rolling(words.start, np.minimum(words.end, words.start + stem)) * np.uint64(0x2545F4914F6CDD1D)) >> shift)
     for gap, salt in ((1, 0x5851F42D4C957F2D), (2, 0x14057B7EF767814F)):
         if len(h) > gap:
             near = words.doc[gap:] == words.doc[:-gap]
@@ -57,22 +70,25 @@ def _grams(block, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(ids)
 
 
-def featurise(docs: DataFrame, text: str, keep: list[str], bits: int) -> DataFrame:
-    """``keep`` columns and ``features``: little-endian uint32 of the distinct features."""
-    schema = ", ".join([f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep] + ["features binary"])
+def featurise(docs: DataFrame, text: str, keep: list[str], bits: int, stems: tuple[int, ...]) -> DataFrame:
+    """``keep`` columns and, for each stem's length, ``features_N``: little-endian uint32 of the distinct features."""
+    schema = ", ".join([f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep] + [f"features_{n} binary" for n in stems])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in blocks(batches, text, fold=str.lower):
-            doc, ids, _ = unique_per_doc(*_grams(block, bits))
-            cut = np.searchsorted(doc, np.arange(len(block.start) + 1))
-            ids = ids.astype("<u4")
-            yield block.frame[keep].assign(features=[ids[a:b].tobytes() for a, b in zip(cut, cut[1:])])
+            out = block.frame[keep]
+            for n in stems:
+                doc, ids, _ = unique_per_doc(*_grams(block, bits, n))
+                cut = np.searchsorted(doc, np.arange(len(block.start) + 1))
+                ids = ids.astype("<u4")
+                out = out.assign(**{f"features_{n}": [ids[a:b].tobytes() for a, b in zip(cut, cut[1:])]})
+            yield out
 
     return docs.select(*keep, text).mapInPandas(run, schema)
 
 
-def fit(features: list[bytes], labels: list[int], p: Ftrl) -> tuple[np.ndarray, np.ndarray, float]:
-    """Indices and values of the weights that aren't zero, and the bias.
+def fit(features: list[bytes], labels: list[int], p: Ftrl, epochs: int | None = None) -> Model:
+    """Learns from rows of features.
 
     Without examples, or with one class only, there are no weights and the bias is the logit of
     the share of positives after adding one of each kind.
@@ -80,7 +96,7 @@ def fit(features: list[bytes], labels: list[int], p: Ftrl) -> tuple[np.ndarray,
     y = np.asarray(labels, float)
     prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     if not len(y) or y.min() == y.max():
-        return np.zeros(0, np.int64), np.zeros(0), prior
+        return Model(np.zeros(0, np.int64), np.zeros(0), prior)
     z, n = np.zeros(1 << p.bits), np.zeros(1 << p.bits)
     bias, bias_n = prior, 0.0
     rng = np.random.default_rng(5)
@@ -90,7 +106,7 @@ def fit(features: list[bytes], labels: list[int], p: Ftrl) -> tuple[np.ndarray,
         return np.where(np.abs(v) <= p.l1, 0.0, -(v - np.sign(v) * p.l1) / ((p.beta + np.sqrt(n[i])) / p.alpha + p.l2))
 
     rows = [np.frombuffer(f, "<u4").astype(np.int64) for f in features]
-    for _ in range(p.epochs):
+    for _ in range(p.epochs if epochs is None else epochs):
         for k in rng.permutation(len(rows)):
             i = rows[k]
             w = weight(i)
@@ -100,33 +116,53 @@ def fit(features: list[bytes], labels: list[int], p: Ftrl) -> tuple[np.ndarray,
             bias_n += g * g
             bias -= p.alpha / 3 / (p.beta + np.sqrt(bias_n)) * g
     used = np.flatnonzero(np.abs(z) > p.l1)
-    return used, weight(used), float(bias)
+    return Model(used, weight(used), float(bias))
+
+
+def log_loss(model: Model, features: list[bytes], labels: np.ndarray, bits: int) -> float:
+    dense = np.zeros(1 << bits)
+    dense[model.index] = model.value
+    z = np.array([dense[np.frombuffer(f, "<u4")].sum() for f in features]) + model.bias
+    return float(np.mean(np.logaddexp(0, np.where(labels > 0, -z, z))))
+
+
+def choose_stem(rows: pd.DataFrame, y: np.ndarray, p: Ftrl) -> int:
+    """The stem's length of the least log loss on every fourth row, after one pass over the others; ties to the shorter."""
+    apart = np.arange(len(rows)) % 4 == 3
+    if not apart.any() or y[~apart].min() == y[~apart].max():
+        return p.stems[0]
+    losses = []
+    for n in p.stems:
+        column = rows[f"features_{n}"].to_numpy()
+        losses.append((round(log_loss(fit(list(column[~apart]), list(y[~apart]), p, 1), list(column[apart]), y[apart], p.bits), 12), n))
+    return min(losses)[1]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, p: Ftrl) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, p: Ftrl) -> Model:
     """Fits on at most ``p.max_examples`` labelled documents, chosen by a hash of the id."""
     wanted = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("__y"))
     chosen = wanted.orderBy(F.xxhash64(id_col), id_col).limit(p.max_examples)
-    rows = featurise(docs.select(id_col, text).join(F.broadcast(chosen), id_col), text, [id_col, "__y"], p.bits).toArrow().to_pandas()
-    rows = rows.sort_values(id_col, kind="stable")
-    return fit(list(rows["features"]), [int(v > 0) for v in rows["__y"]], p)
+    rows = featurise(docs.select(id_col, text).join(F.broadcast(chosen), id_col), text, [id_col, "__y"], p.bits, p.stems).toArrow().to_pandas()
+    rows = rows.sort_values(id_col, kind="stable").reset_index(drop=True)
+    y = (rows["__y"].to_numpy() > 0).astype(int)
+    stem = choose_stem(rows, y, p) if len(p.stems) > 1 else p.stems[0]
+    return replace(fit(list(rows[f"features_{stem}"]), list(y), p), stem=stem)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: list[str], text: str = "text", p: Ftrl = Ftrl()) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", p: Ftrl = Ftrl()) -> DataFrame:
     """``keep`` columns and ``score``, the probability of the positive class."""
-    index, value, bias = model
-    shared = docs.sparkSession.sparkContext.broadcast((index, value.astype(np.float32), bias))
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, value=model.value.astype(np.float32)))
     schema = ", ".join([f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep] + ["score double"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        i, v, b = shared.value
+        known = shared.value
         dense = np.zeros(1 << p.bits, np.float32)
-        dense[i] = v
+        dense[known.index] = known.value
         for block in blocks(batches, text, fold=str.lower):
-            doc, ids = _grams(block, p.bits)
+            doc, ids = _grams(block, p.bits, known.stem)
             hit = dense[ids] != 0
             doc, ids, _ = unique_per_doc(doc[hit], ids[hit])
-            total = b + block.per_doc(doc, dense[ids].astype(float))
+            total = known.bias + block.per_doc(doc, dense[ids].astype(float))
             yield block.frame[keep].assign(score=1 / (1 + np.exp(-np.clip(total, -35, 35))))
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInPandas(run, schema)
