@@ -15,7 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from itemloom.llm.suffix_dedup import remove_repeats
 
-    return remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+    out = remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

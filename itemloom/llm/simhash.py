@@ -254,6 +254,37 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInPandas(run, "node long, set array<long>")
 
 
+#: Groups of shingles, by their hash, of which a sketch says for each whether the set has any.
+_GROUPS = 512
+_WORDS = [f"w{i}" for i in range(_GROUPS // 64)]
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """(node, w0, w1, ...): a bit for each group of shingles that the set has any of."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            if len(frame):
+                size = frame["set"].map(len).to_numpy()
+                h = np.concatenate(frame["set"].to_numpy()).astype(np.int64).view(np.uint64)
+                has = np.zeros((len(frame), _GROUPS), np.uint8)
+                has[np.repeat(np.arange(len(frame)), size), (mix(h) % np.uint64(_GROUPS)).astype(np.int64)] = 1
+                words = np.packbits(has, axis=1).view(np.int64)
+                yield pd.DataFrame({"node": frame["node"]} | {w: words[:, i] for i, w in enumerate(_WORDS)})
+
+    return sets.mapInPandas(run, ", ".join(["node long", *(f"{w} long" for w in _WORDS)]))
+
+
+def _sketches_near(similarity: float) -> Column:
+    """Whether the sketches w0 .. of a set of ``size`` and v0 .. of one of ``size2`` leave the similarity possible.
+
+    A group that only one of two sets has holds a shingle that only one has, and at a Jaccard similarity of
+    s or more at most (size + size2) * (1 - s) / (1 + s) shingles are in one set only: no similar pair is ruled out.
+    """
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"v{w[1:]}"))) for w in _WORDS[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("v0"))))
+    return apart <= (F.col("size") + F.col("size2")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of ``similarity`` or more, counted exactly."""
     left, right = (sets.select(F.col("node").alias(n), F.col("set").alias(s)) for n, s in (("a", "s1"), ("b", "s2")))
@@ -268,9 +299,14 @@ def near_roots(leaves: DataFrame, sets: DataFrame, similarity: float, space: Wor
     The first round compares each key's node of the largest weight with the key's other nodes: with weights
     that count what a node shares, that is the text that the others are copies of.  Keys of more than one
     component stay for the next round, with another node.  As soon as the pairs left after a round are at most
-    ``most`` for each row, and after ``stars`` rounds anyhow, all of them are compared.
+    ``most`` for each row, and after ``stars`` rounds anyhow, all of them are compared, sketches first.
+    Without a column weight, all weigh the same.
     """
+    leaves = leaves if "weight" in leaves.columns else leaves.withColumn("weight", F.lit(0))
     links = roots = None
+    short = space.save(sketches(sets), "sketches")
+    short2 = short.select(F.col("node").alias("node2"), *(F.col(w).alias(f"v{w[1:]}") for w in _WORDS))
+    near = _sketches_near(similarity) & _alike("size", "size2", similarity)
     for turn in range(stars + 1):
         every = False
         if turn == 0:
@@ -288,13 +324,15 @@ def near_roots(leaves: DataFrame, sets: DataFrame, similarity: float, space: Wor
             now = now.join(open_keys.select("key"), "key", "left_semi")
             every = turn == stars or count.pairs <= most * count.n
         if every:
-            other = now.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "size", "root")))
-            pairs = now.join(other, "key").where("root <> root2 and node < node2")
+            # Sketches are compared where the pairs meet, so that unlike pairs never leave the join.
+            other = now.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "size", "root"))).join(short2, "node2")
+            pairs = now.join(short, "node").join(other, "key").where(near & F.expr("root <> root2 and node < node2"))
         else:
             order = F.xxhash64("node", F.lit(turn)).alias("h")
             first = F.max(F.struct(*(["weight"] if turn == 0 else []), order, *(F.col(c).alias(f"{c}2") for c in ("node", "size", "root")))).alias("x")
             pairs = now.join(now.groupBy("key").agg(first).select("key", "x.node2", "x.size2", "x.root2"), "key").where("root <> root2")
-        pairs = _alike(pairs, "size", "size2", similarity).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+            pairs = pairs.groupBy("node", "node2").agg(F.first("size").alias("size"), F.first("size2").alias("size2")).join(short2, "node2").join(short, "node").where(near)
+        pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         close = space.save(_verified(pairs, sets, similarity), f"close-{turn}")
         links = close if links is None else links.unionByName(close)
         roots = components(links, space, f"roots-{turn}")
@@ -305,9 +343,9 @@ def near_roots(leaves: DataFrame, sets: DataFrame, similarity: float, space: Wor
     return leaves.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots
 
 
-def _alike(pairs: DataFrame, n: str, m: str, similarity: float) -> DataFrame:
-    """Without the pairs whose sizes alone rule the similarity out."""
-    return pairs.where(F.least(n, m) / F.greatest(n, m) >= similarity)
+def _alike(n: str, m: str, similarity: float) -> Column:
+    """False if the sizes alone rule the similarity out."""
+    return F.least(n, m) / F.greatest(n, m) >= similarity
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 40, per_band: int = 6) -> DataFrame:
@@ -337,7 +375,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     member = seen.select("uid", "node").join(roots, "node", "left").select("uid", F.coalesce("root", "node").alias("root"))
     chosen = ids.join(member, "uid").groupBy("root").agg(F.min(F.struct("id", "uid")).alias("best")).select("best.uid")
     chosen = space.save(chosen, "chosen")
-    space.drop("signatures", "shared", "sets", *(f"{kind}-{turn}" for kind in ("close", "roots") for turn in range(9)))
+    space.drop("signatures", "shared", "sets", "sketches", *(f"{kind}-{turn}" for kind in ("close", "roots") for turn in range(9)))
     space.tidy()
     key = free_name(docs, "uid")
     kept = docs.withColumn(key, uid).join(chosen.withColumnRenamed("uid", key), key, "left_semi")
