@@ -39,8 +39,9 @@ class Ftrl:
     bits: int = 20
     epochs: int = 3
     max_examples: int = 12_000
-    #: Lengths of stems in bytes that compete; 0 is none.
+    #: Lengths of stems in bytes that compete, on ``choose_on`` of the labelled rows; 0 is none.
     stems: tuple[int, ...] = (0, 4, 6)
+    choose_on: int = 3_000
 
 
 @dataclass(frozen=True)
@@ -129,7 +130,7 @@ def log_loss(model: Model, features: list[bytes], labels: np.ndarray, bits: int)
 def choose_stem(rows: pd.DataFrame, y: np.ndarray, p: Ftrl) -> int:
     """The stem's length of the least log loss on every fourth row, after one pass over the others; ties to the shorter."""
     apart = np.arange(len(rows)) % 4 == 3
-    if not apart.any() or y[~apart].min() == y[~apart].max():
+    if not apart.any() or not (~apart).any() or y[~apart].min() == y[~apart].max():
         return p.stems[0]
     losses = []
     for n in p.stems:
@@ -142,10 +143,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str
     """Fits on at most ``p.max_examples`` labelled documents, chosen by a hash of the id."""
     wanted = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("__y"))
     chosen = wanted.orderBy(F.xxhash64(id_col), id_col).limit(p.max_examples)
-    rows = featurise(docs.select(id_col, text).join(F.broadcast(chosen), id_col), text, [id_col, "__y"], p.bits, p.stems).toArrow().to_pandas()
-    rows = rows.sort_values(id_col, kind="stable").reset_index(drop=True)
-    y = (rows["__y"].to_numpy() > 0).astype(int)
-    stem = choose_stem(rows, y, p) if len(p.stems) > 1 else p.stems[0]
+    texts = docs.select(id_col, text)
+
+    def learnable(few: DataFrame, stems: tuple[int, ...]) -> tuple[pd.DataFrame, np.ndarray]:
+        rows = featurise(texts.join(F.broadcast(few), id_col), text, [id_col, "__y"], p.bits, stems).toArrow().to_pandas()
+        rows = rows.sort_values(id_col, kind="stable").reset_index(drop=True)
+        return rows, (rows["__y"].to_numpy() > 0).astype(int)
+
+    stem = p.stems[0]
+    if len(p.stems) > 1:
+        stem = choose_stem(*learnable(chosen.limit(p.choose_on), p.stems), p)
+    rows, y = learnable(chosen, (stem,))
     return replace(fit(list(rows[f"features_{stem}"]), list(y), p), stem=stem)
 
 
