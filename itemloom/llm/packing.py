@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.textops import frames
+from itemloom.llm.textops import frames, trim
 from itemloom.llm.workspace import small_batches
 
 
@@ -210,5 +210,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: Packing
             yield windows(False)
         if held:
             yield windows(True)
+        encode.known.clear()  # the worker stays for other stages
+        trim()
 
     return docs.select(F.col(id_col), F.col(text)).mapInPandas(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.textops import Rolling, blocks, mix, trim
+from itemloom.llm.textops import Rolling, blocks, mix, trim, utf8
 from itemloom.llm.workspace import Workspace
 
 TRIGGER = 24
@@ -228,23 +228,22 @@ def repeated_starts(rows: DataFrame, length: int, hot: int, space: Workspace) ->
                 out += [(uid, p["trigger"], p["context"], p["single"], p["contexts"], p["first"], p["last"], p["at"], raw[p["first"] : p["last"] + length]) for p in pieces]
             yield pd.DataFrame(out, columns=["uid", "trigger", "context", "single", "contexts", "first", "last", "at", "piece"])
 
-    pieces = pack(rows, []).join(wanted, "uid").mapInPandas(cut, "uid long, trigger long, context long, single boolean, contexts long, first long, last long, at int, piece binary")
+    pieces = pack(rows).join(wanted, "uid").mapInPandas(cut, "uid long, trigger long, context long, single boolean, contexts long, first long, last long, at int, piece binary")
     out = whole.unionByName(_by_order(pieces.where(F.col("contexts") <= hot), length))
     if int(sizes["most"] or 0) > hot:
         out = out.unionByName(_by_hash(pieces.where(F.col("contexts") > hot), length))
     return out
 
 
-def pack(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """uid, ``keep`` and the text's UTF-8, compressed for the shuffle."""
-    schema = ", ".join(["uid long", *(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep), "packed binary"])
+def pack(rows: DataFrame) -> DataFrame:
+    """uid and the text's UTF-8, compressed for the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         press = zstandard.ZstdCompressor(level=3).compress
         for frame in batches:
-            yield frame[["uid", *keep]].assign(packed=[press(x.encode("utf-8", "surrogatepass")) for x in frame["text"]])
+            yield frame[["uid"]].assign(packed=[press(x) for x in utf8(frame["text"])])
 
-    return rows.mapInPandas(run, schema)
+    return rows.select("uid", "text").mapInPandas(run, "uid long, packed binary")
 
 
 def _merge(spans: list, length: int, size: int) -> list[tuple[int, int]]:
@@ -283,11 +282,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         schema = ", ".join([schema, "kept string", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in more)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_ = zstandard.ZstdDecompressor().decompress
         for frame in batches:
             out = []
-            for key, packed, runs in zip(frame["id"], frame["packed"], frame["runs"]):
-                raw = open_(packed) if len(packed) else b""
+            for key, raw, runs in zip(frame["id"], utf8(frame["text"]), frame["runs"]):
                 gone = [] if runs is None else _merge(list(runs), length, len(raw))
                 edges = [0, *(e for span in gone for e in span), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
@@ -296,5 +293,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             if result[id_col].isna().any():
                 result[id_col] = result[id_col].astype("Int64") if kind in ("bigint", "int") else result[id_col]
             yield result.drop(columns="kept") if keep is None else result.assign(**{c: frame[c] for c in more})
+        trim()
 
-    return pack(rows, ["id", *more]).join(spans, "uid", "left").select("id", "packed", "runs", *more).mapInPandas(run, schema)
+    return rows.join(spans, "uid", "left").select("id", "text", "runs", *more).mapInPandas(run, schema)

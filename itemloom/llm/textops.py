@@ -2,7 +2,7 @@
 
 A *block* is a run of documents whose UTF-8 bytes stand in one array, each document followed by
 one line feed, so that no word, line or n-gram crosses a document.  Everything per byte or per
-word is a numpy operation over the block; memory is bounded by the block's size (about half a MB, or
+word is a numpy operation over the block; memory is bounded by the block's size (about a quarter of a MB, or
 one document if that is longer), not by the partition's.
 """
 
@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from itemloom.llm.langid import CrfParams, chains, forward_backward, identify
+from itemloom.llm.langid import CrfParams, code_switched, forward_backward, identify, train, word_marginals
 from itemloom.llm.lm import score as lm_score
 from itemloom.llm.queries import op2_toxicity, op6_language_model, op10_language_id
 from itemloom.llm.toxicity import Ftrl, fit, toxicity
@@ -57,7 +57,8 @@ def test_l1_keeps_weights_at_zero():
     rng = np.random.default_rng(0)
     y = [i % 2 for i in range(400)]
     rows = [np.array([v, *rng.integers(10, 1000, 5)], "<u4").tobytes() for v in y]
-    index, value, _ = fit(rows, y, Ftrl(l1=3.0, bits=10))
+    model = fit(rows, y, Ftrl(l1=3.0, bits=10))
+    index, value = model.index, model.value
     assert {0, 1} <= set(index.tolist()) and len(index) < 100
     assert value[list(index).index(1)] > 0 > value[list(index).index(0)]
 
@@ -131,18 +132,57 @@ def test_forward_backward_equals_enumeration():
     from itemloom.llm.langid import Crf
 
     rng = np.random.default_rng(1)
-    emit, move, first = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    move, first = rng.normal(size=(3, 3)), rng.normal(size=3)
     model = Crf(list("abc"), np.zeros((1, 3)), np.zeros((1, 3)), np.eye(3), np.zeros(3), move, first)
-    marginal, _ = forward_backward(emit, np.array([4]), model)
-    want, total = np.zeros((4, 3)), 0.0
-    for path in itertools.product(range(3), repeat=4):
-        p = math.exp(first[path[0]] + sum(emit[0, t, y] for t, y in enumerate(path)) + sum(move[a, b] for a, b in zip(path, path[1:])))
-        total += p
-        for t, y in enumerate(path):
-            want[t, y] += p
-    assert np.allclose(marginal[0], want / total)
-
-
-def test_chains_stay_inside_documents():
-    chain, place, size = chains(np.array([0] * 70 + [2] * 3))
-    assert size.tolist() == [64, 6, 3] and place[64] == 0 and chain[70] == 2
+    emit, doc = rng.normal(size=(9, 3)), np.array([0] * 4 + [2] * 5)
+    marginal, pairs = forward_backward(emit, doc, model)
+    expected_pairs = np.zeros((3, 3))
+    for chain in (np.flatnonzero(doc == d) for d in (0, 2)):
+        want, total = np.zeros((len(chain), 3)), 0.0
+        both = np.zeros((3, 3))
+        for path in itertools.product(range(3), repeat=len(chain)):
+            p = math.exp(first[path[0]] + sum(emit[i, y] for i, y in zip(chain, path)) + sum(move[a, b] for a, b in zip(path, path[1:])))
+            total += p
+            for t, y in enumerate(path):
+                want[t, y] += p
+            for a, b in zip(path, path[1:]):
+                both[a, b] += p
+        assert np.allclose(marginal[chain], want / total)
+        expected_pairs += both / total
+    assert np.allclose(pairs, expected_pairs)
+
+
+def test_a_long_chain_is_one_chain():
+    """Forward-backward over several segments equals the plain recursion over the whole chain."""
+    from itemloom.llm.langid import Crf
+
+    rng = np.random.default_rng(2)
+    n, emit, move, first = 200, rng.normal(size=(200, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    model = Crf(list("abc"), np.zeros((1, 3)), np.zeros((1, 3)), np.eye(3), np.zeros(3), move, first)
+    marginal, _ = forward_backward(emit, np.zeros(n, int), model)
+    alpha, beta = [np.exp(first + emit[0])], [np.ones(3)]
+    for t in range(1, n):
+        a = (alpha[-1] @ np.exp(move)) * np.exp(emit[t])
+        alpha.append(a / a.sum())
+        b = np.exp(move) @ (np.exp(emit[n - t]) * beta[-1])
+        beta.append(b / b.sum())
+    both = np.array(alpha) * np.array(beta[::-1])
+    assert np.allclose(marginal, both / both.sum(1, keepdims=True))
+
+
+def test_words_of_code_switched_texts_are_labelled_one_by_one(spark):
+    """Alternating runs of English and German words out of texts that the model hasn't seen."""
+    import pandas as pd
+
+    from itemloom.llm.textops import blocks
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("lang in ('en', 'de')")
+    model = train(docs, F.col("doc_id") % 5 != 0)
+    held = [(r.text, model.labels.index(r.lang)) for r in docs.where("doc_id % 5 = 0 and length(text) > 200").orderBy("doc_id").limit(60).collect()]
+    texts = code_switched([t for t, _ in held], [k for _, k in held], CrfParams(mixed=1.0, run=12))
+    right = total = 0
+    for text, truth in texts:
+        for block in blocks([pd.DataFrame({"text": [text]})], "text", fold=str.lower):
+            _, marginal = word_marginals(block, model, CrfParams().bits)
+            right, total = right + int((marginal.argmax(1) == truth).sum()), total + len(truth)
+    assert total > 1000 and right >= 0.9 * total
