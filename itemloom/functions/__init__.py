@@ -1 +1 @@
-"""Item-bank analytics on Sparkfunctions."""
+"""Text and numeric functions as Column expressions."""

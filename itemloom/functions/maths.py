@@ -17,7 +17,8 @@ def clamp(c: Column, low: float, high: float) -> Column:
 
 def clamp_or(c: Column, low: float, high: float, default: float) -> Column:
     """A number within bounds out of text; what isn't one gives the default."""
-    return F.coalesce(clamp(c.try_cast("double"), low, high), F.lit(float(default)))
+    n = c.try_cast("double")
+    return F.when(n.isNull() | F.isnan(n), float(default)).otherwise(clamp(n, low, high))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -1 +1 @@
-"""Item-bank analytics on Sparkoperators."""
+"""Operators over item banks as DataFrame functions."""

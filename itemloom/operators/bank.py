@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from itemloom.functions.text import normal_text, normalize
+
 # Difficulty bands, lower bound exclusive, upper inclusive.
 BANDS: dict[str, tuple[float | None, float | None]] = {"easy": (None, 0.3), "medium": (0.3, 0.6), "hard": (0.6, None)}
 
@@ -37,8 +39,8 @@ class BankFilter:
         if self.any_words:
             text = F.concat_ws(" ", *map(F.col, self.any_columns))
             out.append(reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in self.any_words]))
-        if self.keyword:
-            out.append(F.contains(F.lower(F.concat_ws(" ", *map(F.col, self.keyword_columns))), F.lit(self.keyword.lower())))
+        if word := normal_text(self.keyword):  # one of punctuation alone says nothing
+            out.append(F.contains(normalize(F.concat_ws(" ", *map(F.col, self.keyword_columns))), F.lit(word)))
         return out
 
 
@@ -83,3 +85,47 @@ def not_yet_saved(drafts: DataFrame, saved: DataFrame, draft_key: str, saved_key
 def review_reasons(rules: dict[str, Column]) -> Column:
     """Sorted names of the rules a row fails; empty means it needs no review."""
     return F.array_sort(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()])))
+
+
+def scoped_papers(papers: DataFrame, items: DataFrame, role: str, user: int | None, subjects: list[str], paper: str = "paper") -> DataFrame:
+    """Papers that a role may see: a leader's by subject (its own, or else its scope), a member's by the items they may see.
+
+    ``papers`` has paper, subject and scope; ``items`` paper, owner, reviewed and subject.
+    """
+    if role == "admin":
+        return papers
+    if role == "leader":
+        return papers.where(F.coalesce(F.nullif("subject", F.lit("")), F.col("scope")).isin(subjects))
+    if role == "member":
+        own = items.where((F.col("owner") == user) & F.col("reviewed") & F.col("subject").isin(subjects))
+        return papers.join(own.select(paper), paper, "left_semi")
+    raise ValueError(f"unknown role {role!r}")
+
+
+def auto_commit(drafts: DataFrame, paper: str, duplicates: DataFrame, same_papers: DataFrame, draft: str = "draft") -> DataFrame:
+    """(paper, draft, action, reasons): what becomes of each draft once its paper has been read.
+
+    ``drafts`` has reasons for a review (an array) and rule_only, whether nothing but rules divided the paper; ``duplicates`` has
+    the drafts that the bank has already, ``same_papers`` the papers it has.  Drafts with reasons wait; of the others
+    none is saved if the paper is there already, and duplicates wait.
+    """
+    reasons = F.concat("reasons", F.when(F.col("rule_only"), F.array(F.lit("rules only"))).otherwise(F.array().cast("array<string>")))
+    met = drafts.withColumn("reasons", reasons).join(duplicates.select(draft, F.lit(True).alias("__d")), draft, "left").join(same_papers.select(paper, F.lit(True).alias("__p")), paper, "left")
+    clear = F.size("reasons") == 0
+    action = F.when(~clear, "review").when(F.col("__p"), "same paper").when(F.col("__d"), "duplicate").otherwise("save")
+    return met.select(paper, draft, action.alias("action"), "reasons")
+
+
+def reason_counts(rows: DataFrame, paper: str) -> DataFrame:
+    """(paper, reason, items): how many drafts wait for each reason."""
+    why = F.when(F.col("action") == "review", F.col("reasons")).when(F.col("action") == "duplicate", F.array(F.lit("duplicate")))
+    return rows.select(paper, F.explode(why).alias("reason")).groupBy(paper, "reason").agg(F.count(F.lit(1)).alias("items"))
+
+
+def basket(items: DataFrame, owner: str, order: str, kind: str, score: str) -> DataFrame:
+    """(owner, kind, items, score, each): sections of a basket; scores in half points within 0 and 200, ``each`` if all are equal."""
+    fair = F.greatest(F.lit(0.0), F.least(F.lit(200.0), F.floor(F.col(score) * 2 + 0.5) / 2))
+    rows = items.select(owner, kind, order, fair.alias("s"))
+    out = rows.groupBy(owner, kind).agg(F.count(F.lit(1)).alias("items"), F.sum("s").alias("score"), F.min("s").alias("a"), F.max("s").alias("b"), F.min(order).alias("first"))
+    place = F.row_number().over(Window.partitionBy(owner).orderBy("first", kind))
+    return out.select(owner, kind, "items", "score", F.when(F.col("a") == F.col("b"), F.col("a")).alias("each"), place.alias("section"))

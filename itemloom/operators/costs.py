@@ -69,3 +69,18 @@ def compare_periods(rows: DataFrame, at: Column, start: Column, end: Column, pre
 def top_jobs(rows: DataFrame, job: str, limit: int, cost: str = "cost") -> DataFrame:
     each = rows.groupBy(job).agg(F.round(F.sum(cost), 6).alias("cost"), F.count(F.lit(1)).alias("calls"))
     return each.orderBy(F.desc("cost"), F.desc("calls"), job).limit(limit)
+
+
+def utc_range(start: str, end: str, zone: str = "+08:00") -> tuple[Column, Column]:
+    """The days from ``start`` to ``end`` of a zone as [from, to) in UTC, which a scan can push down to the raw column."""
+    midnight = lambda day: F.to_utc_timestamp(day.cast("timestamp"), zone)
+    return midnight(F.lit(start).cast("date")), midnight(F.date_add(F.lit(end).cast("date"), 1))
+
+
+def ratios(rows: DataFrame, days: int, prompt: str, cached: str, done: Column, cost: str = "cost", status: str = "status", job: str = "job_id") -> DataFrame:
+    """Daily mean, cost of calls that failed, share of cached prompt tokens, and cost a job that is done."""
+    own = F.sum(F.when(done, F.col(cost)).otherwise(0)).cast("double")
+    return rows.agg(
+        F.round(F.sum(cost).cast("double") / days, 6).alias("avg_daily"), F.round(F.sum(F.when(F.col(status) != "ok", F.col(cost)).otherwise(0)).cast("double"), 6).alias("error_cost"),
+        share(F.sum(cached).cast("double"), F.sum(prompt)).alias("cache_hit_rate"), share(own, F.count_distinct(F.when(done, F.col(job))), 6).alias("per_done_job"),
+    )

@@ -21,13 +21,25 @@ def regions(blocks: DataFrame, group: list[str], page: str = "page", bbox: str =
 
 
 def blocks_in(blocks: DataFrame, wanted: DataFrame, on: list[str], region: str = "region", bbox: str = "bbox") -> DataFrame:
-    """Blocks whose centre lies in a wanted region of the same document and page."""
+    """Blocks that lie in a wanted region of the same document and page, with a tolerance of ``EPS``."""
     b, r = blocks.withColumnRenamed(bbox, "__b"), wanted.withColumnRenamed(region, "__r")
-    x, y = (F.col("__b")[0] + F.col("__b")[2]) / 2, (F.col("__b")[1] + F.col("__b")[3]) / 2
-    inside = (x >= F.col("__r")[0] - EPS) & (x <= F.col("__r")[2] + EPS) & (y >= F.col("__r")[1] - EPS) & (y <= F.col("__r")[3] + EPS)
+    (x0, y0, x1, y1), (left, top, right, bottom) = ([F.col(c)[i] for i in range(4)] for c in ("__b", "__r"))
+    inside = (x0 >= left - EPS) & (y0 >= top - EPS) & (x1 <= right + EPS) & (y1 <= bottom + EPS)
     return b.join(r, on).where(inside).withColumnRenamed("__b", bbox).withColumnRenamed("__r", region)
 
 
+def remap_regions(regions_: DataFrame, old: DataFrame, new: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, question, page, bbox): regions moved to where the blocks that they held stand now; one that held none stays.
+
+    ``regions_`` has doc, question, page and region; ``old`` and ``new`` have doc, block, page and bbox.
+    """
+    held = blocks_in(old.select(doc, "block", "page", "bbox"), regions_, [doc, "page"])
+    moved = held.select(doc, "question", F.col("page").alias("was"), "block").join(new.select(doc, "block", "page", "bbox"), [doc, "block"])
+    boxed = boxes(moved, [doc, "question", "was"]).withColumn("bbox", F.transform("bbox", lambda v: F.round(v, 4)))
+    stay = regions_.select(doc, "question", F.col("page").alias("was"), F.col("region")).join(boxed, [doc, "question", "was"], "left")
+    return stay.select(doc, "question", F.coalesce("page", "was").alias("page"), F.coalesce("bbox", "region").alias("bbox"))
+
+
 def paginate(heights: DataFrame, group: list[str], order: str, height: str, limit: float) -> DataFrame:
     """Pages filled in order: a row that would overflow starts the next page; the fold runs in the JVM."""
     seq = heights.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, height))).alias("__s"))  # bounded by a document

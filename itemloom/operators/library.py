@@ -6,14 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def paper_summary(questions: DataFrame, paper: str, score: str, coef: str, created: str) -> DataFrame:
-    """Per paper: items, total score, difficulty (weighted by score, or plain without any), last change."""
-    weighted = F.sum(F.col(coef) * F.col(score))
-    out = questions.groupBy(paper).agg(F.count(F.lit(1)).alias("items"), F.sum(score).alias("total_score"), weighted.alias("__w"), F.avg(coef).alias("__avg"), F.max(created).alias("updated_at"))
-    mean = F.when(F.col("total_score") != 0, F.col("__w") / F.col("total_score")).otherwise(F.col("__avg"))
-    return out.withColumn("avg_coef", F.round(mean, 2)).drop("__w", "__avg")
-
-
 def kind_counts(questions: DataFrame, paper: str, kind: str) -> DataFrame:
     """(paper, kinds): a map of how many questions of each kind."""
     each = questions.groupBy(paper, kind).agg(F.count(F.lit(1)).alias("n"))
@@ -50,3 +42,8 @@ def duplicate_suffix(rows: DataFrame, parent: list[str], name: str, order: list[
     """Repeated names under one parent become name#2, name#3, ..."""
     n = F.row_number().over(Window.partitionBy(*parent, name).orderBy(*order))
     return rows.withColumn(name, F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("#"), n)))
+
+
+def dense_pages(rows: DataFrame, doc: str, page: str) -> DataFrame:
+    """Pages renumbered without gaps, in order."""
+    return rows.withColumn(page, F.dense_rank().over(Window.partitionBy(doc).orderBy(page)))

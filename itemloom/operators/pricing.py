@@ -28,12 +28,12 @@ def intervals(prices: DataFrame, key: list[str], at: str, row_id: str) -> DataFr
     return regular.unionByName(early).drop("__top", "__low", "__first")
 
 
-def as_of(calls: DataFrame, prices: DataFrame, key: list[str], at: str, price_at: str, row_id: str, source: str | None = None, sources: list[str] | None = None) -> DataFrame:
+def as_of(calls: DataFrame, prices: DataFrame, key: list[str], at: str, price_at: str, row_id: str, source: str | None = None, sources: list[str] | None = None, small: int = 20_000) -> DataFrame:
     """Each call with the price that was in force, left-joined.
 
     With ``sources``, the first of them that has any price for the key decides, whatever its times.
-    The join is by key, so each call meets only its own key's intervals; hot keys are split by
-    adaptive execution.
+    Up to ``small`` intervals, counted first, are broadcast, so that calls of a common model stay where they are;
+    more are joined by key, where adaptive execution splits hot keys.
     """
     if source and sources:
         rank = F.array_position(F.array(*map(F.lit, sources)), F.col(source))
@@ -41,6 +41,8 @@ def as_of(calls: DataFrame, prices: DataFrame, key: list[str], at: str, price_at
         best = ranked.groupBy(*key).agg(F.min("__rank").alias("__rank"))
         prices = ranked.join(best, [*key, "__rank"], "left_semi").drop("__rank")
     spans = intervals(prices, key, price_at, row_id)
+    if spans.limit(small + 1).count() <= small:
+        spans = F.broadcast(spans)
     on = [calls[k] == spans[k] for k in key]
     on += [spans["valid_from"].isNull() | (calls[at] >= spans["valid_from"]), spans["valid_to"].isNull() | (calls[at] < spans["valid_to"])]
     kept = [spans[c] for c in spans.columns if c not in key]
@@ -61,3 +63,41 @@ def match_names(used: DataFrame, listed: DataFrame, name: str, vendor: str, dire
     b = listed.select(F.col(name).alias("listed_name"), F.col(vendor), key(F.col(name)).alias("k"))
     order = F.struct(~F.col(vendor).isin(direct), F.col(vendor), F.col("listed_name"))
     return a.join(b, "k").groupBy("used_name").agg(F.min_by("listed_name", order).alias("listed_name"))
+
+
+def configured_cost(provider: Column, pages: Column, prompt: Column, completion: Column, cached: Column, price: Column, per_page: float | None) -> Column:
+    """Cost of a call without a stored one: by page for readers, else by ``price`` (input, output, cached_input); null without a price."""
+    hit = F.least(cached, prompt)
+    tokens = ((prompt - hit) * price["input"] + hit * F.coalesce(price["cached_input"], price["input"]) + completion * price["output"]) / 1_000_000
+    return F.when(provider == "mineru", pages * F.lit(per_page).cast("double")).otherwise(tokens)
+
+
+def listed_prices(rows: DataFrame, text: str) -> DataFrame:
+    """(name, input, output, cached_input) a million tokens, out of JSON {data: [{id, pricing}]} with prices a token.
+
+    Variants (ids with a colon) and models without both prices go; of models of one last name the first stays.
+    """
+    schema = "data array<struct<id: string, pricing: struct<prompt: string, completion: string, input_cache_read: string>>>"
+    each = rows.select(F.posexplode(F.from_json(text, schema)["data"]).alias("pos", "m")).where(~F.contains(F.coalesce("m.id", F.lit("")), F.lit(":")))
+    million = lambda c: F.round(F.col(f"m.pricing.{c}").try_cast("double") * 1e6, 6)
+    named = each.select("pos", F.lower(F.element_at(F.split("m.id", "/"), -1)).alias("name"), million("prompt").alias("input"), million("completion").alias("output"), F.nullif(million("input_cache_read"), F.lit(0.0)).alias("cached_input")).where("input IS NOT NULL AND output IS NOT NULL")
+    return named.groupBy("name").agg(F.min_by(F.struct("input", "output", "cached_input"), "pos").alias("p")).select("name", "p.*")
+
+
+def table_prices(cells: DataFrame, doc: str) -> DataFrame:
+    """(doc, name, max_input, input, output) out of price tables' rows (doc, table_no, row_no, cells), spans filled.
+
+    A table counts if its first row names a model, an input and an output price; a bound such as ``32K`` in a cell named
+    for the input's length is a tier's limit.  Of rows for one model and limit the first stays.
+    """
+    order = Window.partitionBy(doc, "table_no").orderBy("row_no")
+    rows = cells.withColumn("head", F.first("cells").over(order)).where("row_no > 1")
+    place = lambda pattern: F.array_position(F.transform("head", lambda h: F.lower(h).rlike(pattern)), True).cast("int")
+    at = rows.select(doc, "table_no", "row_no", "cells", place("模型|model").alias("m"), place("输入.*价|input.*price|^in$|输入单价").alias("i"), place("输出.*价|output.*price|^out$|输出单价").alias("o"), place("长度|tokens|范围|range").alias("b"))
+    at = at.where("m > 0 AND i > 0 AND o > 0")
+    cell = lambda c: F.try_element_at("cells", F.col(c))
+    number = lambda c: F.regexp_extract(cell(c), r"(\d+(?:\.\d+)?)", 1).try_cast("double")
+    bound = F.when(F.col("b") > 0, F.regexp_extract(cell("b"), r"(\d+)\s*[kK]\D*$", 1).try_cast("int") * 1000)
+    out = at.select(doc, "table_no", "row_no", F.trim(cell("m")).alias("name"), bound.alias("max_input"), number("i").alias("input"), number("o").alias("output")).where("input IS NOT NULL AND output IS NOT NULL")
+    first = F.row_number().over(Window.partitionBy(doc, "name", "max_input").orderBy("table_no", "row_no"))
+    return out.withColumn("__r", first).where("__r = 1").select(doc, "name", "max_input", "input", "output")

@@ -92,3 +92,29 @@ def node_matches(names: DataFrame, nodes: DataFrame, k: int = 8, least: float =
     scored = pairs.select(F.col("ka").alias("q"), F.col("kb").alias("form"), F.when(F.col("ka") == F.col("kb"), 1.0).when(inside, F.greatest("lexical", ratio)).otherwise(F.col("lexical")).alias("score"))
     best = asked.join(scored, "q").join(forms, "form").groupBy("name", "node_id").agg(F.max("score").alias("score"))
     return top_k(best, "name", "score", "node_id", k, least)
+
+
+def hybrid_search(queries: DataFrame, rows: DataFrame, key: str, text: str, vector: str, kind: str, same: list[str], k: int = 5, least: float = CANDIDATE, exact: int = 1000, pool: int = 200) -> DataFrame:
+    """(kq, kind, kr, score, lexical, cos, rank): each query's best rows of equal ``same`` columns by blended similarity.
+
+    Kinds (saved, draft) are decided on their own: one of up to ``exact`` rows is compared whole; of a larger one a query meets
+    its ``pool`` nearest by text and by vector, which are then compared exactly.  The threshold is on the unrounded score,
+    order on the rounded one, then by kind's name and key.  Vectors that can't be compared count as missing.
+    """
+    sizes = {r[kind]: r["count"] for r in rows.groupBy(kind).count().collect()}  # a row a kind
+    large = [v for v, n in sizes.items() if n > exact]
+    ask = queries.select(F.col(key).alias("kq"), *same, F.col(text).alias("tq"), F.col(vector).alias("vq"))
+    have = rows.select(F.col(key).alias("kr"), F.col(kind).alias("kind"), *same, F.col(text).alias("tr"), F.col(vector).alias("vr"))
+    group = have.select("kr", "kind", *same)
+    pairs = lexical_pairs(gram_table(ask, "kq", F.col("tq")), gram_table(have, "kr", F.col("tr")), "kq", "kr").select(F.col("ka").alias("kq"), F.col("kb").alias("kr"), "lexical")
+    met = pairs.join(group, "kr").join(ask.select("kq", *same), ["kq", *same]).where("kq <> kr").select("kq", "kr", "kind", "lexical")
+    usable = lambda df, v: df.where(usable_vector(F.col(v)))
+    near = usable(ask, "vq").drop("tq").join(usable(have, "vr").drop("tr"), same).where((F.col("kq") != F.col("kr")) & (F.size("vq") == F.size("vr"))).select("kq", "kr", "kind", cosine(F.col("vq"), F.col("vr")).alias("cos"))
+    both = met.join(near, ["kq", "kr", "kind"], "full")
+    if large:
+        by = lambda c: F.row_number().over(Window.partitionBy("kq", "kind").orderBy(F.desc_nulls_last(c), "kr"))
+        both = both.withColumn("__l", by("lexical")).withColumn("__v", by("cos")).where(~F.col("kind").isin(large) | (F.col("lexical").isNotNull() & (F.col("__l") <= pool)) | (F.col("cos").isNotNull() & (F.col("__v") <= pool)))
+    lexical = F.coalesce("lexical", F.lit(0.0))
+    scored = both.select("kq", "kr", "kind", lexical.alias("lexical"), "cos", combine(lexical, F.col("cos")).alias("score")).where(F.col("score") >= least).withColumn("score", F.round("score", 4))
+    rank = F.row_number().over(Window.partitionBy("kq").orderBy(F.desc("score"), "kind", "kr"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("kq", "kind", "kr", "score", F.round("lexical", 4).alias("lexical"), F.round("cos", 4).alias("cos"), "rank")

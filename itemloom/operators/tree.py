@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from itemloom.functions.text import normalize, stable_id
+
 SEPARATOR = " / "
 
 
@@ -65,3 +67,18 @@ def pick_tree(trees: DataFrame, group: list[str], builtin: Column, matches: Colu
     """One tree a group: not built in before built in, then matching the textbook, then newest."""
     rank = F.struct(builtin.cast("int"), (~matches).cast("int"), -F.unix_timestamp(created), F.col("tree_id"))
     return trees.groupBy(*group).agg(F.min_by("tree_id", rank).alias("tree_id"))
+
+
+def resolve_typed(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Points (item, id, name) as typed, with the node's id and path: by id, or else by a name that normalises alike, or else free.
+
+    ``how`` says which; of nodes of one name the smallest id counts; a free one has a stable id of its name and no path.
+    """
+    by_id = nodes.select(F.col("node_id").alias("id"), F.struct(F.col("node_id").cast("string").alias("id"), "path").alias("__a"))
+    named = nodes.withColumn("__n", normalize(F.col("name"))).groupBy("__n").agg(F.min(F.struct(F.col("node_id"), "path")).alias("m"))
+    by_name = named.select("__n", F.struct(F.col("m.node_id").cast("string").alias("id"), F.col("m.path").alias("path")).alias("__b"))
+    met = points.withColumn("__n", normalize(F.col("name"))).join(by_id, "id", "left").join(by_name, "__n", "left")
+    free = F.struct(stable_id(F.trim("name")).alias("id"), F.lit(None).cast("string").alias("path"))
+    node = F.coalesce("__a", "__b", free)
+    how = F.when(F.col("__a").isNotNull(), "id").when(F.col("__b").isNotNull(), "name").otherwise("free")
+    return met.select("item", node["id"].alias("node_id"), node["path"].alias("path"), how.alias("how"))

@@ -1 +1 @@
-"""Item-bank analytics on Sparkplans."""
+"""The named queries over the test tables and their SQL counterparts."""

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from itemloom.functions.text import first_filled, province, term, year_matches, years
 from itemloom.operators import bank
-from itemloom.operators.facets import always_shown, fixed_order, self_excluding
-from itemloom.operators.mutate import needs_embedding, sync, upsert
+from itemloom.operators.facets import always_shown, fixed_order, folded, meta_facets, self_excluding
+from itemloom.operators.mutate import apply_embeddings, merge_points, needs_embedding, sync, upsert
 from itemloom.plans.registry import query
 from itemloom.sources.tables import table
 
@@ -32,10 +32,13 @@ def late_materialised_page(spark, d):
     return page.select("doc_id", "lang", "n_chars", F.length("text").cast("long").alias("text_length"))
 
 
-@query("SELECT doc_id, source FROM documents WHERE contains(lower(concat_ws(' ', text, source)), 'license')")
+_NORMAL = "regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace({}, '_{{2,}}|＿+|—{{2,}}|（\\s*）|\\(\\s*\\)', '', 'g'), '\\\\[a-zA-Z]+', '', 'g'), '[\\s$\\\\{{}}]', '', 'g')), '\\p{{P}}', '', 'g')"
+
+
+@query(f"SELECT doc_id, source FROM documents WHERE contains({_NORMAL.format("concat_ws(' ', text, source)")}, 'license')")
 def keyword_search(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text", "source")
-    return bank.search(docs, bank.BankFilter(keyword="LICENSE", keyword_columns=("text", "source"))).select("doc_id", "source")
+    return bank.search(docs, bank.BankFilter(keyword="LICENSE.", keyword_columns=("text", "source"))).select("doc_id", "source")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(concat_ws(' ', p_name, p_type), 'ring') OR contains(concat_ws(' ', p_name, p_type), 'ECONOMY')")
@@ -60,22 +63,45 @@ def _scope_rows(spark, d):
     return orders.join(who, orders.o_custkey == who.c_custkey).withColumn("reviewed", F.col("o_orderstatus") == "F")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_custkey = 19 AND o_orderstatus = 'F'")
+@query("SELECT p_partkey FROM part WHERE p_name LIKE '%gear' OR p_name LIKE '%ring'")
+def keyword_full_width(spark, d):
+    """Names in full-width letters with punctuation, found by plain words; a keyword of punctuation alone filters nothing."""
+    wide = F.translate("p_name", "abcdefghijklmnopqrstuvwxyz ", "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ，")
+    parts = table(spark, d, "part", "p_partkey", "p_name").withColumn("wide", wide)
+    find = lambda word: bank.search(parts, bank.BankFilter(keyword=word, keyword_columns=("wide",)))
+    every = bank.search(find("Gear").unionByName(find("ＲＩＮＧ")), bank.BankFilter(keyword="（ ）", keyword_columns=("wide",)))
+    return every.select("p_partkey")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey IN (4, 58, 84) AND c_mktsegment = 'MACHINERY' AND o_orderstatus = 'F'")
 def scoped_member_view(spark, d):
-    return bank.scoped(_scope_rows(spark, d), "member", 19, "BUILDING", "o_custkey", "reviewed", "c_mktsegment").select("o_orderkey", "o_totalprice")
+    rows = _scope_rows(spark, d)
+    views = [bank.scoped(rows, "member", user, "MACHINERY", "o_custkey", "reviewed", "c_mktsegment") for user in (4, 58, 84)]
+    return views[0].unionByName(views[1]).unionByName(views[2]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
 def scoped_leader_view(spark, d):
-    allowed = table(spark, d, "customer", "c_custkey", "c_mktsegment").where("c_mktsegment = 'MACHINERY'")
-    orders = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice")
-    return orders.join(allowed, orders.o_custkey == allowed.c_custkey, "left_semi").select("o_orderkey", "o_totalprice")
+    return bank.scoped(_scope_rows(spark, d), "leader", None, "MACHINERY", subject_of="c_mktsegment").select("o_orderkey", "o_totalprice")
+
+
+_PAPER_SCOPE = "SELECT o_orderkey AS paper, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS subject, CASE WHEN o_orderkey % 2 = 0 THEN '1-URGENT' ELSE '2-HIGH' END AS scope FROM orders"
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ")
+@query(f"SELECT 'leader' AS role, paper FROM ({_PAPER_SCOPE}) WHERE coalesce(nullif(subject, ''), scope) = '1-URGENT' UNION ALL SELECT DISTINCT 'member', l_orderkey FROM lineitem WHERE l_suppkey = 3 AND l_returnflag = 'R' AND l_linestatus = 'F'")
+def scoped_papers(spark, d):
+    """What a leader sees of the papers by subject or else scope, and a member by their own reviewed questions."""
+    k = F.col("o_orderkey")
+    papers = table(spark, d, "orders", "o_orderkey", "o_orderpriority").select(k.alias("paper"), F.when(k % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("subject"), F.when(k % 2 == 0, "1-URGENT").otherwise("2-HIGH").alias("scope"))
+    items = table(spark, d, "lineitem", "l_orderkey", "l_suppkey", "l_returnflag", "l_linestatus").select(F.col("l_orderkey").alias("paper"), F.col("l_suppkey").alias("owner"), (F.col("l_linestatus") == "F").alias("reviewed"), F.col("l_returnflag").alias("subject"))
+    seen = lambda role, user, subjects: bank.scoped_papers(papers, items, role, user, subjects).select(F.lit(role).alias("role"), "paper")
+    return seen("leader", None, ["1-URGENT"]).unionByName(seen("member", 3, ["R"]))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 4 = 0)")
 def unknown_ids(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return bank.unknown_ids(table(spark, d, "customer", "c_custkey"), orders, "c_custkey")
+    allowed = table(spark, d, "orders").where("o_orderstatus = 'F' AND o_orderkey % 4 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return bank.unknown_ids(table(spark, d, "customer", "c_custkey"), allowed, "c_custkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE nullif(o_orderpriority, '5-LOW') IS DISTINCT FROM '1-URGENT'")
@@ -172,3 +198,78 @@ def attributed_subject(spark, d):
     nation = table(spark, d, "nation", "n_nationkey", "n_name")
     own = F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.col("c_mktsegment"))
     return who.join(F.broadcast(nation), who.c_nationkey == nation.n_nationkey).select("c_custkey", first_filled(own, F.col("n_name")).alias("subject"))  # nations: a fixed 25 rows
+
+
+_DRAFTS = "SELECT l_orderkey AS paper, l_orderkey * 10 + l_linenumber AS draft, min(l_quantity) AS q, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2"
+_ACTIONS = f"""SELECT paper, draft, CASE WHEN q < 10 OR p % 4 = 0 OR paper % 9 = 0 THEN 'review' WHEN paper % 5 = 0 THEN 'same paper' WHEN p % 7 = 0 THEN 'duplicate' ELSE 'save' END AS action,
+    array_to_string(list_filter([CASE WHEN p % 4 = 0 THEN 'answer' END, CASE WHEN q < 10 THEN 'confidence' END, CASE WHEN paper % 9 = 0 THEN 'rules only' END], lambda x: x IS NOT NULL), ',') AS reasons FROM ({_DRAFTS})"""
+
+
+def _committed(spark, d):
+    rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
+    drafts = rows.groupBy(F.col("l_orderkey").alias("paper"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("draft")).agg(F.min("l_quantity").alias("q"), F.min("l_partkey").alias("p"))
+    reasons = bank.review_reasons({"confidence": F.col("q") < 10, "answer": F.col("p") % 4 == 0})
+    asked = drafts.select("paper", "draft", reasons.alias("reasons"), (F.col("paper") % 9 == 0).alias("rule_only"))
+    return bank.auto_commit(asked, "paper", drafts.where("p % 7 = 0").select("draft"), drafts.where("paper % 5 = 0").select("paper").distinct())
+
+
+@query(_ACTIONS)
+def auto_commits(spark, d):
+    """What becomes of each draft: review, the same paper, a duplicate, or saved."""
+    return _committed(spark, d).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(f"WITH a AS ({_ACTIONS}) SELECT paper, reason, count(*) AS items FROM (SELECT paper, unnest(CASE WHEN action = 'review' THEN string_split(reasons, ',') WHEN action = 'duplicate' THEN ['duplicate'] END) AS reason FROM a) GROUP BY 1, 2")
+def pending_reasons(spark, d):
+    return bank.reason_counts(_committed(spark, d), "paper")
+
+
+@query("WITH b AS (SELECT l_orderkey, l_returnflag, l_linenumber, least(200.0::DOUBLE, floor((l_quantity / 3) * 2 + 0.5) / 2) AS s FROM lineitem) SELECT l_orderkey, l_returnflag, count(*) AS items, sum(s) AS score, CASE WHEN min(s) = max(s) THEN min(s) END AS each, (row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber), l_returnflag))::INT AS section FROM b GROUP BY 1, 2")
+def basket_sections(spark, d):
+    rows = table(spark, d, "lineitem", "l_orderkey", "l_returnflag", "l_linenumber", "l_quantity").withColumn("score", F.col("l_quantity") / 3)
+    return bank.basket(rows, "l_orderkey", "l_linenumber", "l_returnflag", "score")
+
+
+@query(
+    f"""WITH m AS ({_META}), v AS (SELECT trim(regexp_extract(region, '^\\s*([^·•/]*)', 1)) AS province, CASE o_orderkey % 5 WHEN 0 THEN '高一' WHEN 1 THEN '初三' WHEN 2 THEN '高三' WHEN 3 THEN '竞赛' ELSE '' END AS grade, list_min(list_transform(regexp_extract_all(school_year || ' ' || title, '(^|[^0-9])((19|20)[0-9][0-9])', 2), lambda y: y::INT)) AS y FROM m),
+    c AS (SELECT 'region' AS facet, province AS value, count(*) AS items FROM v WHERE province <> '' GROUP BY 2 UNION ALL SELECT 'grade', grade, count(*) FROM v WHERE grade <> '' GROUP BY 2 UNION ALL SELECT 'year', y::VARCHAR, count(*) FROM v WHERE y IS NOT NULL GROUP BY 2)
+    SELECT *, (row_number() OVER (PARTITION BY facet ORDER BY CASE facet WHEN 'region' THEN -items WHEN 'year' THEN -try_cast(value AS INT) ELSE CASE value WHEN '初三' THEN 1 WHEN '高一' THEN 2 WHEN '高三' THEN 3 ELSE 99 END END, value))::INT AS position FROM c"""
+)
+def question_facets(spark, d):
+    """Regions by count, grades by their order, each question's least year downwards."""
+    k = F.col("o_orderkey") % 5
+    grade = F.when(k == 0, "高一").when(k == 1, "初三").when(k == 2, "高三").when(k == 3, "竞赛").otherwise("")
+    return meta_facets(_meta(spark, d), province(F.col("region")), grade, years(F.col("school_year"), F.col("title")), ["初三", "高一", "高三"])
+
+
+@query("WITH c AS (SELECT CASE WHEN coalesce(s, '') = '' THEN 'none' WHEN s IN ('BUILDING', 'SCHOOL') THEN s ELSE 'other' END AS value, count(*) AS items FROM (SELECT CASE WHEN c_custkey % 10 = 0 THEN '' ELSE c_mktsegment END AS s FROM customer) GROUP BY 1) SELECT value, items FROM c UNION ALL SELECT 'SCHOOL', 0")
+def school_facet(spark, d):
+    """Listed values even without rows, the rest folded into other, empty ones apart."""
+    seg = F.when(F.col("c_custkey") % 10 == 0, "").otherwise(F.col("c_mktsegment"))
+    counts = table(spark, d, "customer", "c_custkey", "c_mktsegment").groupBy(seg.alias("value")).agg(F.count(F.lit(1)).alias("items"))
+    return folded(counts, "value", ["BUILDING", "SCHOOL"], "other", "none")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'new' ELSE 'old' END AS vector, CASE WHEN event_id % 3 = 0 THEN 'm2' ELSE 'm1' END AS model FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'old', 'm1' FROM events WHERE event_id % 2 = 1")
+def applied_vectors(spark, d):
+    """Vectors computed for every third row, of which those whose text has changed meanwhile (odd ones) are refused."""
+    rows = table(spark, d, "events", "event_id", "event_type").select("event_id", F.col("event_type").alias("text"), F.lit("old").alias("vector"), F.lit("m1").alias("model"))
+    made = rows.where("event_id % 3 = 0").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("text")).otherwise("before").alias("text"), F.lit("new").alias("vector"))
+    return apply_embeddings(rows, made, "event_id", "text", "m2", "vector", "model").select("event_id", "vector", "model")
+
+
+@query("SELECT c_custkey, '1:c' || c_custkey || ',2:b' AS points FROM customer")
+def merged_points(spark, d):
+    """Concepts given twice keep their first place and the last values."""
+    p = lambda i, n: F.struct(F.lit(i).alias("id"), n.alias("name"))
+    points = F.array(p(1, F.lit("a")), p(2, F.lit("b")), p(1, F.concat(F.lit("c"), F.col("c_custkey").cast("string"))))
+    out = table(spark, d, "customer", "c_custkey").select("c_custkey", merge_points(points).alias("p"))
+    return out.select("c_custkey", F.array_join(F.transform("p", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["name"])), ",").alias("points"))
+
+
+@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
+def paper_page(spark, d):
+    """A page of papers, newest first, with how many there are; the total is one row beside a page of twenty."""
+    found = bank.search(table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"), bank.BankFilter(equal={"o_orderstatus": "F"}))
+    one = found.agg(F.count(F.lit(1)).alias("total"))
+    return bank.page(found, [F.desc("o_orderdate"), F.asc("o_orderkey")], 40, 20).join(F.broadcast(one)).select("o_orderkey", "o_totalprice", "total")  # a page and one row

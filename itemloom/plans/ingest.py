@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from itemloom.functions.text import inline_answer, split_options, sub_questions
-from itemloom.operators import layout, segment
+from itemloom.functions.maths import clamp_or
+from itemloom.functions.text import inline_answer, join_lines, linear_math, loose_json, once, school_bucket, split_options, sub_questions, unescape_markdown
+from itemloom.operators import layout, pricing
+from itemloom.operators.classify import classify_paper, consistent
 from itemloom.plans.registry import query
 from itemloom.sources import blocks
 from itemloom.sources.html_tables import read_tables
@@ -25,7 +27,7 @@ def _lines(spark, d):
 @query(
     """WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS seq FROM documents), b AS (SELECT *, seq // 3 + 1 AS page, trim(text) AS t FROM l),
     h AS (SELECT doc, t FROM b WHERE length(t) <= 30 GROUP BY doc, t HAVING count(DISTINCT page) >= greatest(2, (SELECT max(page) FROM b c WHERE c.doc = b.doc) / 2))
-    SELECT doc, count(*) AS kept FROM b WHERE NOT regexp_matches(text, '^\\s*(第?\\s*[0-9]+\\s*页(\\s*[,，/]?\\s*共\\s*[0-9]+\\s*页)?|[-—]?\\s*[0-9]+\\s*[-—]?|[0-9]+\\s*/\\s*[0-9]+)\\s*$') AND NOT EXISTS (SELECT 1 FROM h WHERE h.doc = b.doc AND h.t = b.t) GROUP BY doc"""
+    SELECT doc, count(*) AS kept FROM b WHERE NOT regexp_matches(text, '^\\s*((试卷|答案|数学|第)?[^\\s]{0,4}第\\s*[0-9]+\\s*页.{0,8}|[-—]\\s*[0-9]+\\s*[-—]|[0-9]{1,3})\\s*$') AND NOT EXISTS (SELECT 1 FROM h WHERE h.doc = b.doc AND h.t = b.t) GROUP BY doc"""
 )
 def page_furniture(spark, d):
     return blocks.drop_furniture(_lines(spark, d)).groupBy("doc").agg(F.count(F.lit(1)).alias("kept"))
@@ -48,43 +50,102 @@ def page_regions(spark, d):
     return layout.boxes(boxed, ["l_orderkey"]).select("l_orderkey", "page", *[F.col("bbox")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
 
 
-def _exam(spark, d):
-    """Orders as exam papers: a notice, two headings and numbered lines, in order."""
-    lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").where("l_orderkey % 10 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
-    n = F.col("l_linenumber")
-    text = F.concat(n.cast("string"), F.lit("．"), F.when(F.col("p") % 3 == 0, F.concat(F.lit("（"), (F.col("p") % 10 + 1).cast("string"), F.lit(" 分）"))).otherwise(""), F.lit("题目"), F.col("p").cast("string"), F.lit(" A．甲 B．乙"))
-    body = lines.select(F.col("l_orderkey").alias("paper"), (n * 10).alias("seq"), text.alias("text"))
-    papers = lines.select(F.col("l_orderkey").alias("paper")).distinct()
-    fixed = [(1, "试卷满分：100 分"), (5, "一、选择题（每小题 5 分）"), (35, "二、解答题：共 40 分"), (99, "参考答案")]
-    rest = papers.select("paper", F.explode(F.array(*[F.struct(F.lit(s).alias("seq"), F.lit(t).alias("text")) for s, t in fixed])).alias("f")).select("paper", "f.seq", "f.text")
-    return body.unionByName(rest)
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 2 THEN 'stem ' || p_name || ' A．only' WHEN 3 THEN 'stem ' || p_name || ' AB．no' ELSE 'stem ' || p_name END AS stem, CASE p_partkey % 4 WHEN 0 THEN 'one|two' WHEN 1 THEN 'one|two|three' WHEN 2 THEN '' ELSE 'x|y|z|w' END AS options, p_brand AS answer, CASE WHEN p_size > 25 THEN p_type END AS analysis FROM part")
+def split_texts(spark, d):
+    """Options (two to four, or a lone mark that is none) and marked answers cut out of a question's text."""
+    k = F.col("p_partkey") % 4
+    marks = F.when(k == 0, " A．one  B．two").when(k == 1, " A．one B.two C、three").when(k == 2, " A．only").otherwise(" AB．no A．x B：y C. z D．w")
+    text = F.concat(F.lit("stem "), F.col("p_name"), marks, F.lit("【答案】"), F.col("p_brand"), F.when(F.col("p_size") > 25, F.concat(F.lit("【解析】"), F.col("p_type"))).otherwise(""))
+    rows = table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_size", "p_type").select("p_partkey", inline_answer(text).alias("a"))
+    rows = rows.select("p_partkey", split_options(F.col("a.stem")).alias("s"), "a.answer", "a.analysis")
+    return rows.select("p_partkey", "s.stem", F.array_join("s.options", "|").alias("options"), "answer", "analysis")
 
 
-@query()
-def segmented_questions(spark, d):
-    units = _exam(spark, d)
-    marks = segment.segment(units)
-    return segment.scores(segment.questions(units, marks), segment.headings(units, marks))
+@query("SELECT p_partkey, (i + 1)::INT AS no, '（' || (i + 1) || '）' || p_name AS part, ((p_size + 5) // n + CASE WHEN i + 1 = n THEN (p_size + 5) % n ELSE 0 END)::BIGINT AS score FROM (SELECT *, 1 + p_partkey % 4 AS n, unnest(range(1 + p_partkey % 4)) AS i FROM part)")
+def sub_question_parts(spark, d):
+    """One to four parts of a question, its score in equal whole shares with the remainder on the last part."""
+    n = 1 + F.col("p_partkey") % 4
+    text = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("（"), i.cast("string"), F.lit("）"), F.col("p_name"))), "")
+    rows = table(spark, d, "part", "p_partkey", "p_name", "p_size").select("p_partkey", (F.col("p_size") + 5).alias("total"), sub_questions(text).alias("parts"))
+    each = rows.select("p_partkey", "total", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "part"))
+    share = F.floor(F.col("total") / F.col("n")) + F.when(F.col("i") + 1 == F.col("n"), F.col("total") % F.col("n")).otherwise(0)
+    return each.select("p_partkey", (F.col("i") + 1).alias("no"), "part", share.cast("long").alias("score"))
 
 
-@query("SELECT l_orderkey AS paper, count(DISTINCT l_linenumber) AS questions FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1 HAVING min(l_linenumber) = max(l_linenumber)")
-def segmented_counts(spark, d):
-    """Questions of papers with one numbered line, which always starts one."""
-    found = segment.segment(_exam(spark, d)).where("role = 'start'").groupBy("paper").agg(F.count(F.lit(1)).alias("questions"))
-    one = table(spark, d, "lineitem", "l_orderkey", "l_linenumber").where("l_orderkey % 10 = 0").groupBy(F.col("l_orderkey").alias("paper")).agg(F.count_distinct("l_linenumber").alias("n")).where("n = 1")
-    return found.join(one, "paper", "left_semi")
+@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, (turn // 2 + 1)::INT AS page, greatest(0, least(1, (turn * 40 - 10) / 1000.0::DOUBLE)) AS x0, 'text' AS type, length(text)::INT AS n FROM conversations WHERE turn % 3 < 2 AND trim(text) <> ''")
+def content_lists(spark, d):
+    """A recogniser's JSON: every third block is discarded furniture, boxes reach beyond the page."""
+    turns = table(spark, d, "conversations")
+    box = F.array((F.col("turn") * 40 - 10).cast("double"), F.lit(20.0), F.lit(900.0), F.lit(1100.0))
+    block = F.struct("turn", F.when(F.col("turn") % 3 == 2, "discarded").otherwise("text").alias("type"), F.col("text"), box.alias("bbox"), F.floor(F.col("turn") / 2).cast("int").alias("page_idx"))
+    lists = turns.groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list(block))).alias("content"))
+    out = blocks.from_content_list(lists, "conv_id", "content")
+    return out.select("conv_id", F.col("seq").cast("long").alias("seq"), "page", F.col("bbox")[0].alias("x0"), "type", F.length("text").alias("n"))
 
 
-@query("SELECT p_partkey, 'stem ' || p_name AS stem, 2 AS options, p_brand AS answer, CASE WHEN p_size > 25 THEN p_type END AS analysis FROM part")
-def split_texts(spark, d):
-    """Options and marked answers cut out of a question's text."""
-    text = F.concat(F.lit("stem "), F.col("p_name"), F.lit(" A．one  B．two【答案】"), F.col("p_brand"), F.when(F.col("p_size") > 25, F.concat(F.lit("【解析】"), F.col("p_type"))).otherwise(""))
-    rows = table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_size", "p_type").select("p_partkey", inline_answer(text).alias("a"))
-    rows = rows.select("p_partkey", split_options(F.col("a.stem")).alias("s"), "a.answer", "a.analysis")
-    return rows.select("p_partkey", "s.stem", F.size("s.options").alias("options"), "answer", "analysis")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'first' WHEN o_orderkey % 3 = 0 THEN 'second' END AS chosen, CASE WHEN o_orderkey % 2 = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN 'no first' ELSE 'no first,no second' END AS failed FROM orders")
+def parser_fallback(spark, d):
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders", "o_orderkey").select("o_orderkey", F.when(k % 2 == 0, "first").alias("a"), F.when(k % 3 == 0, "second").alias("b"), F.lit("no first").alias("ra"), F.lit("no second").alias("rb"))
+    return blocks.first_success(rows, ["a", "b"], ["ra", "rb"]).select("o_orderkey", "chosen", F.array_join("failed", ",").alias("failed"))
 
 
-@query("SELECT p_partkey, 2 AS parts FROM part")
-def sub_question_parts(spark, d):
-    text = F.concat(F.lit("（1）"), F.col("p_name"), F.lit("（2）"), F.col("p_type"))
-    return table(spark, d, "part", "p_partkey", "p_name", "p_type").select("p_partkey", F.size(sub_questions(text)).alias("parts"))
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'x² + ' || p_size || '³ 和 a₁₂' WHEN 1 THEN '$a^{m+k}$ - $\\sqrt{x - ' || p_size || '}$' ELSE '$x^2$ ' || p_name END AS text FROM part")
+def linear_formulas(spark, d):
+    k, size = F.col("p_partkey") % 3, F.col("p_size").cast("string")
+    text = F.when(k == 0, F.concat(F.lit("x^2 + "), size, F.lit("^{3} 和 a_12"))).when(k == 1, F.concat(F.lit("a^(m+k) - √( x - "), size, F.lit(")"))).otherwise(F.concat(F.lit("$x^2$ "), F.col("p_name")))
+    return table(spark, d, "part", "p_partkey", "p_size", "p_name").select("p_partkey", linear_math(text).alias("text"))
+
+
+@query("SELECT p_partkey, '设 ' || p_name || ' is' || chr(10) || 'A．' || p_brand || chr(10) || '（1）' || p_type || '是' || p_size AS text FROM part")
+def joined_lines(spark, d):
+    lines = F.array(F.concat(F.lit("设 "), F.col("p_name")), F.lit(""), F.lit(" is "), F.concat(F.lit("A．"), F.col("p_brand")), F.concat(F.lit("（1）"), F.col("p_type"), F.lit("是")), F.col("p_size").cast("string"))
+    return table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").select("p_partkey", join_lines(lines).alias("text"))
+
+
+@query(r"SELECT p_partkey, '_' || p_name || '*$a\_b$.' AS text FROM part")
+def unescaped_markdown(spark, d):
+    text = F.concat(F.lit("\\_"), F.col("p_name"), F.lit("\\*$a\\_b$\\."))
+    return table(spark, d, "part", "p_partkey", "p_name").select("p_partkey", unescape_markdown(text).alias("text"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS n, least(0.9, greatest(0.1, CASE WHEN p_partkey % 3 = 0 THEN 0.5 ELSE p_size / 50.0::DOUBLE END)) AS difficulty FROM part")
+def tolerant_json(spark, d):
+    """Objects in prose or fences, or none at all; numbers out of text, clamped, with a default."""
+    k = F.col("p_partkey")
+    text = F.when(k % 2 == 0, F.concat(F.lit('Sure: ```json\n{"n": '), F.col("p_size").cast("string"), F.lit("}\n``` done"))).otherwise("nothing here")
+    number = F.when(k % 3 == 0, "about half").otherwise((F.col("p_size") / 50).cast("string"))
+    return table(spark, d, "part", "p_partkey", "p_size").select("p_partkey", loose_json(text, "n int")["n"].alias("n"), clamp_or(number, 0.1, 0.9, 0.5).alias("difficulty"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '一中' WHEN 1 THEN '一中' WHEN 2 THEN 'other' ELSE 'none' END AS school FROM part")
+def school_buckets(spark, d):
+    k = F.col("p_partkey") % 4
+    school = F.when(k == 0, "厦门第一中学").when(k == 1, "厦门第一中学思明校区").when(k == 2, "厦门第一中学集美分校").otherwise("")
+    return table(spark, d, "part", "p_partkey").select("p_partkey", school_bucket(school, {"厦门第一中学": "一中"}, "other", "none").alias("school"))
+
+
+@query(
+    """SELECT o_orderkey, '2023—2024' || CASE WHEN o_orderkey % 2 = 0 THEN ' 上' ELSE ' 下' END AS school_year, CASE o_orderkey % 3 WHEN 0 THEN '高中' WHEN 1 THEN '初中' ELSE '小学' END AS stage, CASE o_orderkey % 3 WHEN 0 THEN '高一' WHEN 1 THEN '初二' ELSE '三年级' END AS grade,
+    CASE WHEN o_orderkey % 5 = 0 THEN '物理' ELSE '数学' END AS subject, CASE WHEN o_orderkey % 2 = 0 THEN '期中考试' ELSE '期末考试' END AS paper_type, CASE WHEN o_orderkey % 7 = 0 THEN '福建 · 思明' ELSE '' END AS region, CASE WHEN o_orderkey % 4 = 0 THEN '人教A版' ELSE '' END AS textbook, CASE WHEN o_orderkey % 3 = 2 AND o_orderkey % 5 = 0 THEN '' ELSE CASE o_orderkey % 3 WHEN 0 THEN '高中' WHEN 1 THEN '初中' ELSE '小学' END END AS checked_stage FROM orders"""
+)
+def classified_papers(spark, d):
+    k = F.col("o_orderkey")
+    grade = F.when(k % 3 == 0, "高一").when(k % 3 == 1, "八年级").otherwise("三年级")
+    name = F.concat(F.when(k % 7 == 0, "福建省思明区 ").otherwise(""), F.lit("2023-2024学年"), grade, F.when(k % 2 == 0, "第一学期期中").otherwise("下学期期末"), F.when(k % 5 == 0, "物 理").otherwise("数学"), F.lit("试卷"))
+    text = F.concat(F.lit("绝密★\n"), name, F.when(k % 4 == 0, "\n人教A版").otherwise(""), F.lit("\n1．题目"))
+    rows = table(spark, d, "orders", "o_orderkey").select("o_orderkey", once(classify_paper(text)).alias("m"))
+    out = rows.select("o_orderkey", "m.school_year", "m.stage", "m.grade", "m.subject", "m.paper_type", "m.region", "m.textbook")
+    return out.withColumn("checked_stage", consistent(F.col("stage"), F.col("grade"), F.col("subject"), F.col("paper_type"))["stage"])
+
+
+@query("SELECT p_partkey, 'Model-' || p_partkey AS name, (p_size * 1000)::INT AS max_input, p_size / 4.0::DOUBLE AS input, p_size::DOUBLE AS output FROM part UNION ALL SELECT p_partkey, 'Model-' || p_partkey, NULL, p_size / 2.0::DOUBLE, 2.0::DOUBLE * p_size FROM part")
+def html_price_tables(spark, d):
+    """Two rows of a model, whose name spans both, with a bound in the first; another table names no price."""
+    size = F.col("p_size").cast("string")
+    cells = lambda *c: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), x, F.lit("</td>")) for x in c], F.lit("</tr>"))
+    name = F.concat(F.lit("Model-"), F.col("p_partkey").cast("string"))
+    first = F.concat(F.lit("<tr><td rowspan=2>"), name, F.lit("</td><td>0-"), size, F.lit("K</td><td>"), (F.col("p_size") / 4).cast("string"), F.lit(" yuan</td><td>"), size, F.lit("</td></tr>"))
+    html = F.concat(F.lit("<h2>Prices</h2><table><tr><th>Model</th><th>Range</th><th>Input price</th><th>Output price</th></tr>"), first, cells(F.lit("more"), (F.col("p_size") / 2).cast("string"), (F.col("p_size") * 2).cast("string")), F.lit("</table><table><tr><td>x</td></tr><tr><td>1</td></tr></table>"))
+    pages = table(spark, d, "part", "p_partkey", "p_size").select("p_partkey", html.alias("html"))
+    return pricing.table_prices(read_tables(pages, "p_partkey", "html"), "p_partkey")

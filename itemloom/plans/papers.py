@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from itemloom.operators import library
-from itemloom.operators.apportion import apportion, assign_scores, even_split
+from itemloom.operators.apportion import apportion, assign_scores, even_split, scale
 from itemloom.operators.compose import Blueprint, compose, topics
 from itemloom.operators.layout import paginate
 from itemloom.operators.mutate import merge_into_previous
@@ -87,7 +87,7 @@ def duplicate_names(spark, d):
 @query(
     """WITH w AS (SELECT o_custkey, o_orderkey, o_totalprice::DOUBLE AS w, count(*) OVER c AS n, sum(o_totalprice::DECIMAL(18,2)) OVER c AS tw FROM orders WINDOW c AS (PARTITION BY o_custkey)),
     r AS (SELECT *, (100 - n) * w / tw::DOUBLE AS raw FROM w), f AS (SELECT *, floor(raw) AS fl FROM r),
-    k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY fl - raw, o_orderkey) AS rk, (100 - n) - sum(fl) OVER (PARTITION BY o_custkey) AS rest FROM f)
+    k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY round(fl - raw, 9), o_orderkey) AS rk, (100 - n) - sum(fl) OVER (PARTITION BY o_custkey) AS rest FROM f)
     SELECT o_custkey, o_orderkey, CASE WHEN n <= 100 THEN (fl + (rk <= rest)::INT + 1)::BIGINT END AS share FROM k"""
 )
 def apportion_scores(spark, d):
@@ -100,9 +100,15 @@ def even_scores(spark, d):
     return even_split(_lines(spark, d, "l_extendedprice"), ["l_orderkey"], [*_ORDER, "l_extendedprice"], F.lit(100)).select("l_orderkey", "l_partkey", "l_suppkey", "share")
 
 
-@query()
+@query(
+    f"""WITH b AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 5 WHEN 'N' THEN 4 ELSE 12 END AS base FROM lineitem), w AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN base * (0.8::DOUBLE + 0.5::DOUBLE * round(l_discount * 10, 2)) ELSE base END::DOUBLE AS wt FROM b),
+    o AS (SELECT *, sum(wt) OVER p AS tw, max(l_returnflag) OVER p AS top FROM w WINDOW p AS (PARTITION BY l_orderkey)), e AS (SELECT *, l_returnflag = top AS flex, greatest(1, round_even(base * 150 / tw, 0))::BIGINT AS each FROM o),
+    f AS (SELECT *, sum(CASE WHEN flex THEN 0 ELSE each END) OVER p AS fixed, sum(flex::INT) OVER p AS m FROM e WINDOW p AS (PARTITION BY l_orderkey)), s AS (SELECT *, 150 - fixed >= m AS split FROM f), t AS (SELECT *, CASE WHEN split THEN flex ELSE true END AS part, CASE WHEN split THEN 150 - fixed ELSE 150 END AS amount FROM s),
+    x AS (SELECT *, (amount - count(*) OVER q) * wt / sum(wt) OVER q AS raw, amount - count(*) OVER q AS extra FROM t WHERE part WINDOW q AS (PARTITION BY l_orderkey)), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(floor(raw) - raw, 9), {_SORT}) AS rk, extra - sum(floor(raw)) OVER (PARTITION BY l_orderkey) AS rest FROM x)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, (floor(raw) + (rk <= rest)::INT + 1)::BIGINT AS assigned FROM k UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, each FROM t WHERE NOT part"""
+)
 def assigned_scores(spark, d):
-    """Papers of 150 points; kind R shares what the other kinds leave, by difficulty."""
+    """Papers of 150 points; kind R, or else the last kind (by name), shares what the other kinds leave, by difficulty."""
     base = F.when(F.col("l_returnflag") == "A", 5).when(F.col("l_returnflag") == "N", 4).otherwise(12)
     weight = F.when(F.col("l_returnflag") == "R", base * (0.8 + 0.5 * F.col("coef"))).otherwise(base)
     out = assign_scores(_lines(spark, d, "l_extendedprice"), ["l_orderkey"], [*_ORDER, "l_extendedprice"], F.col("l_returnflag"), "R", base, weight, F.lit(150))
@@ -119,10 +125,12 @@ def _points(spark, d):
 @query()
 def compose_select(spark, d):
     """One paper for each market segment out of its orders' lines, favouring one nation's concepts."""
-    lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_discount")
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_discount")
     seg = table(spark, d, "orders", "o_orderkey", "o_custkey").join(table(spark, d, "customer", "c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment")
     rows = lines.join(seg, lines.l_orderkey == seg.o_orderkey).join(_points(spark, d), lines.l_suppkey == F.col("s_suppkey"))
-    rows = rows.groupBy("c_mktsegment", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item")).agg(F.min("l_returnflag").alias("kind"), F.min("path").alias("path"), F.round(F.min("l_discount") * 10, 2).alias("coef"))
+    part = table(spark, d, "part", "p_partkey", "p_name", "p_type", "p_brand")
+    rows = rows.join(part, rows.l_partkey == part.p_partkey)
+    rows = rows.groupBy("c_mktsegment", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item")).agg(F.min(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("stem"), F.min("l_returnflag").alias("kind"), F.min("path").alias("path"), F.round(F.min("l_discount") * 10, 2).alias("coef"))
     return compose(rows, ["c_mktsegment"], "item", "kind", "path", "coef", Blueprint({"A": 8, "N": 4, "R": 6}, 0.5, {"ASIA": 2}, ("AFRICA",)))
 
 
@@ -136,14 +144,37 @@ def topic_catalog(spark, d):
     return topics(met, "l_partkey", "path")
 
 
-@query()
+@query(
+    """WITH t AS (SELECT *, length(text)::DOUBLE AS s, CASE WHEN role = 'user' THEN 0.4 ELSE 0.6 END::DOUBLE AS c, row_number() OVER w AS r FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    n AS (SELECT *, sum((role <> 'assistant' OR r = 1)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS no FROM t)
+    SELECT conv_id, no::BIGINT AS no, string_agg(text, '；' ORDER BY turn) AS text, sum(s) AS score, round(CASE WHEN sum(s) > 0 THEN sum(c * s) / sum(s) ELSE avg(c) END, 2) AS coef FROM n GROUP BY 1, 2"""
+)
 def merged_questions(spark, d):
     """Turns of the assistant join the user's turn before them, as follow-ups of a question do."""
     turns = table(spark, d, "conversations").withColumn("score", F.length("text").cast("double")).withColumn("coef", F.when(F.col("role") == "user", 0.4).otherwise(0.6))
     return merge_into_previous(turns, ["conv_id"], "turn", F.col("role") == "assistant", "text", "score", "coef")
 
 
-@query()
+@query(
+    """WITH RECURSIVE h AS (SELECT conv_id, turn, ceil(length(text) / 40)::DOUBLE AS h, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+    w AS (SELECT conv_id, i, turn, h AS used, 1 AS page FROM h WHERE i = 1 UNION ALL SELECT h.conv_id, h.i, h.turn, CASE WHEN w.used > 0 AND w.used + h.h > 60 THEN h.h ELSE w.used + h.h END, w.page + (w.used > 0 AND w.used + h.h > 60)::INT FROM w JOIN h ON h.conv_id = w.conv_id AND h.i = w.i + 1)
+    SELECT conv_id, turn, page::INT AS page FROM w"""
+)
 def paginated_turns(spark, d):
     heights = table(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", (F.ceil(F.length("text") / 40) * 1.0).alias("height"))
     return paginate(heights, ["conv_id"], "turn", "height", 60.0)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, (dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey))::INT AS page FROM lineitem")
+def dense_pages(spark, d):
+    rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").withColumnRenamed("l_suppkey", "page")
+    return library.dense_pages(rows, "l_orderkey", "page").select("l_orderkey", "l_linenumber", "l_partkey", "page")
+
+
+@query(
+    """WITH r AS (SELECT o_custkey, o_orderkey, 60 * o_totalprice / sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey)::DOUBLE AS raw FROM orders), f AS (SELECT *, floor(raw) AS fl FROM r)
+    SELECT o_custkey, o_orderkey, (fl + (row_number() OVER (PARTITION BY o_custkey ORDER BY round(fl - raw, 9), o_orderkey) <= 60 - sum(fl) OVER (PARTITION BY o_custkey))::INT)::BIGINT AS scaled FROM f"""
+)
+def scaled_scores(spark, d):
+    orders = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_totalprice")
+    return scale(orders, ["o_custkey"], ["o_orderkey"], F.col("o_totalprice"), F.lit(60)).select("o_custkey", "o_orderkey", "scaled")

@@ -17,14 +17,14 @@ def normalized_text(spark, d):
     return table(spark, d, "benchmark").select("item_id", normalize(F.col("text")).alias("normal"), F.length("text").cast("long").alias("n"))
 
 
-_PAIRS = f"""WITH a AS (SELECT item_id AS ka, {_NORM.format('text')} AS t FROM benchmark), b AS (SELECT p_partkey AS kb, lower(p_name || ' ' || p_type) AS t0, {_NORM.format("p_name || ' ' || p_type")} AS t FROM part WHERE p_partkey < 500),
+_PAIRS = f"""WITH a AS (SELECT item_id AS ka, {_NORM.format('text')} AS t FROM benchmark), b AS (SELECT p_partkey AS kb, lower(p_name || ' ' || p_type) AS t0, {_NORM.format("p_name || ' ' || p_type")} AS t FROM part),
  ga AS ({_GRAMS.format(key='ka', table='a')}), gb AS ({_GRAMS.format(key='kb', table='b')}), na AS (SELECT ka, sqrt(sum(n * n)) AS l FROM ga GROUP BY 1), nb AS (SELECT kb, sqrt(sum(n * n)) AS l FROM gb GROUP BY 1),
  p AS (SELECT ka, kb, sum(ga.n * gb.n) / (any_value(na.l) * any_value(nb.l)) AS lexical FROM ga JOIN gb USING (g) JOIN na USING (ka) JOIN nb USING (kb) GROUP BY 1, 2)"""
 
 
 def _lexical(spark, d):
     a = sim.gram_table(table(spark, d, "benchmark"), "item_id", F.col("text"))
-    parts = table(spark, d, "part", "p_partkey", "p_name", "p_type").where("p_partkey < 500")
+    parts = table(spark, d, "part", "p_partkey", "p_name", "p_type")
     b = sim.gram_table(parts, "p_partkey", F.concat_ws(" ", "p_name", "p_type"))
     return sim.lexical_pairs(a, b, "item_id", "p_partkey")
 
@@ -34,49 +34,63 @@ def lexical_topk(spark, d):
     return sim.top_k(_lexical(spark, d), "ka", "lexical", "kb", 3, 0.02)
 
 
-@query(f"WITH a AS (SELECT p_partkey AS ka, p_name AS t FROM part WHERE p_partkey < 300), b AS (SELECT p_partkey AS kb, p_name AS t FROM part WHERE p_partkey >= 300) SELECT ka, min(kb) AS duplicate_of, 1.0::DOUBLE AS score FROM a JOIN b ON replace(a.t, ' ', '') = replace(b.t, ' ', '') GROUP BY 1")
+_TEXT = "p_name || ' ' || p_type || ' ' || p_brand"
+_SELF = f"""WITH b AS (SELECT p_partkey AS kb, {_NORM.format(_TEXT)} AS t FROM part), a AS (SELECT kb AS ka, t FROM b WHERE kb % 100 = 0),
+ ga AS ({_GRAMS.format(key='ka', table='a')}), gb AS ({_GRAMS.format(key='kb', table='b')}), na AS (SELECT ka, sqrt(sum(n * n)) AS l FROM ga GROUP BY 1), nb AS (SELECT kb, sqrt(sum(n * n)) AS l FROM gb GROUP BY 1),
+ p AS (SELECT ka, kb, sum(ga.n * gb.n) / (any_value(na.l) * any_value(nb.l)) AS lexical FROM ga JOIN gb USING (g) JOIN na USING (ka) JOIN nb USING (kb) WHERE ka <> kb GROUP BY 1, 2)"""
+
+
+@query(f"{_SELF} SELECT ka, kb AS duplicate_of, round(lexical, 4) AS score FROM p WHERE lexical >= 0.85 QUALIFY row_number() OVER (PARTITION BY ka ORDER BY round(lexical, 4) DESC, kb) = 1")
 def dedupe_top1(spark, d):
-    """Parts named like an earlier one; equal names are the best match of all."""
-    parts = table(spark, d, "part", "p_partkey", "p_name")
-    a = sim.gram_table(parts.where("p_partkey < 300"), "p_partkey", F.col("p_name"))
-    b = sim.gram_table(parts.where("p_partkey >= 300"), "p_partkey", F.col("p_name"))
-    return sim.duplicate_of(sim.lexical_pairs(a, b, "p_partkey", "p_partkey"))
+    """Every hundredth part against all others: the nearest text from 0.85 on."""
+    parts = table(spark, d, "part", "p_partkey", "p_name", "p_type", "p_brand")
+    grams = sim.gram_table(parts, "p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand"))
+    return sim.duplicate_of(sim.lexical_pairs(grams.where("p_partkey % 100 = 0"), grams, "p_partkey", "p_partkey").where("ka <> kb"))
 
 
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
 
 
-@query(f"SELECT q.vec_id AS kq, e.vec_id AS kr, round({_COS}, 4) AS cos, (row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 4) DESC, e.vec_id))::INT AS rank FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id < 20 AND {_COS} >= 0.1 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 4) DESC, e.vec_id) <= 5")
+@query(f"SELECT q.vec_id AS kq, e.vec_id AS kr, round({_COS}, 4) AS cos, (row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 4) DESC, e.vec_id))::INT AS rank FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0 AND {_COS} >= 0.1 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 4) DESC, e.vec_id) <= 5")
 def vector_topk(spark, d):
+    """Queries are the vectors whose id is divisible by 100, against all of their label."""
     rows = table(spark, d, "embeddings")
-    pairs = sim.vector_pairs(rows.where("vec_id < 20"), rows, "vec_id", "vec_id", "embedding", ["label"])
+    pairs = sim.vector_pairs(rows.where("vec_id % 100 = 0"), rows, "vec_id", "vec_id", "embedding", ["label"])
     return sim.top_k(pairs, "kq", "cos", "kr", 5, 0.1)
 
 
-@query(f"{_PAIRS}, s AS (SELECT q.vec_id AS ka, e.vec_id AS kb, {_COS} AS cos FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id < 40), m AS (SELECT ka, kb, CASE WHEN cos IS NULL THEN lexical ELSE 0.5 * coalesce(lexical, 0) + 0.5 * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (cos - 0.6) / 0.35)) END AS score FROM p FULL JOIN s USING (ka, kb)) SELECT ka, kb, round(score, 3) AS score FROM m WHERE score > 0.05")
-def hybrid_scores(spark, d):
-    rows = table(spark, d, "embeddings")
-    semantic = sim.vector_pairs(rows.where("vec_id < 40"), rows, "vec_id", "vec_id", "embedding", ["label"])
-    return sim.blended(_lexical(spark, d), semantic).where("score > 0.05").select("ka", "kb", F.round("score", 3).alias("score"))
+@query(
+    f"""{_SELF}, v AS (SELECT p_partkey AS k, CASE WHEN p_size % 4 = 0 THEN 'draft' ELSE 'bank' END AS kind, label, CASE WHEN p_size % 3 > 0 THEN embedding END AS embedding FROM part JOIN embeddings ON p_partkey = vec_id),
+    s AS (SELECT q.k AS ka, e.k AS kb, e.kind, {_COS} AS cos FROM v q JOIN v e ON q.label = e.label AND q.k <> e.k WHERE q.k % 100 = 0), m AS (SELECT s.ka, s.kb, kind, coalesce(lexical, 0) AS lexical, cos FROM s LEFT JOIN p ON p.ka = s.ka AND p.kb = s.kb),
+    c AS (SELECT *, CASE WHEN cos IS NULL THEN lexical ELSE 0.5 * lexical + 0.5 * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (cos - 0.6) / 0.35)) END AS score FROM m)
+    SELECT ka AS kq, kind, kb AS kr, round(score, 4) AS score, round(lexical, 4) AS lexical, round(cos, 4) AS cos, (row_number() OVER (PARTITION BY ka ORDER BY round(score, 4) DESC, kind, kb))::INT AS rank FROM c WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY ka ORDER BY round(score, 4) DESC, kind, kb) <= 5"""
+)
+def hybrid_search(spark, d):
+    """Texts and vectors of parts, every hundredth as a query within its label; saved ones before drafts of one score."""
+    parts = table(spark, d, "part", "p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    vectors = table(spark, d, "embeddings")
+    rows = parts.join(vectors, parts.p_partkey == vectors.vec_id).select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"), F.when(F.col("p_size") % 3 > 0, F.col("embedding")).alias("vector"), F.when(F.col("p_size") % 4 == 0, "draft").otherwise("bank").alias("kind"), "label")
+    return sim.hybrid_search(rows.where("p_partkey % 100 = 0"), rows, "p_partkey", "text", "vector", "kind", ["label"], exact=1_000_000)
 
 
-@query("SELECT a.vec_id AS kq, b.vec_id AS kr, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: ((z[1] > 0) <> (z[2] > 0))::INT))::INT AS bits, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id < 10 AND b.vec_id < 200")
+@query("SELECT a.vec_id AS kq, b.vec_id AS kr, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: ((z[1] > 0) <> (z[2] > 0))::INT))::INT AS bits, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0")
 def quantised_hamming(spark, d):
-    rows = table(spark, d, "embeddings").where("vec_id < 200").withColumn("bits", sign_bits(F.col("embedding")))
-    a = rows.where("vec_id < 10").select(F.col("vec_id").alias("kq"), "label", F.col("bits").alias("ba"), F.col("embedding").alias("va"))
+    """Every hundredth vector's sign bits against those of all of its label."""
+    rows = table(spark, d, "embeddings").withColumn("bits", sign_bits(F.col("embedding")))
+    a = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("kq"), "label", F.col("bits").alias("ba"), F.col("embedding").alias("va"))
     met = a.join(rows, "label")
     return met.select("kq", F.col("vec_id").alias("kr"), hamming(F.col("ba"), F.col("bits")).cast("int").alias("bits"), F.round(cosine(F.col("va"), F.col("embedding")), 6).alias("cos"))
 
 
 @query(
-    """WITH p AS (SELECT o_orderkey AS paper, (o_orderkey // 3)::VARCHAR AS h, o_orderkey % 5 = 0 AS keep, 'yearly paper ' || o_custkey AS title, o_orderpriority AS grade, 4 AS items FROM orders WHERE o_orderkey < 2000),
+    """WITH p AS (SELECT o_orderkey AS paper, (o_orderkey // 3)::VARCHAR AS h, o_orderkey % 5 = 0 AS keep, 'yearly paper ' || o_custkey AS title, o_orderpriority AS grade, 4 AS items FROM orders),
     f AS (SELECT a.paper, min(b.paper) AS other FROM p a JOIN p b ON a.h = b.h AND a.paper <> b.paper WHERE a.keep AND b.keep GROUP BY 1),
     t AS (SELECT a.paper, min(b.paper) AS other FROM p a JOIN p b ON a.title = b.title AND a.grade = b.grade AND a.paper <> b.paper GROUP BY 1),
     d AS (SELECT paper, min(paper + 1) AS other FROM p WHERE paper % 7 = 0 GROUP BY 1)
     SELECT paper, coalesce(f.other, t.other, d.other) AS other, CASE WHEN f.other IS NOT NULL THEN 'same_file' WHEN t.other IS NOT NULL THEN 'same_title' ELSE 'most_questions' END AS reason FROM p LEFT JOIN f USING (paper) LEFT JOIN t USING (paper) LEFT JOIN d USING (paper) WHERE coalesce(f.other, t.other, d.other) IS NOT NULL"""
 )
 def duplicate_paper_check(spark, d):
-    orders = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority").where("o_orderkey < 2000")
+    orders = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
     k = F.col("o_orderkey")
     papers = orders.select(k.alias("id"), F.when(k % 5 == 0, F.floor(k / 3).cast("string")).alias("h"), F.concat(F.lit("yearly paper "), F.col("o_custkey").cast("string")).alias("title"), F.col("o_orderpriority").alias("grade"), F.lit(4).alias("n"))
     found = orders.where("o_orderkey % 7 = 0").select(k.alias("paper"), (k + 1).alias("other"), F.lit(3).alias("duplicates"))
@@ -91,6 +105,6 @@ def token_estimates(spark, d):
 @query()
 def node_matches(spark, d):
     """Part types and names matched to concepts named after parts."""
-    nodes = table(spark, d, "part", "p_partkey", "p_name").where("p_partkey < 200").select(F.col("p_partkey").alias("node_id"), F.concat(F.lit("1.2 "), F.col("p_name")).alias("name"), F.array().cast("array<string>").alias("aliases"))
-    names = table(spark, d, "part", "p_partkey", "p_name").where("p_partkey BETWEEN 200 AND 260").select(F.col("p_name").alias("name")).distinct()
+    nodes = table(spark, d, "part", "p_partkey", "p_name").groupBy("p_name").agg(F.min("p_partkey").alias("node_id")).select("node_id", F.concat(F.lit("1.2 "), F.col("p_name")).alias("name"), F.array().cast("array<string>").alias("aliases"))
+    names = table(spark, d, "part", "p_name").select(F.upper("p_name").alias("name")).distinct()
     return sim.node_matches(names, nodes, 3)

@@ -49,14 +49,14 @@ def resolved_points(spark, d):
     return tree.resolve(points, nodes).select("item", "node_path")
 
 
-_CSV = "SELECT r_name AS path, NULL AS parent, r_name AS name, 1 AS level, false AS is_leaf FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT r_name || ' / ' || n_name, r_name, n_name, 2, true FROM nation JOIN region ON n_regionkey = r_regionkey"
+_CSV = "SELECT r_name AS path, NULL AS parent, r_name AS name, 1 AS level, '' AS aliases, false AS is_leaf FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT r_name || ' / ' || n_name, r_name, n_name, 2, 'a' || n_nationkey || '|x', true FROM nation JOIN region ON n_regionkey = r_regionkey"
 
 
 @query(_CSV)
 def tree_from_paths(spark, d):
     n, r = table(spark, d, "nation"), table(spark, d, "region")
-    rows = n.join(r, n.n_regionkey == r.r_regionkey).select("r_name", "n_name", F.lit(None).cast("string").alias("extra"))
-    return sources.from_paths(rows, ["r_name", "n_name", "extra"]).select("path", "parent", "name", "level", "is_leaf")
+    rows = n.join(r, n.n_regionkey == r.r_regionkey).select("r_name", "n_name", F.lit(None).cast("string").alias("extra"), F.concat(F.lit("x; a"), F.col("n_nationkey").cast("string"), F.lit("，x")).alias("marks"))
+    return sources.from_paths(rows, ["r_name", "n_name", "extra"], "marks").select("path", "parent", "name", "level", F.array_join("aliases", "|").alias("aliases"), "is_leaf")
 
 
 @query("SELECT md5(o_custkey::VARCHAR || ':' || o_orderpriority)[1:10] AS id, count(*) AS items FROM orders GROUP BY 1")
@@ -77,3 +77,50 @@ def chapter_counts(spark, d):
 def picked_tree(spark, d):
     rows = table(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment").withColumnRenamed("c_custkey", "tree_id")
     return tree.pick_tree(rows, ["c_nationkey"], F.col("tree_id") % 4 == 0, F.col("c_mktsegment") == "BUILDING", F.lit("2024-01-01").cast("timestamp"))
+
+
+_DEEP = " UNION ALL ".join(f"SELECT p_partkey, {' || '.join(f"'n{i} / '" for i in range(k))}{' || ' if k else ''}'n{k}' AS path, {k + 1} AS level, {str(k == 8).lower()} AS is_leaf, {"'b|p' || p_partkey" if k == 8 else "''"} AS aliases FROM part" for k in range(9))
+
+
+@query(_DEEP.replace("SELECT p_partkey, ", "SELECT DISTINCT p_size, ").replace("'b|p' || p_partkey", "'b|p' || p_size"))
+def tree_from_json(spark, d):
+    """Nested JSON nine levels deep, one tree for each size."""
+    node = F.concat(F.lit('{"name": "n8 ", "aliases": ["p'), F.col("p_size").cast("string"), F.lit('", "b", "b"]}'))
+    for k in reversed(range(8)):
+        node = F.concat(F.lit(f'{{"name": "n{k}", "children": ['), node, F.lit(', {"name": " "}]}'))
+    rows = table(spark, d, "part", "p_size").distinct().select("p_size", F.concat(F.lit("["), node, F.lit("]")).alias("json"))
+    out = sources.from_json(rows, "json", ["p_size"])
+    return out.select("p_size", "path", "level", "is_leaf", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query("SELECT r_regionkey AS doc, r_name || ' / part' || ' / ' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_regionkey, r_name || ' / loose' FROM region")
+def outline_paths(spark, d):
+    """An outline of headings and list items; the second heading of the upper level resets the lower one."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    heads = r.select(F.col("r_regionkey").alias("doc"), F.explode(F.array(F.struct(F.lit(0).alias("seq"), F.concat(F.lit("## "), F.col("r_name")).alias("text")), F.struct(F.lit(1).alias("seq"), F.lit("### part").alias("text")), F.struct(F.lit(900).alias("seq"), F.concat(F.lit("## "), F.col("r_name")).alias("text")), F.struct(F.lit(901).alias("seq"), F.lit("- loose").alias("text")))).alias("x")).select("doc", "x.*")
+    items = n.select(F.col("n_regionkey").alias("doc"), (F.col("n_nationkey") + 10).alias("seq"), F.concat(F.lit("* "), F.col("n_name")).alias("text"))
+    return sources.from_outline(heads.unionByName(items), "doc", "seq", "text")
+
+
+@query("SELECT s AS label, names FROM (VALUES ('第1节 small ring', 'small ring'), ('第2节 unlike anything', 'red bolt'), ('1.3 blue gear', 'blue gear')) v(s, names)")
+def mapped_sections(spark, d):
+    """Sections named like concepts, or else their chapters; concepts are the parts' names."""
+    rows = spark.createDataFrame([("第1节 small ring", "第一章 x"), ("第2节 unlike anything", "第二章 red bolt"), ("1.3 blue gear", "第三章 y")], "section string, chapter string")
+    names = table(spark, d, "part", "p_name").where("p_name IN ('small ring', 'red bolt', 'blue gear', 'old anvil')").select(F.col("p_name").alias("name")).distinct()
+    out = sources.lexical_map(rows, names)
+    return out.select(F.col("section").alias("label"), F.array_join("names", "|").alias("names"))
+
+
+@query(f"WITH p AS ({_PATHS}) SELECT s_suppkey FROM p WHERE string_split(c, ' / ')[1] IN ('ASIA') OR string_split(c, ' / ')[2] IN ('NATION_3')")
+def chapter_filter(spark, d):
+    """Questions one of whose concepts, or a level above it, is in a chapter's knowledge."""
+    known = F.array(F.lit("ASIA"), F.lit("NATION_3"))
+    return _points(spark, d).where(F.arrays_overlap(F.split("path", tree.SEPARATOR), known)).select("s_suppkey")
+
+
+@query(f"WITH p AS ({_PATHS}) SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 OR a = 'ASIA' THEN c ELSE NULL END AS path, (CASE WHEN s_suppkey % 2 = 0 THEN 'id' WHEN a = 'ASIA' THEN 'name' ELSE 'free' END) AS how FROM p")
+def edited_points(spark, d):
+    """Concepts that a person typed: by id, by a name that is exactly a node's, or else free of the tree."""
+    nodes = _points(spark, d).select(F.col("s_suppkey").alias("node_id"), "path", F.element_at(F.split("path", tree.SEPARATOR), -1).alias("name"))
+    typed = nodes.select(F.col("node_id").alias("item"), F.when(F.col("node_id") % 2 == 0, F.col("node_id")).otherwise(-1).alias("id"), F.when(F.startswith("path", F.lit("ASIA")), F.concat(F.lit(" "), F.upper("name"))).otherwise("no such concept").alias("name"))
+    return tree.resolve_typed(typed, nodes).select(F.col("item").alias("s_suppkey"), "path", "how")

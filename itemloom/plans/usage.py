@@ -1,5 +1,6 @@
 """Usage costs and prices over the events table: purpose is the type, cost the value, tokens come from the JSON."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from itemloom.operators import costs, pricing
@@ -164,12 +165,100 @@ def tasks_once(spark, d):
     return state.once(table(spark, d, "events"), ["user_id", "event_type"], "ts").select("user_id", "event_type")
 
 
-@query()
+@query("WITH RECURSIVE c AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1 UNION ALL SELECT * FROM (SELECT c.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = c.user_id AND e.ts >= c.ts + INTERVAL 24 HOUR) AS ts FROM c) WHERE ts IS NOT NULL) SELECT user_id, ts FROM c")
 def daily_claims(spark, d):
-    return state.claim(table(spark, d, "events"), "user_id", "ts")
+    return state.claim(table(spark, d, "events"), "user_id", "ts").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("SELECT DISTINCT model FROM (SELECT p_brand AS model FROM part UNION SELECT p_type FROM part)")
 def model_names(spark, d):
     parts = table(spark, d, "part", "p_brand", "p_type")
     return parts.select(F.col("p_brand").alias("model")).union(parts.select("p_type")).distinct()
+
+
+_TIERS = "CASE WHEN event_id % 4 = 0 THEN 3.0 WHEN tokens * 1000 <= 20000 THEN 1.0 WHEN tokens * 1000 <= 50000 THEN 2.0 ELSE 5.0 END::DOUBLE"
+_PEAK_OFF = f"CASE WHEN {_PEAK} OR event_id % 4 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE"
+
+
+@query(f"SELECT event_id, round(((tokens * 1000 - least(event_id % 5 * 4000, tokens * 1000)) * ({_TIERS} * {_PEAK_OFF}) + least(event_id % 5 * 4000, tokens * 1000) * ({_TIERS} * {_PEAK_OFF} * CASE WHEN event_id % 4 = 0 THEN 0.2 ELSE 0.25 END::DOUBLE) + 100 * (4 * {_TIERS} * {_PEAK_OFF})) / 1000000, 6) AS cost FROM ({_USAGE})")
+def tiered_cost(spark, d):
+    """Tiers by prompt size, one for thinking calls, with idle prices and prices of cached tokens, given or as a share."""
+    none = F.lit(None)
+    tier = lambda bound, price, mode: F.struct(F.lit(bound).cast("int").alias("max_input"), F.lit(price).alias("input"), F.lit(4 * price).alias("output"), (none.cast("double") if mode else F.lit(price / 2)).alias("input_offpeak"), (none.cast("double") if mode else F.lit(2 * price)).alias("output_offpeak"), (none.cast("double") if mode else F.lit(price / 4)).alias("cached_input"), (none.cast("double") if mode else F.lit(price / 8)).alias("cached_input_offpeak"), F.lit(mode).cast("string").alias("mode"))
+    tiers = F.array(tier(50000, 2.0, None), tier(None, 5.0, None), tier(20000, 1.0, None), tier(None, 3.0, "thinking"))
+    peak = F.struct(F.array(F.array(F.lit(9), F.lit(12)), F.array(F.lit(14), F.lit(18))).alias("ranges"), F.lit(True).alias("weekdays_only"))
+    rows = _usage(spark, d).select("event_id", "ts", (F.col("tokens") * 1000).alias("prompt"), F.lit(100).alias("completion"), F.when(F.col("event_id") % 4 == 0, 7).otherwise(0).alias("reasoning"), (F.col("event_id") % 5 * 4000).alias("cached"), tiers.alias("tiers"), peak.alias("peak"), F.lit(0.2).alias("cache_ratio"))
+    out = pricing.price_calls(rows, F.col("ts"), "prompt", "completion", "reasoning", "cached")
+    return out.select("event_id", F.round("cost", 6).alias("cost"))
+
+
+@query(f"SELECT event_id, CASE WHEN purpose = 'view' THEN tokens * 0.05::DOUBLE WHEN model = 'm0' THEN NULL ELSE ((tokens - least(tokens, 20)) * 2.0::DOUBLE + least(tokens, 20) * CASE WHEN model = 'm1' THEN 1.0 ELSE 2.0 END::DOUBLE + 10 * 6.0::DOUBLE) / 1000000 END AS cost FROM ({_USAGE})")
+def configured_costs(spark, d):
+    """Costs from configured prices where none is stored: by page, by token, or none for a model without a price."""
+    price = F.when(F.col("model") != "m0", F.struct(F.lit(2.0).alias("input"), F.lit(6.0).alias("output"), F.when(F.col("model") == "m1", 1.0).alias("cached_input")))
+    provider = F.when(F.col("purpose") == "view", "mineru").otherwise("llm")
+    return _usage(spark, d).select("event_id", pricing.configured_cost(provider, F.col("tokens"), F.col("tokens"), F.lit(10), F.lit(20), price, 0.05).alias("cost"))
+
+
+@query("SELECT 'p' || p_partkey AS name, p_size::DOUBLE AS input, 2.0::DOUBLE * p_size AS output, CASE WHEN p_size % 2 = 0 THEN p_size / 2.0::DOUBLE END AS cached_input FROM part WHERE p_partkey % 5 > 0")
+def listed_prices(spark, d):
+    """A list of models in JSON; variants, repeats and models without a price are left out."""
+    million = lambda c: (c / 1e6).cast("string")
+    size = F.col("p_size")
+    price = F.struct(F.when(F.col("p_partkey") % 5 > 0, million(size)).alias("prompt"), million(size * 2).alias("completion"), F.when(size % 2 == 0, million(size / 2)).alias("input_cache_read"))
+    key = F.col("p_partkey").cast("string")
+    models = F.array(F.struct(F.concat(F.lit("v/P"), key).alias("id"), price.alias("pricing")), F.struct(F.concat(F.lit("v/P"), key, F.lit(":batch")).alias("id"), price.alias("pricing")), F.struct(F.concat(F.lit("w/p"), key).alias("id"), F.struct(F.when(F.col("p_partkey") % 5 > 0, F.lit("9")).alias("prompt"), F.lit("9").alias("completion"), F.lit(None).cast("string").alias("input_cache_read")).alias("pricing")))
+    rows = table(spark, d, "part", "p_partkey", "p_size").select(F.to_json(F.struct(models.alias("data"))).alias("json"))
+    return pricing.listed_prices(rows, "json")
+
+
+@query("SELECT DISTINCT 'x/' || p_name AS used_name, 'direct/' || upper(p_name) AS listed_name FROM part")
+def matched_names(spark, d):
+    """Names in use and listed ones that mean the same, a direct vendor's before a reseller's."""
+    names = table(spark, d, "part", "p_name").distinct()
+    used = names.select(F.concat(F.lit("x/"), F.col("p_name")).alias("name"))
+    listed = names.select(F.concat(F.lit("a/"), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("name"), F.lit("a").alias("vendor")).unionByName(names.select(F.concat(F.lit("direct/"), F.upper("p_name")).alias("name"), F.lit("direct").alias("vendor")))
+    return pricing.match_names(used, listed, "name", "vendor", ["direct"])
+
+
+@query(f"SELECT purpose, coalesce(sum(cost), 0)::DOUBLE AS cost, count(*) AS calls, (row_number() OVER (ORDER BY coalesce(sum(cost), 0) DESC, count(*) DESC, purpose))::INT AS position FROM ({_USAGE}) GROUP BY 1")
+def cost_order(spark, d):
+    """Breakdown rows by falling cost, then calls, then name; five rows a report."""
+    rows = _usage(spark, d).groupBy("purpose").agg(F.coalesce(F.sum("cost"), F.lit(0)).alias("cost"), F.count(F.lit(1)).alias("calls"))
+    ranked = rows.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("cost"), F.desc("calls"), "purpose")))
+    return _double(ranked, "cost")
+
+
+@query(f"SELECT round(sum(cost)::DOUBLE / 30, 6) AS avg_daily, round(sum(CASE WHEN status <> 'ok' THEN cost ELSE 0 END)::DOUBLE, 6) AS error_cost, round(sum(least(tokens, event_id % 40))::DOUBLE / sum(tokens), 4) AS cache_hit_rate, round(sum(CASE WHEN job_id % 3 = 0 THEN cost ELSE 0 END)::DOUBLE / count(DISTINCT CASE WHEN job_id % 3 = 0 THEN job_id END), 6) AS per_done_job FROM ({_USAGE}) WHERE ts >= TIMESTAMP '2023-12-31 16:00:00' AND ts < TIMESTAMP '2024-01-30 16:00:00'")
+def cost_ratios(spark, d):
+    """Daily mean, cost of failures, cached share and cost a finished job, of thirty days in UTC+8 as a range of UTC instants."""
+    start, end = costs.utc_range("2024-01-01", "2024-01-30")
+    rows = _usage(spark, d).where((F.col("ts") >= start) & (F.col("ts") < end)).withColumn("cached", F.least("tokens", F.col("event_id") % 40))
+    return costs.ratios(rows, 30, "tokens", "cached", F.col("job_id") % 3 == 0)
+
+
+@query("SELECT c_custkey, c_name, count(DISTINCT event_type) > 0 AS online FROM customer LEFT JOIN (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-30 20:00:00') ON user_id = c_custkey GROUP BY 1, 2")
+def users_online(spark, d):
+    """All users, with whether any of their sessions was seen of late."""
+    seen = state.presence(table(spark, d, "events", "user_id", "event_type", "ts"), "user_id", "ts")
+    live = state.online(seen, "2024-01-30 23:00:00", 3 * 3600).select(F.col("user_id").alias("c_custkey"), F.lit(True).alias("online")).dropDuplicates(["c_custkey"])
+    return table(spark, d, "customer", "c_custkey", "c_name").join(live, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("online", F.lit(False)).alias("online"))
+
+
+@query("SELECT user_id, ts, event_type FROM (SELECT *, lag(event_type) OVER w AS p, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) WHERE r = 1 OR p IS DISTINCT FROM event_type")
+def changed_snapshots(spark, d):
+    out = state.changes(table(spark, d, "events", "user_id", "ts", "event_type"), "user_id", "ts", "event_type")
+    return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, ts, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+    w AS (SELECT user_id, i, ts, true AS allowed, ts AS begun, CASE WHEN ok THEN 0 ELSE 1 END AS used FROM e WHERE i = 1
+    UNION ALL SELECT user_id, i, ts, u < 2, CASE WHEN fresh THEN ts ELSE begun END, CASE WHEN u < 2 AND ok THEN 0 ELSE u + 1 END FROM (SELECT e.*, w.begun, w.used = 0 OR e.ts >= w.begun + INTERVAL 720 MINUTE AS fresh, CASE WHEN w.used = 0 OR e.ts >= w.begun + INTERVAL 720 MINUTE THEN 0 ELSE w.used END AS u FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1))
+    SELECT user_id, ts, allowed FROM w"""
+)
+def throttled_attempts(spark, d):
+    """Two attempts in half a day that the first one opens; a success starts anew."""
+    rows = table(spark, d, "events", "user_id", "ts", "event_type").withColumn("ok", F.col("event_type") == "purchase")
+    out = state.throttle(rows, "user_id", "ts", "ok", 2, 720)
+    return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "allowed")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # What counts as a page number, and block types that are page furniture.
-PAGE_NUMBER = r"^\s*(?:第?\s*\d+\s*页(?:\s*[,，/]?\s*共\s*\d+\s*页)?|[-—]?\s*\d+\s*[-—]?|\d+\s*/\s*\d+)\s*$"
-FURNITURE = ("header", "footer", "page_number", "aside_text", "page_footnote")
+PAGE_NUMBER = r"^\s*(?:(?:试卷|答案|数学|第)?\S{0,4}第\s*\d+\s*页.{0,8}|[-—]\s*\d+\s*[-—]|\d{1,3})\s*$"
+FURNITURE = ("header", "footer", "page_number", "aside_text", "page_footnote", "discarded")
 CONTENT = "array<struct<type:string,text:string,bbox:array<double>,page_idx:int>>"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,3 +13,14 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     df = df.select(*columns) if columns else df
     return df.select(*[F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.simpleString() == "timestamp_ntz" else F.col(f.name) for f in df.schema])
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed into the shared folder of spark.checkpoint.dir, without its lineage; a local folder only on one machine."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    return df.checkpoint()

@@ -30,20 +30,19 @@ def read_csv(spark: SparkSession, path: str, levels: list[str], aliases: str | N
     return from_paths(rows, levels, aliases)
 
 
-def from_json(rows: DataFrame, text: str, depth: int = 6) -> DataFrame:
-    """The same from nested JSON objects {name, aliases, children}, level by level down to ``depth``."""
-    kind = "name string, aliases array<string>"
-    for _ in range(depth - 1):
-        kind = f"name string, aliases array<string>, children array<struct<{kind}>>"
-    level = rows.select(F.from_json(text, f"array<struct<{kind}>>").alias("nodes")).select(F.explode("nodes").alias("n"), F.lit(None).cast("string").alias("parent"))
-    out = None
-    for k in range(1, depth + 1):
-        path = F.concat_ws(SEPARATOR, "parent", F.trim("n.name"))
-        inner = F.coalesce(F.size("n.children") > 0, F.lit(False)) if k < depth else F.lit(False)
-        here = level.where(F.trim("n.name") != "").select(path.alias("path"), "parent", F.trim("n.name").alias("name"), F.lit(k).alias("level"), F.array_sort(F.array_distinct(F.coalesce("n.aliases", F.array().cast("array<string>")))).alias("aliases"), (~inner).alias("is_leaf"), *(["n"] if k < depth else []))
-        out = here.drop("n") if out is None else out.unionByName(here.drop("n"))
-        if k < depth:
-            level = here.select(F.explode("n.children").alias("n"), F.col("path").alias("parent"))
+def from_json(rows: DataFrame, text: str, keep: list[str] | None = None) -> DataFrame:
+    """The same, with columns ``keep``, from nested JSON objects {name, aliases, children} of any depth, level by level until none is left."""
+    node = "array<struct<name: string, aliases: array<string>, children: string>>"
+    keep = keep or []
+    level = rows.select(*keep, F.col(text).alias("raw"), F.lit(None).cast("string").alias("parent"))
+    out, k = None, 0
+    while out is None or not level.isEmpty():  # one small query a level of the tree
+        k += 1
+        each = level.select(*keep, F.explode(F.from_json("raw", node)).alias("n"), "parent").where(F.trim("n.name") != "")
+        inner = F.coalesce(F.exists(F.from_json("n.children", node), lambda c: F.trim(c["name"]) != ""), F.lit(False))
+        here = each.select(*keep, F.concat_ws(SEPARATOR, "parent", F.trim("n.name")).alias("path"), "parent", F.trim("n.name").alias("name"), F.lit(k).alias("level"), F.array_sort(F.array_distinct(F.coalesce("n.aliases", F.array().cast("array<string>")))).alias("aliases"), (~inner).alias("is_leaf"), F.col("n.children").alias("raw"))
+        out = here.drop("raw") if out is None else out.unionByName(here.drop("raw"))
+        level = here.where("NOT is_leaf").select(*keep, "raw", F.col("path").alias("parent"))
     return out
 
 
@@ -78,3 +77,18 @@ def chapter_counts(points: DataFrame, catalog: DataFrame, item: str, path: str)
     named = points.select(item, F.explode(F.split(path, SEPARATOR)).alias("k")).distinct()
     bridge = catalog.select("node_id", F.explode("knowledge").alias("k")).distinct()
     return named.join(bridge, "k").groupBy("node_id").agg(F.count_distinct(item).alias("items"))
+
+
+def lexical_map(books: DataFrame, names: DataFrame, least: float = 0.6) -> DataFrame:
+    """(section, chapter, names): the three concepts that a section's title is nearest to, or else the one its chapter's is."""
+    from itemloom.operators.similarity import node_matches
+
+    mark = r"^(第.+?[章单元节课]|[\dA-Za-z.]+|课题\s*\d+|Unit\s*\d+)\s*"
+    bare = lambda c, p: F.trim(F.regexp_replace(c, p, ""))
+    rows = books.select("section", "chapter", F.coalesce(F.nullif(bare(F.col("section"), mark), F.lit("")), F.col("section")).alias("s"), bare(F.col("chapter"), r"^(第.+?[章单元]|[\d.]+)\s*").alias("c")).distinct()
+    nodes = names.select(F.col("name").alias("node_id"), "name", F.array().cast("array<string>").alias("aliases"))
+    asked = rows.select(F.col("s").alias("name")).union(rows.select("c")).distinct()
+    near = node_matches(asked, nodes, 3, least)
+    own = near.groupBy(F.col("name").alias("s")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda x: x["node_id"]).alias("own"))
+    other = near.where("rank = 1").select(F.col("name").alias("c"), F.array("node_id").alias("other"))
+    return rows.join(own, "s", "left").join(other, "c", "left").select("section", "chapter", F.coalesce("own", "other", F.array().cast("array<string>")).alias("names"))

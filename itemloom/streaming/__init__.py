@@ -1 +1 @@
-"""Item-bank analytics on Sparkstreaming."""
+"""Keyed state over event streams and batches."""

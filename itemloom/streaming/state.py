@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -38,6 +38,18 @@ def throttle(attempts: DataFrame, key: str, at: str, success: str, most: int, mi
     The window is anchored at a key's first attempt, so it is state and not a tumbling window.
     """
     width = minutes * 60.0
+    if not attempts.isStreaming:
+        seq = attempts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at, success))).alias("a"))  # bounded by a key's attempts
+        start = F.struct(F.lit(None).cast("timestamp").alias("begun"), F.lit(0).alias("used"), F.array().cast("array<boolean>").alias("ok"))
+
+        def fold(s, x):
+            fresh = F.coalesce((s["used"] == 0) | (x[at] >= s["begun"] + F.expr(f"INTERVAL {minutes} MINUTES")), F.lit(True))
+            used = F.when(fresh, 0).otherwise(s["used"])
+            allowed = used < most
+            return F.struct(F.when(fresh, x[at]).otherwise(s["begun"]).alias("begun"), F.when(allowed & x[success], 0).otherwise(used + 1).alias("used"), F.concat(s["ok"], F.array(allowed)).alias("ok"))
+
+        folded = seq.select(key, "a", F.aggregate("a", start, fold, lambda s: s["ok"]).alias("ok"))
+        return folded.select(key, F.explode(F.arrays_zip("a", "ok")).alias("z")).select(key, F.col(f"z.a.{at}").alias(at), F.col("z.ok").alias("allowed"))
 
     def step(state_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         begun, used = state.get if state.exists else (0.0, 0)
@@ -60,7 +72,11 @@ def throttle(attempts: DataFrame, key: str, at: str, success: str, most: int, mi
 
 
 def changes(snapshots: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """A stream's snapshots that differ from the key's one before."""
+    """Snapshots that differ from the key's one before, of a stream or a batch."""
+    if not snapshots.isStreaming:
+        w = Window.partitionBy(key).orderBy(at)
+        last, first = F.lag(value).over(w), F.row_number().over(w) == 1
+        return snapshots.withColumn("__new", first | ~F.col(value).eqNullSafe(last)).where("__new").select(key, at, value)
 
     def step(state_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -84,3 +100,12 @@ def claim(attempts: DataFrame, key: str, at: str, hours: int = 24) -> DataFrame:
     start = F.array().cast("array<timestamp>")
     won = F.aggregate("a", start, lambda s, t: F.when((F.size(s) == 0) | (t >= F.try_element_at(s, F.lit(-1)) + gap), F.concat(s, F.array(t))).otherwise(s))
     return seq.select(key, F.explode(won).alias(at))
+
+
+def apply_once(folder: str):
+    """A function for foreachBatch that writes each batch to a place named by its number: a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return write
