@@ -79,5 +79,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_packing, op4_license_scan, op5_quality_rules, op6_language_model, op7_mixing, op8_nearest, op9_simhash, op10_language_id)}
+def _planted(key: object, n: int):
+    """The contract's rewriting: of a tenth of the documents, words from a on are repetitions of p words."""
+    import zlib
+
+    import numpy as np
+
+    h = 1 if key is None else zlib.crc32(str(key).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    at = np.arange(n)
+    return np.where(at >= a, a + (at - a) % p, at)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemloom.llm.periodic import most_repeated, periodic_runs
+
+    out = periodic_runs(_table(spark, sf_dir, "documents"), rewrite=_planted).withColumn("best", most_repeated("runs"))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    milli = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_packing, op4_license_scan, op5_quality_rules, op6_language_model, op7_mixing, op8_nearest, op9_simhash, op10_language_id, op11_periodic_runs)}
 ORACLE_SQL: dict[str, str] = {}

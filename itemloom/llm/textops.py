@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 18
 _MASK = (1 << 64) - 1
@@ -133,6 +134,17 @@ def frames(batches: Iterator[pd.DataFrame], text: str = "text", limit: int = BLO
     trim()
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in Arrow batches of about ``limit`` bytes of text, or of one longer document."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // limit)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def blocks(batches: Iterator[pd.DataFrame], text: str = "text", lower: bool = True, limit: int = BLOCK_BYTES, fold=None) -> Iterator[Block]:
     """Blocks of documents; ``lower`` folds A-Z, ``fold`` maps each text first (str.lower, say)."""
     for frame in frames(batches, text, limit):
