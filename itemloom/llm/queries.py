@@ -104,5 +104,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_packing, op4_license_scan, op5_quality_rules, op6_language_model, op7_mixing, op8_nearest, op9_simhash, op10_language_id, op11_periodic_runs)}
+def op12_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemloom.llm.debruijn import remove_passages
+
+    return remove_passages(_table(spark, sf_dir, "documents"), k=50).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_packing, op4_license_scan, op5_quality_rules, op6_language_model, op7_mixing, op8_nearest, op9_simhash, op10_language_id, op11_periodic_runs, op12_passage_dedup)}
 ORACLE_SQL: dict[str, str] = {}
