@@ -110,5 +110,38 @@ def op12_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_passages(_table(spark, sf_dir, "documents"), k=50).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_packing, op4_license_scan, op5_quality_rules, op6_language_model, op7_mixing, op8_nearest, op9_simhash, op10_language_id, op11_periodic_runs, op12_passage_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemloom.llm.lexical import ranked_search
+
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_packing, op4_license_scan, op5_quality_rules, op6_language_model, op7_mixing, op8_nearest, op9_simhash, op10_language_id, op11_periodic_runs, op12_passage_dedup, op13_ranked_search)}
+ORACLE_SQL: dict[str, str] = {
+    "op12_passage_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        w AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i, ws FROM d WHERE len(ws) >= 50),
+        keyed AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS k FROM w),
+        least AS (SELECT k, min(doc_id) AS m FROM keyed GROUP BY k HAVING min(doc_id) < max(doc_id)),
+        gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS places FROM keyed JOIN least USING (k) WHERE m < doc_id GROUP BY doc_id),
+        kept AS (SELECT doc_id, ws, places, unnest(CASE WHEN len(ws) > 0 THEN range(1, len(ws) + 1) ELSE [0] END) AS i FROM d LEFT JOIN gone USING (doc_id)),
+        stays AS (SELECT doc_id, i, ws[i] AS word FROM kept WHERE i > 0 AND (places IS NULL OR NOT list_contains(places, i))),
+        joined AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM stays GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN joined USING (doc_id)
+    """,
+    "op13_ranked_search": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+        long AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0),
+        total AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM long),
+        found AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM d) GROUP BY doc_id, term),
+        weighed AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM found, total GROUP BY term, docs),
+        asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        scored AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+            FROM asked JOIN weighed USING (term) JOIN found USING (term) JOIN long USING (doc_id), total GROUP BY item_id, doc_id
+        ),
+        ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+    """,
+}
