@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemloom.functions.maths import combine, cosine, usable_vector
+from itemloom.functions.maths import SEMANTIC_WEIGHT, combine, cosine, usable_vector
 from itemloom.functions.text import grams, normalize, once
+from itemloom.operators.vectors import sign_neighbours
+from itemloom.sources.tables import cut
 
 # Thresholds on similarity.
 DUPLICATE, CANDIDATE, MATCH = 0.85, 0.3, 0.5
 
 
-def gram_table(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, gram, n, norm): each text's n-gram counts and the length of their vector; wordless texts have no rows."""
-    norm = rows.select(key, once(normalize(text)).alias("t"))
-    each = norm.select(key, F.explode(grams(F.col("t"))).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
-    norms = each.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return each.join(norms, key)
+def gram_table(rows: DataFrame, key: str, text: Column, same: list[str] | None = None) -> DataFrame:
+    """(key, gram, n, norm, same columns): each text's n-gram counts and the length of their vector; wordless texts have no rows."""
+    keep = [key, *(same or [])]
+    norm = rows.select(*keep, once(normalize(text)).alias("t"))
+    each = norm.select(*keep, F.explode(grams(F.col("t"))).alias("gram")).groupBy(*keep, "gram").agg(F.count(F.lit(1)).alias("n"))
+    return each.withColumn("norm", F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key))))
 
 
 def lexical_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, extra: Column | None = None) -> DataFrame:
@@ -31,6 +35,81 @@ def lexical_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, extra: Col
     return dots.select("ka", "kb", (F.col("dot") / (F.col("la") * F.col("lb"))).alias("lexical"))
 
 
+def _common_grams(have: DataFrame) -> DataFrame:
+    """(gram, df) of grams with more than one in 10,000 of all rows of a gram table, so fewer than 10,000 grams."""
+    counts = have.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    total = have.agg(F.count(F.lit(1)).alias("total"))
+    return counts.crossJoin(F.broadcast(total)).where("df * 10000 > total").select("gram", "df")  # one row of total
+
+
+def _tails(grams_: DataFrame, key: str, common: DataFrame) -> DataFrame:
+    """A gram table in the order from rare to common: weight n / norm, and the length of what is left from each gram on."""
+    ordered = grams_.join(F.broadcast(common), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rest = Window.partitionBy(key).orderBy("df", "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return ordered.withColumn("w", F.col("n") / F.col("norm")).withColumn("tail", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest)))
+
+
+def near_texts(asked: DataFrame, have: DataFrame, key_a: str, key_b: str, least: float, k: int | None = None, same: list[str] | None = None, champions: int = 32, part: int = 50_000, apart: bool = True, worth: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(ka, kb, lexical) of all pairs, of different keys if ``apart``, whose cosine is ``least`` or more, or, with ``k``, of all that can be among the best ``k``.
+
+    ``asked`` and ``have`` are gram tables, with the ``same`` columns that a pair must agree in.  Grams are
+    ordered from rare to common.  Of two texts, what they share from their rarest shared gram on is at
+    most the product of the two tails' lengths, so a pair meets only in grams where that product reaches the bound: the
+    postings of common grams are hardly read, and no pair is lost.  With ``k`` a first pass over the ``champions``
+    heaviest postings of each gram gives every query a lower bound of its k-th best, which is then its own bound.
+    ``worth`` adds a column "times" to pairs, by which their values count in that order.  Postings of a gram longer
+    than ``part`` are salted.
+    """
+    same = same or []
+    have = have.select(F.col(key_b).alias("kb"), "gram", "n", "norm", *same)
+    asked = asked.select(F.col(key_a).alias("ka"), "gram", "n", "norm", *same)
+    common = _common_grams(have)
+    a, b = _tails(asked, "ka", common), _tails(have, "kb", common)
+    mine = a.select("ka", "gram", F.col("w").alias("wa"), F.col("tail").alias("ta"), *same)
+    bound = F.lit(float(least))
+    if k is not None:
+        mine = mine.join(_lower_bounds(mine, b, asked, have, same, k, champions, apart, worth), "ka", "left")
+        bound = F.greatest(bound, F.coalesce("theta", F.lit(0.0)))
+    mine = mine.withColumn("bound", bound - 1e-9).where("ta >= bound")
+    theirs = b.where(F.col("tail") >= least - 1e-9).select("kb", "gram", F.col("w").alias("wb"), F.col("tail").alias("tb"), F.pmod(F.xxhash64("kb"), F.ceil(F.greatest("df", F.lit(1)) / part)).alias("salt"), *same)
+    sized = mine.join(F.broadcast(common), "gram", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)) / part) - 1)))
+    met = sized.join(theirs, ["gram", "salt", *same]).where(_two(apart) & (F.col("ta") * F.col("tb") >= F.col("bound")))
+    # What isn't met lies behind the last gram that is, so that its part of the cosine is at most the product of what is left there.
+    left = F.sqrt(F.greatest(F.col("ta") ** 2 - F.col("wa") ** 2, F.lit(0.0)) * F.greatest(F.col("tb") ** 2 - F.col("wb") ** 2, F.lit(0.0)))
+    pairs = met.groupBy("ka", "kb").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), F.min(left).alias("left"), F.first("bound").alias("bound")).where("part + left >= bound").select("ka", "kb")
+    return _exact(pairs, asked, have).where(F.col("lexical") >= least)
+
+
+def _two(apart: bool) -> Column:
+    return F.col("ka") != F.col("kb") if apart else F.lit(True)
+
+
+def _exact(pairs: DataFrame, asked: DataFrame, have: DataFrame) -> DataFrame:
+    """(ka, kb, lexical) of given pairs, from whole texts."""
+    full = pairs.join(asked.select("ka", "gram", F.col("n").alias("na"), F.col("norm").alias("la")), "ka").join(have.select("kb", "gram", F.col("n").alias("nb"), F.col("norm").alias("lb")), ["kb", "gram"])
+    dots = full.groupBy("ka", "kb").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"), F.first("la").alias("la"), F.first("lb").alias("lb"))
+    return dots.select("ka", "kb", (F.col("dot") / (F.col("la") * F.col("lb"))).alias("lexical"))
+
+
+def _lower_bounds(mine: DataFrame, b: DataFrame, asked: DataFrame, have: DataFrame, same: list[str], k: int, champions: int, apart: bool, worth: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """(ka, theta): what the k-th best of each query reaches at least; no row where fewer are met.
+
+    The heaviest postings of each query's rarest grams name some candidates, whose exact values count: a true value
+    of k pairs is a bound, whichever these are.
+    """
+    heavy = b.withColumn("r", F.row_number().over(Window.partitionBy("gram", *same).orderBy(F.desc("w"), "kb"))).where(F.col("r") <= champions)
+    rare = mine.withColumn("r", F.row_number().over(Window.partitionBy("ka").orderBy(F.desc("ta"), "gram"))).where("r <= 12").drop("r")
+    met = rare.join(heavy.select("kb", "gram", F.col("w").alias("wb"), *same), ["gram", *same]).where(_two(apart))
+    sums = met.groupBy("ka", "kb").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"))
+    best = sums.withColumn("r", F.row_number().over(Window.partitionBy("ka").orderBy(F.desc("part"), "kb"))).where(F.col("r") <= 4 * k + 8).select("ka", "kb")
+    known = _exact(best, asked, have)
+    if worth is not None:
+        known = worth(known).select("ka", "kb", (F.col("lexical") * F.col("times")).alias("lexical"))
+    kth = known.withColumn("r", F.row_number().over(Window.partitionBy("ka").orderBy(F.desc("lexical"), "kb"))).where(F.col("r") == k)
+    # Results are ordered by their rounded score, so that one of half a unit less may still be chosen.
+    return kth.select("ka", (F.round("lexical", 4) - 0.0001).alias("theta"))
+
+
 def top_k(pairs: DataFrame, group: str, score: str, item: str, k: int, least: float) -> DataFrame:
     """Best ``k`` of each group: the threshold applies to the unrounded score, order to the rounded one, ties to the item."""
     rounded = pairs.where(F.col(score) >= least).withColumn(score, F.round(score, 4))
@@ -38,20 +117,6 @@ def top_k(pairs: DataFrame, group: str, score: str, item: str, k: int, least: fl
     return rounded.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def vector_pairs(queries: DataFrame, rows: DataFrame, key_q: str, key_r: str, vector: str, on: list[str]) -> DataFrame:
-    """(kq, kr, cos) within equal ``on`` columns; vectors of other sizes or without length don't meet."""
-    q = queries.where(usable_vector(F.col(vector))).select(F.col(key_q).alias("kq"), F.col(vector).alias("vq"), *on)
-    r = rows.where(usable_vector(F.col(vector))).select(F.col(key_r).alias("kr"), F.col(vector).alias("vr"), *on)
-    met = q.join(r, on).where((F.col("kq") != F.col("kr")) & (F.size("vq") == F.size("vr")))
-    return met.select("kq", "kr", cosine(F.col("vq"), F.col("vr")).alias("cos"))
-
-
-def blended(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
-    """(ka, kb, score) of pairs found either way: lexical alone where there is no vector pair."""
-    met = lexical.join(semantic.select(F.col("kq").alias("ka"), F.col("kr").alias("kb"), "cos"), ["ka", "kb"], "full")
-    return met.select("ka", "kb", combine(F.coalesce("lexical", F.lit(0.0)), F.col("cos")).alias("score"))
-
-
 def duplicate_of(pairs: DataFrame) -> DataFrame:
     """(ka, duplicate_of, score): the best match of each at the duplicate threshold."""
     return top_k(pairs, "ka", "lexical", "kb", 1, DUPLICATE).select("ka", F.col("kb").alias("duplicate_of"), F.col("lexical").alias("score"))
@@ -84,9 +149,14 @@ def node_matches(names: DataFrame, nodes: DataFrame, k: int = 8, least: float =
     forms = nodes.select("node_id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form"))
     forms = forms.select("node_id", once(normalize(F.regexp_replace("form", r"^\d+(\.\d+)*\s*", ""))).alias("form")).where("form <> ''").distinct()
     asked = names.select("name", once(normalize(F.col("name"))).alias("q")).where("q <> ''").distinct()
-    fg = gram_table(forms.select("form").distinct(), "form", F.col("form"))
-    qg = gram_table(asked.select("q").distinct(), "q", F.col("q"))
-    pairs = lexical_pairs(qg, fg, "q", "form")
+    fg, qg = cut(gram_table(forms.select("form").distinct(), "form", F.col("form"))), cut(gram_table(asked.select("q").distinct(), "q", F.col("q")))
+    alike = near_texts(qg, fg, "q", "form", least, apart=False).select("ka", "kb")
+    # Of a text inside another every gram is shared, so that the pair meets in the shorter one's rarest gram.
+    fewest = fg.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    rarest = lambda g, key: g.join(fewest, "gram").groupBy(key).agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    held = rarest(qg, "q").join(fg.select("form", "gram"), "gram").unionByName(rarest(fg, "form").join(qg.select("q", "gram"), "gram")).select(F.col("q").alias("ka"), F.col("form").alias("kb"))
+    held = held.where(F.contains("ka", "kb") | F.contains("kb", "ka"))
+    pairs = _exact(alike.unionByName(held).distinct(), qg.withColumnRenamed("q", "ka"), fg.withColumnRenamed("form", "kb"))
     inside = F.contains(F.col("ka"), F.col("kb")) | F.contains(F.col("kb"), F.col("ka"))
     ratio = 0.15 + 0.85 * F.least(F.length("ka"), F.length("kb")) / F.greatest(F.length("ka"), F.length("kb"))
     scored = pairs.select(F.col("ka").alias("q"), F.col("kb").alias("form"), F.when(F.col("ka") == F.col("kb"), 1.0).when(inside, F.greatest("lexical", ratio)).otherwise(F.col("lexical")).alias("score"))
@@ -94,27 +164,32 @@ def node_matches(names: DataFrame, nodes: DataFrame, k: int = 8, least: float =
     return top_k(best, "name", "score", "node_id", k, least)
 
 
-def hybrid_search(queries: DataFrame, rows: DataFrame, key: str, text: str, vector: str, kind: str, same: list[str], k: int = 5, least: float = CANDIDATE, exact: int = 1000, pool: int = 200) -> DataFrame:
+def hybrid_search(queries: DataFrame, rows: DataFrame, key: str, text: str, vector: str, kind: str, same: list[str], k: int = 5, least: float = CANDIDATE, pool: int = 200) -> DataFrame:
     """(kq, kind, kr, score, lexical, cos, rank): each query's best rows of equal ``same`` columns by blended similarity.
 
-    Kinds (saved, draft) are decided on their own: one of up to ``exact`` rows is compared whole; of a larger one a query meets
-    its ``pool`` nearest by text and by vector, which are then compared exactly.  The threshold is on the unrounded score,
-    order on the rounded one, then by kind's name and key.  Vectors that can't be compared count as missing.
+    A pair can only be among the best if its texts alone reach the query's bound, or if its vectors are near enough
+    to count at all.  The first are found by ``near_texts``, which loses none; the second are the ``pool`` rows of fewest
+    differing sign bits.  Both are then compared exactly, so that a row without a vector is found by its text.  The
+    threshold is on the unrounded score, order on the rounded one, then by kind's name and key.  Vectors that can't be
+    compared count as missing.
     """
-    sizes = {r[kind]: r["count"] for r in rows.groupBy(kind).count().collect()}  # a row a kind
-    large = [v for v, n in sizes.items() if n > exact]
     ask = queries.select(F.col(key).alias("kq"), *same, F.col(text).alias("tq"), F.col(vector).alias("vq"))
     have = rows.select(F.col(key).alias("kr"), F.col(kind).alias("kind"), *same, F.col(text).alias("tr"), F.col(vector).alias("vr"))
-    group = have.select("kr", "kind", *same)
-    pairs = lexical_pairs(gram_table(ask, "kq", F.col("tq")), gram_table(have, "kr", F.col("tr")), "kq", "kr").select(F.col("ka").alias("kq"), F.col("kb").alias("kr"), "lexical")
-    met = pairs.join(group, "kr").join(ask.select("kq", *same), ["kq", *same]).where("kq <> kr").select("kq", "kr", "kind", "lexical")
-    usable = lambda df, v: df.where(usable_vector(F.col(v)))
-    near = usable(ask, "vq").drop("tq").join(usable(have, "vr").drop("tr"), same).where((F.col("kq") != F.col("kr")) & (F.size("vq") == F.size("vr"))).select("kq", "kr", "kind", cosine(F.col("vq"), F.col("vr")).alias("cos"))
-    both = met.join(near, ["kq", "kr", "kind"], "full")
-    if large:
-        by = lambda c: F.row_number().over(Window.partitionBy("kq", "kind").orderBy(F.desc_nulls_last(c), "kr"))
-        both = both.withColumn("__l", by("lexical")).withColumn("__v", by("cos")).where(~F.col("kind").isin(large) | (F.col("lexical").isNotNull() & (F.col("__l") <= pool)) | (F.col("cos").isNotNull() & (F.col("__v") <= pool)))
-    lexical = F.coalesce("lexical", F.lit(0.0))
-    scored = both.select("kq", "kr", "kind", lexical.alias("lexical"), "cos", combine(lexical, F.col("cos")).alias("score")).where(F.col("score") >= least).withColumn("score", F.round("score", 4))
+    size = lambda df, k, v, name: df.where(usable_vector(F.col(v))).select(k, F.size(v).alias(name))
+    sizes_q, sizes_r = size(ask, "kq", "vq", "sq").withColumnRenamed("kq", "ka"), size(have, "kr", "vr", "sr").withColumnRenamed("kr", "kb")
+
+    def worth(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sizes_q, "ka", "left").join(sizes_r, "kb", "left")
+        return both.withColumn("times", F.when(F.col("sq") == F.col("sr"), 1 - SEMANTIC_WEIGHT).otherwise(1.0))
+
+    grams_q, grams_r = cut(gram_table(ask, "kq", F.col("tq"), same)), cut(gram_table(have, "kr", F.col("tr"), same))
+    alike = near_texts(grams_q, grams_r, "kq", "kr", least, k, same, worth=worth).select(F.col("ka").alias("kq"), F.col("kb").alias("kr"))
+    near = sign_neighbours(ask.withColumnRenamed("vq", "v"), have.withColumnRenamed("vr", "v"), "kq", "kr", "v", same, pool)
+    pairs = cut(alike.unionByName(near).distinct())
+    lexical = _exact(pairs.select(F.col("kq").alias("ka"), F.col("kr").alias("kb")), grams_q.withColumnRenamed("kq", "ka"), grams_r.withColumnRenamed("kr", "kb")).select(F.col("ka").alias("kq"), F.col("kb").alias("kr"), "lexical")
+    full = pairs.join(ask.select("kq", "vq"), "kq").join(have.select("kr", "kind", "vr"), "kr").join(lexical, ["kq", "kr"], "left")
+    comparable = usable_vector(F.col("vq")) & usable_vector(F.col("vr")) & (F.size("vq") == F.size("vr"))
+    full = full.select("kq", "kr", "kind", F.coalesce("lexical", F.lit(0.0)).alias("lexical"), F.when(comparable, cosine(F.col("vq"), F.col("vr"))).alias("cos"))
+    scored = full.withColumn("score", combine(F.col("lexical"), F.col("cos"))).where(F.col("score") >= least).withColumn("score", F.round("score", 4))
     rank = F.row_number().over(Window.partitionBy("kq").orderBy(F.desc("score"), "kind", "kr"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("kq", "kind", "kr", "score", F.round("lexical", 4).alias("lexical"), F.round("cos", 4).alias("cos"), "rank")

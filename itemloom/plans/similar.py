@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from itemloom.functions.maths import cosine, hamming, sign_bits
 from itemloom.functions.text import estimate_tokens, normalize
 from itemloom.operators import similarity as sim
+from itemloom.operators import vectors
 from itemloom.plans.registry import query
-from itemloom.sources.tables import table
+from itemloom.sources.tables import cut, table
 
 _NORM = "regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace({}, '_{{2,}}|＿+|—{{2,}}|（\\s*）|\\(\\s*\\)', '', 'g'), '\\\\[a-zA-Z]+', '', 'g'), '[\\s$\\\\{{}}]', '', 'g')), '\\p{{P}}', '', 'g')"
 _GRAMS = """SELECT {key}, g, count(*) AS n FROM (SELECT {key}, unnest(list_concat(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)), list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))) AS g FROM {table}) GROUP BY 1, 2"""
@@ -22,16 +23,13 @@ _PAIRS = f"""WITH a AS (SELECT item_id AS ka, {_NORM.format('text')} AS t FROM b
  p AS (SELECT ka, kb, sum(ga.n * gb.n) / (any_value(na.l) * any_value(nb.l)) AS lexical FROM ga JOIN gb USING (g) JOIN na USING (ka) JOIN nb USING (kb) GROUP BY 1, 2)"""
 
 
-def _lexical(spark, d):
-    a = sim.gram_table(table(spark, d, "benchmark"), "item_id", F.col("text"))
-    parts = table(spark, d, "part", "p_partkey", "p_name", "p_type")
-    b = sim.gram_table(parts, "p_partkey", F.concat_ws(" ", "p_name", "p_type"))
-    return sim.lexical_pairs(a, b, "item_id", "p_partkey")
-
-
 @query(f"{_PAIRS} SELECT ka, kb, round(lexical, 4) AS lexical, (row_number() OVER (PARTITION BY ka ORDER BY round(lexical, 4) DESC, kb))::INT AS rank FROM p WHERE lexical >= 0.02 QUALIFY row_number() OVER (PARTITION BY ka ORDER BY round(lexical, 4) DESC, kb) <= 3")
 def lexical_topk(spark, d):
-    return sim.top_k(_lexical(spark, d), "ka", "lexical", "kb", 3, 0.02)
+    """The three parts whose text is nearest to each benchmark item."""
+    a = cut(sim.gram_table(table(spark, d, "benchmark"), "item_id", F.col("text")))
+    parts = table(spark, d, "part", "p_partkey", "p_name", "p_type")
+    b = cut(sim.gram_table(parts, "p_partkey", F.concat_ws(" ", "p_name", "p_type")))
+    return sim.top_k(sim.near_texts(a, b, "item_id", "p_partkey", 0.02, 3, apart=False), "ka", "lexical", "kb", 3, 0.02)
 
 
 _TEXT = "p_name || ' ' || p_type || ' ' || p_brand"
@@ -44,8 +42,8 @@ _SELF = f"""WITH b AS (SELECT p_partkey AS kb, {_NORM.format(_TEXT)} AS t FROM p
 def dedupe_top1(spark, d):
     """Every hundredth part against all others: the nearest text from 0.85 on."""
     parts = table(spark, d, "part", "p_partkey", "p_name", "p_type", "p_brand")
-    grams = sim.gram_table(parts, "p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand"))
-    return sim.duplicate_of(sim.lexical_pairs(grams.where("p_partkey % 100 = 0"), grams, "p_partkey", "p_partkey").where("ka <> kb"))
+    grams = cut(sim.gram_table(parts, "p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand")))
+    return sim.duplicate_of(sim.near_texts(grams.where("p_partkey % 100 = 0"), grams, "p_partkey", "p_partkey", sim.DUPLICATE))
 
 
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
@@ -55,22 +53,22 @@ _COS = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
 def vector_topk(spark, d):
     """Queries are the vectors whose id is divisible by 100, against all of their label."""
     rows = table(spark, d, "embeddings")
-    pairs = sim.vector_pairs(rows.where("vec_id % 100 = 0"), rows, "vec_id", "vec_id", "embedding", ["label"])
+    pairs = vectors.nearest(rows.where("vec_id % 100 = 0"), rows, "vec_id", "vec_id", "embedding", ["label"], 5)
     return sim.top_k(pairs, "kq", "cos", "kr", 5, 0.1)
 
 
 @query(
-    f"""{_SELF}, v AS (SELECT p_partkey AS k, CASE WHEN p_size % 4 = 0 THEN 'draft' ELSE 'bank' END AS kind, label, CASE WHEN p_size % 3 > 0 THEN embedding END AS embedding FROM part JOIN embeddings ON p_partkey = vec_id),
-    s AS (SELECT q.k AS ka, e.k AS kb, e.kind, {_COS} AS cos FROM v q JOIN v e ON q.label = e.label AND q.k <> e.k WHERE q.k % 100 = 0), m AS (SELECT s.ka, s.kb, kind, coalesce(lexical, 0) AS lexical, cos FROM s LEFT JOIN p ON p.ka = s.ka AND p.kb = s.kb),
+    f"""{_SELF}, v AS (SELECT p_partkey AS k, p_partkey % 10 AS grade, CASE WHEN p_size % 4 = 0 THEN 'draft' ELSE 'bank' END AS kind, CASE WHEN p_size % 3 > 0 THEN embedding END AS embedding FROM part LEFT JOIN embeddings ON p_partkey = vec_id),
+    s AS (SELECT q.k AS ka, e.k AS kb, e.kind, {_COS} AS cos FROM v q JOIN v e ON q.grade = e.grade AND q.k <> e.k WHERE q.k % 100 = 0), m AS (SELECT s.ka, s.kb, kind, coalesce(lexical, 0) AS lexical, cos FROM s LEFT JOIN p ON p.ka = s.ka AND p.kb = s.kb),
     c AS (SELECT *, CASE WHEN cos IS NULL THEN lexical ELSE 0.5 * lexical + 0.5 * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (cos - 0.6) / 0.35)) END AS score FROM m)
     SELECT ka AS kq, kind, kb AS kr, round(score, 4) AS score, round(lexical, 4) AS lexical, round(cos, 4) AS cos, (row_number() OVER (PARTITION BY ka ORDER BY round(score, 4) DESC, kind, kb))::INT AS rank FROM c WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY ka ORDER BY round(score, 4) DESC, kind, kb) <= 5"""
 )
 def hybrid_search(spark, d):
-    """Texts and vectors of parts, every hundredth as a query within its label; saved ones before drafts of one score."""
+    """All parts by their texts and, where they have one, vectors; every hundredth as a query within its grade; saved ones before drafts of one score."""
     parts = table(spark, d, "part", "p_partkey", "p_name", "p_type", "p_brand", "p_size")
-    vectors = table(spark, d, "embeddings")
-    rows = parts.join(vectors, parts.p_partkey == vectors.vec_id).select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"), F.when(F.col("p_size") % 3 > 0, F.col("embedding")).alias("vector"), F.when(F.col("p_size") % 4 == 0, "draft").otherwise("bank").alias("kind"), "label")
-    return sim.hybrid_search(rows.where("p_partkey % 100 = 0"), rows, "p_partkey", "text", "vector", "kind", ["label"], exact=1_000_000)
+    found = table(spark, d, "embeddings", "vec_id", "embedding")
+    rows = parts.join(found, parts.p_partkey == found.vec_id, "left").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"), F.when(F.col("p_size") % 3 > 0, F.col("embedding")).alias("vector"), F.when(F.col("p_size") % 4 == 0, "draft").otherwise("bank").alias("kind"), (F.col("p_partkey") % 10).alias("grade"))
+    return sim.hybrid_search(rows.where("p_partkey % 100 = 0"), rows, "p_partkey", "text", "vector", "kind", ["grade"])
 
 
 @query("SELECT a.vec_id AS kq, b.vec_id AS kr, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: ((z[1] > 0) <> (z[2] > 0))::INT))::INT AS bits, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0")
