@@ -11,8 +11,10 @@ its equal in stretches that share this hash.
    as that one is found at all, doesn't branch.  A join of each stretch with the one that follows
    finds these links, and the sources' coordinates verify them: both must stand one after the other in the same
    source.  Linked stretches are one path, so that only the path's head meets its places again.
-3. *Branches.*  Where different stretches share a hash, a path may fork inside them.  Their windows
-   are written out, each with its own 128-bit hash, and the smallest document of each is found.
+3. *Branches.*  Where different stretches share a hash, a path may fork inside them.  Their windows'
+   own 128-bit hashes meet by the shared hash, and the smallest document of each window is found.  A hash
+   that more than ``hot`` different stretches share isn't gathered into one task: its windows are spread by
+   their own hashes, which gives the same result.
 
 All keys are aggregated before they are joined; keys with more than one in 10,000 of all rows are
 fewer than 10,000, so they are broadcast and their rows stay where they are.
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemloom.llm.periodic import WORD
-from itemloom.llm.suffix_dedup import _keyed, _triggers, pack
+from itemloom.llm.suffix_dedup import _keyed, _triggers
 from itemloom.llm.textops import _BASE, _INVERSE, NOT_SPACE, Block, Rolling, blocks, mix, powers, slices, trim
 from itemloom.llm.workspace import Workspace
 
@@ -87,6 +89,19 @@ def stretches(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("uid", "id", "text").mapInPandas(run, f"uid long, id {kind}, probe long, c1 long, c2 long, follows long, first long, last long")
 
 
+def pack(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """uid, the text's UTF-8 compressed for the shuffle, and further columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for part in batches:
+            packed = pa.array([press(x) for x in part.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("uid"), packed, *(part.column(c) for c in keep)], ["uid", "packed", *keep])
+
+    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.select("uid", "text", *keep).mapInArrow(run, f"uid long, packed binary{kinds}")
+
+
 def paths(kinds: DataFrame) -> DataFrame:
     """Non-branching paths of stretches that several documents hold: c1 and c2 of the head, times, its source, windows.
 
@@ -104,44 +119,115 @@ def paths(kinds: DataFrame) -> DataFrame:
     return numbered.groupBy("source.uid", "path").agg(head, F.max("source.last").alias("last")).select("head.c1", "head.c2", "head.times", F.col("head.source.id").alias("source"), (F.col("last") - F.col("head.source.first")).alias("windows"))
 
 
-def _windows(rows: DataFrame, forks: DataFrame, k: int) -> DataFrame:
-    """The windows of stretches that share a probe with other stretches: w1, w2, the stretch, its source and the window's offset."""
-    piece = F.struct("c1", "c2", "times", "source.first", "source.last").alias("piece")
+def _pieces(rows: DataFrame, forks: DataFrame, k: int) -> DataFrame:
+    """``forks`` with the hashes of their windows, two numbers each, as bytes."""
+    piece = F.struct("probe", "many", "c1", "c2", "times", "source.first", "source.last").alias("piece")
     wanted = forks.select("source.uid", "source.id", piece).groupBy("uid").agg(F.first("id").alias("id"), F.collect_list("piece").alias("pieces"))  # bounded by the text's length
+    fields = ["probe", "many", "c1", "c2", "times", "first"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_ = zstandard.ZstdDecompressor().decompress
         for frame in batches:
+            out = []
             for uid, key, packed, pieces in zip(frame["uid"], frame["id"], frame["packed"], frame["pieces"]):
                 buf = np.frombuffer(open_(packed) + b"\n", np.uint8)
                 one, two, _, _ = _word_grams(Block(None, buf, np.zeros(1, np.int64), np.array([len(buf) - 1])))
-                first, size = np.array([p["first"] for p in pieces]), np.array([p["last"] - p["first"] + 1 for p in pieces])
-                which = np.repeat(np.arange(len(size)), size)
-                offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                at = first[which] + offset
-                c1, c2, times = (np.array([p[c] for p in pieces])[which] for c in ("c1", "c2", "times"))
-                yield pd.DataFrame({"w1": one(at, at + k).view(np.int64), "w2": two(at, at + k).view(np.int64), "c1": c1, "c2": c2, "times": times, "id": key, "uid": uid, "at": at, "offset": offset.astype(np.int16)})
+                for p in pieces:
+                    at = np.arange(p["first"], p["last"] + 1)
+                    out.append((uid, key, *(p[c] for c in fields), np.stack([one(at, at + k), two(at, at + k)], 1).tobytes()))
+            yield pd.DataFrame(out, columns=["uid", "id", *fields, "windows"])
         trim()
 
     kind = rows.schema["id"].dataType.simpleString()
-    return pack(rows).join(wanted, "uid").mapInPandas(run, f"w1 long, w2 long, c1 long, c2 long, times long, id {kind}, uid long, at long, offset short")
+    return pack(rows, []).join(wanted, "uid").mapInPandas(run, f"uid long, id {kind}, probe long, many long, c1 long, c2 long, times long, first long, windows binary")
+
+
+def _opened(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of some pieces: their hashes, their pieces' numbers and their offsets."""
+    size = frame["windows"].str.len().to_numpy(np.int64) // 16
+    offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.frombuffer(b"".join(frame["windows"]), np.int64).reshape(-1, 2), np.repeat(np.arange(len(size)), size), offset
+
+
+_HIT = ["c1", "c2", "times", "id", "uid"]
+
+
+def _hit_schema(kind: str) -> str:
+    return f"c1 long, c2 long, times long, id {kind}, uid long, at long, offset short"
+
+
+def _by_probe(pieces: DataFrame, kind: str, batch: int = 4000) -> DataFrame:
+    """Windows that a piece of a smaller id has too, found among the pieces of one probe, whole probes at a time."""
+
+    def find(group: pd.DataFrame) -> pd.DataFrame:
+        w, piece, offset = _opened(group)
+        order = np.unique(group["id"].to_numpy(), return_inverse=True)[1][piece]
+        by = np.lexsort((order, w[:, 1], w[:, 0]))
+        first = np.flatnonzero(np.concatenate(([True], (w[by[1:]] != w[by[:-1]]).any(axis=1))))
+        least = np.repeat(order[by[first]], np.diff(np.append(first, len(by))))
+        hit = by[order[by] > least]
+        return group.iloc[piece[hit]][[*_HIT, "first"]].assign(at=lambda x: x["first"] + offset[hit], offset=offset[hit].astype(np.int16)).drop(columns="first")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for frame in batches:
+            kept = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
+            while len(kept) > batch:
+                keys = kept["probe"].to_numpy()
+                cut = int(np.searchsorted(keys, keys[batch])) or int(np.searchsorted(keys, keys[0], "right"))
+                if cut == len(kept):
+                    break
+                yield find(kept[:cut].reset_index(drop=True))
+                kept = kept[cut:].reset_index(drop=True)
+        if kept is not None and len(kept):
+            yield find(kept)
+        del kept
+        trim()
+
+    return pieces.repartition("probe").sortWithinPartitions("probe").mapInPandas(run, _hit_schema(kind))
+
+
+def _by_window(pieces: DataFrame, kind: str, space: Workspace) -> DataFrame:
+    """The same for probes with very many pieces: each window is a row that goes where its own hash says."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            w, piece, offset = _opened(frame)
+            yield frame.iloc[piece][[*_HIT, "first"]].assign(at=lambda x: x["first"] + offset, offset=offset.astype(np.int16), w1=w[:, 0], w2=w[:, 1]).drop(columns="first")
+
+    windows = space.save(pieces.mapInPandas(run, f"{_hit_schema(kind)}, w1 long, w2 long"), "windows")
+    least = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("w1", "w2", "rows", "least")
+    least = space.save(least, "least")
+    return _keyed(windows, least, ["w1", "w2"], "rows", windows.count()).where("id > least").select(*_HIT, "at", "offset")
 
 
-def repeated_windows(rows: DataFrame, k: int, space: Workspace) -> DataFrame:
+def repeated_windows(rows: DataFrame, k: int, hot: int, space: Workspace) -> DataFrame:
     """Runs (uid, first, last) of starts of windows that start in a row of smaller id too; rows has uid, id (never null) and text."""
-    found = space.save(stretches(rows, k), "stretches")
+    kind = rows.schema["id"].dataType.simpleString()
+    every = space.save(stretches(rows, k), "stretches")
+    # A hash that only one id has can't begin a repeat; most are, so that only few stretches are kept.
+    hashes = every.groupBy("probe").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("least"), F.max("id").alias("most"))
+    hashes = space.save(hashes.where("least < most").select("probe", "rows"), "hashes")
+    found = space.save(_keyed(every, hashes, ["probe"], "rows", every.count(), "left_semi"), "found")
+    space.drop("stretches", "hashes")
+    space.tidy()
     source = F.min(F.struct("id", "uid", "first", "last")).alias("source")
     kinds = found.groupBy("c1", "c2").agg(F.min("probe").alias("probe"), F.count(F.lit(1)).alias("times"), source, F.max("id").alias("top"), F.min("follows").alias("lo"), F.max("follows").alias("hi"))
     kinds = space.save(kinds, "kinds")
     counted = kinds.agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("rows")).first()
     n_kinds, total = int(counted["kinds"]), int(counted["rows"] or 0)
-    probes = kinds.groupBy("probe").agg(F.count(F.lit(1)).alias("many"), F.min("source.id").alias("least"), F.max("top").alias("most"))
-    probes = space.save(probes.where("many > 1 and least < most").select("probe", "many"), "probes")
-    forks = _keyed(kinds, probes, ["probe"], "many", n_kinds).select("c1", "c2", "times", "source")
-    windows = space.save(_windows(rows, forks, k), "windows")
-    least = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("w1", "w2", "many", "least")
-    least = space.save(least, "least")
-    hits = space.save(_keyed(windows, least, ["w1", "w2"], "many", windows.count()).where("id > least").select("c1", "c2", "times", "id", "uid", "at", "offset"), "hits")
+    space.tidy()
+    probes = space.save(kinds.groupBy("probe").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "probes")
+    most = probes.agg(F.max("many")).first()[0] or 0
+    pieces = _pieces(rows, _keyed(kinds, probes.withColumn("rows", F.col("many")), ["probe"], "rows", n_kinds), k)
+    if most > hot:
+        pieces = space.save(pieces, "pieces")
+        hits = _by_probe(pieces.where(F.col("many") <= hot), kind).unionByName(_by_window(pieces.where(F.col("many") > hot), kind, space))
+    else:
+        hits = _by_probe(pieces, kind)
+    hits = space.save(hits, "hits")
+    space.drop("pieces", "windows", "least", "probes")
+    space.tidy()
     once = hits.where("times = 1").select("uid", F.col("at").alias("first"), F.col("at").alias("last"))
     # A stretch found more than once may stand in its source again: its places are looked up, together with those of the paths.
     again = hits.where("times > 1").groupBy("c1", "c2").agg(F.first("times").alias("times"), F.first("id").alias("source"), F.collect_set("offset").alias("offsets"))  # at most k
@@ -155,7 +241,7 @@ def repeated_windows(rows: DataFrame, k: int, space: Workspace) -> DataFrame:
     return later.unionByName(inside).unionByName(once)
 
 
-def remove_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 50) -> DataFrame:
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 50, hot: int = 20_000) -> DataFrame:
     """Removes each word covered by ``k`` consecutive words that also start in a row of smaller id.
 
     Words are stretches without ASCII white space; passages never cross texts, and all are judged on
@@ -167,16 +253,17 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     space = Workspace(docs.sparkSession)
     rows = docs.select(F.xxhash64(F.col(id_col), F.coalesce(F.col(text), F.lit(""))).alias("uid"), F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    starts = repeated_windows(rows.where("id is not null"), k, space)
+    starts = repeated_windows(rows.where("id is not null"), k, hot, space)
     spans = space.save(starts.groupBy("uid").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "runs")  # bounded by the text's length
-    space.drop("stretches", "kinds", "probes", "windows", "least", "hits", "keys")
+    space.drop("found", "kinds", "hits", "keys")
     space.tidy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        open_ = zstandard.ZstdDecompressor().decompress
+        for part in slices(batches, "packed"):
             n_words, n_removed, spans, kept = [], [], [], []
-            for whole, runs in zip(part.column("text").to_pylist(), part.column("runs").to_pylist()):
-                words = WORD.findall(whole)
+            for packed, runs in zip(part.column("packed").to_pylist(), part.column("runs").to_pylist()):
+                words = WORD.findall(open_(packed).decode())
                 gone: list[list[int]] = []
                 for first, last in sorted((r["first"], r["last"]) for r in runs or []):
                     if gone and first <= gone[-1][1]:
@@ -194,5 +281,5 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.join(spans, "uid", "left").select("id", "text", "runs").mapInArrow(run, f"id {kind}, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string")
+    out = pack(rows, ["id"]).join(spans, "uid", "left").select("id", "packed", "runs").mapInArrow(run, f"id {kind}, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string")
     return out.withColumnRenamed("id", id_col)

@@ -32,9 +32,9 @@ def brute(docs: list[tuple[int | None, str | None]], k: int) -> list[tuple]:
     return sorted(out, key=repr)
 
 
-def check(spark, docs: list[tuple[int | None, str | None]], k: int) -> None:
+def check(spark, docs: list[tuple[int | None, str | None]], k: int, **more) -> None:
     table = spark.createDataFrame([(i, t, "clash", 1, 2) for i, t in docs], SCHEMA).repartition(3)
-    rows = remove_passages(table, k=k).select("doc_id", "n_words", "n_removed", "kept").collect()
+    rows = remove_passages(table, k=k, **more).select("doc_id", "n_words", "n_removed", "kept").collect()
     assert sorted((tuple(r) for r in rows), key=repr) == brute(docs, k)
 
 
@@ -59,6 +59,7 @@ def test_shared_passages_copies_and_edits(spark, seed, k):
     edited[len(edited) // 2] = "edited"
     docs += [(203, " ".join(edited)), (203, " ".join(edited))]
     check(spark, docs, k)
+    check(spark, docs, k, hot=3)
 
 
 def test_repeats_inside_one_document_stay(spark):
