@@ -14,13 +14,14 @@ from pyspark.sql.types import StringType
 OPTION_LETTERS = "ABCDEFGH"
 TERM_PATTERN = r"\d{4}\s*(上|下)|(上|下)(?:学期|册)"
 YEAR_PATTERN = r"(?<!\d)((?:19|20)\d{2})(?!\d)"
+ANSWER_BLANK = r"_{3,}|＿{2,}|—{3,}"
 BLANKS = r"_{2,}|＿+|—{2,}|（\s*）|\(\s*\)"
 TEX_COMMAND = r"\\[a-zA-Z]+"
 INLINE_MARK = r"【\s*(答案|解析|详解|分析|点睛|点评)\s*】"
 COMPACT_ANSWERS = r"(\d{1,3})\s*[-~—–至]\s*(\d{1,3})\s*[:：.．]?\s*([A-H](?:[\s,，、]*[A-H])+)"
 TABLE_ANSWERS = r"题号\s+((?:\d{1,3}\s+)+)(?:选项|答案)\s+((?:[A-H]{1,4}(?:\s+|$))+)"
 NUMBERED_ANSWER = r"[【\[]\s*第?\s*(\d{1,3})\s*题\s*(?:答案|解析|详解)?\s*[】\]]"
-CHOICE_ANSWER = r"^\s*([A-H](?:\s*[,，、]?\s*[A-H]){0,7})(?![A-Za-z])\s*[.．。;；,，]?\s*"
+CHOICE_ANSWER = r"^\s*([A-H](?:\s*[,，、]?\s*[A-H]){0,7})(?![A-Za-z])\s*+[.．。;；,，]?+\s*+(?![A-Za-z])"
 CHOSEN = r"故选\s*[:：]?\s*([A-H](?:\s*[,，、]?\s*[A-H]){0,7})(?![A-Za-z])"
 FINAL_ANSWER = r"故答案为\s*[:：]\s*(.+?)\s*(?:[.。](?=\s|$|【)|\n|$)"
 NEW_LINE = r"^(?:（\d+）|\(\d+\)|[⑴-⒇]|[A-H]\s*[.．、]|\$\$|\[图\])"
@@ -37,6 +38,11 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends, line feeds and wide spaces included."""
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2002\u2003\u2009\u3000"))
+
+
 def first_filled(*columns: Column) -> Column:
     """The first that is neither null nor empty, or else the empty string."""
     return F.coalesce(*[blank_to_null(c) for c in columns], F.lit(""))
@@ -143,10 +149,10 @@ def split_options(c: Column) -> Column:
     pattern = _option_pattern()
     marks = [F.regexp_extract(c, pattern, k + 2) for k in range(len(OPTION_LETTERS))]
     has = lambda k: F.regexp_like(c, F.lit(_option_pattern_for(k)))
-    tidy = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    tidy = lambda x: strip(F.regexp_replace(x, r"\s+", " "))
     options = F.filter(F.array(*[F.when(has(k), tidy(m)) for k, m in enumerate(marks)]), lambda x: x.isNotNull())
     two = has(1)
-    return F.struct(F.when(two, F.trim(F.regexp_extract(c, pattern, 1))).otherwise(c).alias("stem"), F.when(two, options).otherwise(F.array().cast("array<string>")).alias("options"))
+    return F.struct(F.when(two, strip(F.regexp_extract(c, pattern, 1))).otherwise(c).alias("stem"), F.when(two, options).otherwise(F.array().cast("array<string>")).alias("options"))
 
 
 def _option_pattern_for(last: int) -> str:
@@ -158,7 +164,7 @@ def inline_answer(c: Column) -> Column:
     """struct(stem, answer, analysis) from 【答案】 and 【解析】-like marks; parts that aren't there are null."""
     mark = INLINE_MARK
     kinds = F.regexp_extract_all(c, F.lit(mark), 1)
-    parts = F.transform(F.slice(F.split(c, mark), 2, 1000), lambda x: F.trim(x))
+    parts = F.transform(F.slice(F.split(c, mark), 2, 1000), strip)
     pairs = F.arrays_zip(kinds.alias("kind"), parts.alias("part"))
     joined = lambda keep: blank_to_null(F.array_join(F.filter(F.transform(F.filter(pairs, keep), lambda p: p["part"]), lambda x: x != ""), "\n"))
     return F.struct(F.element_at(F.split(c, mark), 1).alias("stem"), joined(lambda p: p["kind"] == "答案").alias("answer"), joined(lambda p: p["kind"] != "答案").alias("analysis"))
@@ -174,7 +180,7 @@ def compact_answers(c: Column) -> Column:
 
 def sub_questions(c: Column) -> Column:
     """Parts at the marks （1）, (2), ⑴ ...; text before the first mark is its own part."""
-    return F.filter(F.transform(F.split(c, r"(?=（\d+）|\(\d+\)|[⑴-⒇])"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"(?=（\d+）|\(\d+\)|[⑴-⒇])"), strip), lambda x: x != "")
 
 
 def unescape_markdown(c: Column) -> Column:
@@ -201,7 +207,7 @@ def table_answers(c: Column) -> Column:
 def numbered_parts(c: Column) -> Column:
     """array<struct(no, text)>: what follows each mark such as 【3 题答案】, if there are two marks or more; empty parts go."""
     nos = F.regexp_extract_all(c, F.lit(NUMBERED_ANSWER), 1)
-    parts = F.transform(F.slice(F.split(c, NUMBERED_ANSWER), 2, 1000), lambda x: F.trim(x))
+    parts = F.transform(F.slice(F.split(c, NUMBERED_ANSWER), 2, 1000), strip)
     rows = F.filter(F.zip_with(nos, parts, lambda n, t: F.struct(n.cast("int").alias("no"), t.alias("text"))), lambda r: r["text"] != "")
     return F.when(F.size(nos) > 1, rows).otherwise(F.filter(rows, lambda _: F.lit(False)))
 
@@ -210,15 +216,15 @@ def answer_parts(c: Column) -> Column:
     """struct(answer, analysis) of one question's answer text: marked parts, leading option letters, or all of it."""
     marked = inline_answer(c)
     letters = F.regexp_replace(F.regexp_extract(c, CHOICE_ANSWER, 1), "[^A-H]", "")
-    rest = blank_to_null(F.trim(F.regexp_replace(c, CHOICE_ANSWER, "")))
+    rest = blank_to_null(strip(F.regexp_replace(c, CHOICE_ANSWER, "")))
     has = marked["answer"].isNotNull() | marked["analysis"].isNotNull()
-    return F.struct(F.when(has, marked["answer"]).when(letters != "", letters).otherwise(blank_to_null(F.trim(c))).alias("answer"), F.when(has, marked["analysis"]).when(letters != "", rest).alias("analysis"))
+    return F.struct(F.when(has, marked["answer"]).when(letters != "", letters).otherwise(blank_to_null(strip(c))).alias("answer"), F.when(has, marked["analysis"]).when(letters != "", rest).alias("analysis"))
 
 
 def concluded(analysis: Column) -> Column:
     """The answer that an analysis ends with: the option it chooses, or else what it states; null if neither."""
     chosen = F.regexp_replace(F.regexp_extract(analysis, CHOSEN, 1), "[^A-H]", "")
-    return F.coalesce(blank_to_null(chosen), blank_to_null(F.trim(F.regexp_extract(analysis, FINAL_ANSWER, 1))))
+    return F.coalesce(blank_to_null(chosen), blank_to_null(strip(F.regexp_extract(analysis, FINAL_ANSWER, 1))))
 
 
 def join_lines(lines: Column) -> Column:
@@ -229,7 +235,7 @@ def join_lines(lines: Column) -> Column:
         touch = F.substring(text, -1, 1).rlike(CJK) | F.substring(line, 1, 1).rlike(CJK)
         return F.when(text == "", line).otherwise(F.concat(text, F.when(breaks, "\n").when(touch, "").otherwise(" "), line))
 
-    kept = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
+    kept = F.filter(F.transform(lines, strip), lambda x: x != "")
     return F.aggregate(kept, F.lit(""), add)
 
 

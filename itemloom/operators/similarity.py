@@ -122,6 +122,29 @@ def duplicate_of(pairs: DataFrame) -> DataFrame:
     return top_k(pairs, "ka", "lexical", "kb", 1, DUPLICATE).select("ka", F.col("kb").alias("duplicate_of"), F.col("lexical").alias("score"))
 
 
+def bank_duplicates(pairs: DataFrame, owners: DataFrame) -> DataFrame:
+    """(ka, duplicate_of, score): each question's best match at the duplicate threshold in another paper than its own.
+
+    ``pairs`` are all at or above the threshold (``near_texts`` without ``k``), ``owners`` has question and paper.
+    """
+    mine, theirs = owners.select(F.col("question").alias("ka"), F.col("paper").alias("pa")), owners.select(F.col("question").alias("kb"), F.col("paper").alias("pb"))
+    return duplicate_of(pairs.join(mine, "ka").join(theirs, "kb").where("pa <> pb"))
+
+
+def paper_votes(duplicates: DataFrame, owners: DataFrame) -> DataFrame:
+    """(paper, other, duplicates): how many of a paper's questions are duplicates of one other paper's."""
+    mine, theirs = owners.select(F.col("question").alias("ka"), "paper"), owners.select(F.col("question").alias("duplicate_of"), F.col("paper").alias("other"))
+    return duplicates.join(mine, "ka").join(theirs, "duplicate_of").groupBy("paper", "other").agg(F.count(F.lit(1)).alias("duplicates"))
+
+
+def _least_other(papers: DataFrame, by: list[str], rule: int) -> DataFrame:
+    """Each paper with the least other of equal ``by`` columns, from the two least of each group."""
+    keyed = papers.where(" AND ".join(f"{c} IS NOT NULL" for c in by))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("paper"))
+    two = keyed.select("paper", *by).withColumn("r", rank).where("r <= 2").groupBy(*by).agg(F.min("paper").alias("one"), F.max("paper").alias("two")).where("one <> two")
+    return keyed.join(two, by).select("paper", F.when(F.col("paper") == F.col("one"), F.col("two")).otherwise(F.col("one")).alias("other"), F.lit(rule).alias("rule"), F.lit(0).alias("n"))
+
+
 def duplicate_paper(papers: DataFrame, found: DataFrame, paper: str, file_hash: str, title: str, same: list[str], items: str) -> DataFrame:
     """(paper, other, reason): the first rule that finds another paper to be the same one.
 
@@ -129,14 +152,10 @@ def duplicate_paper(papers: DataFrame, found: DataFrame, paper: str, file_hash:
     three or more, and half, of its questions duplicates of one paper's.  ``found`` has paper, other
     and duplicates.  Of several others the smallest is named, under the third rule that of most.
     """
-    p = papers.withColumn("__t", normalize(F.col(title)))
-    left = p.select(F.col(paper).alias("paper"), F.col(file_hash).alias("h"), F.col("__t").alias("t"), *same, F.col(items).alias("items"))
-    right = p.select(F.col(paper).alias("other"), F.col(file_hash).alias("h"), F.col("__t").alias("t"), *same)
-    file = left.join(right.select("other", "h"), "h").where("paper <> other").select("paper", "other", F.lit(1).alias("rule"), F.lit(0).alias("n"))
-    named = left.where(F.length("t") >= 8).join(right.drop("h"), ["t", *same]).where("paper <> other").select("paper", "other", F.lit(2).alias("rule"), F.lit(0).alias("n"))
-    most = found.join(left.select("paper", "items"), "paper").where("duplicates >= 3 AND duplicates >= 0.5 * items").select("paper", "other", F.lit(3).alias("rule"), F.col("duplicates").cast("int").alias("n"))
-    best = F.min(F.struct("rule", -F.col("n"), "other")).alias("b")
-    out = file.unionByName(named).unionByName(most).groupBy("paper").agg(best)
+    p = papers.select(F.col(paper).alias("paper"), F.col(file_hash).alias("h"), once(normalize(F.col(title))).alias("t"), *same, F.col(items).alias("items")).dropDuplicates(["paper"])
+    most = found.join(p.select("paper", "items"), "paper").where("duplicates >= 3 AND duplicates >= 0.5 * items").select("paper", "other", F.lit(3).alias("rule"), F.col("duplicates").cast("int").alias("n"))
+    rules = _least_other(p, ["h"], 1).unionByName(_least_other(p.where(F.length("t") >= 8), ["t", *same], 2)).unionByName(most)
+    out = rules.groupBy("paper").agg(F.min(F.struct("rule", -F.col("n"), "other")).alias("b"))
     reason = F.element_at(F.array(*map(F.lit, ("same_file", "same_title", "most_questions"))), F.col("b.rule"))
     return out.select("paper", F.col("b.other").alias("other"), reason.alias("reason"))
 

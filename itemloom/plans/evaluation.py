@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from itemloom.functions.maths import difficulty, jaccard
 from itemloom.functions.text import answer_letters, answers_equal, normalize
 from itemloom.operators import evaluate
+from itemloom.operators import similarity as sim
 from itemloom.plans.registry import query
-from itemloom.sources.tables import table
+from itemloom.plans.similar import _GRAMS, _NORM, _TEXT
+from itemloom.sources.tables import cut, table
 
 
 @query(
@@ -24,15 +26,28 @@ def eval_counters(spark, d):
     return evaluate.counters(rows, ["lang"], {"quality": (F.col("quality").isNotNull(), F.coalesce(F.col("quality") == 1, F.lit(False))), "flag": (F.col("n_chars") > 1000, F.coalesce(F.col("toxic") == 0, F.lit(False)))})
 
 
+_SAMPLES = f"""WITH b AS (SELECT p_partkey AS k, p_partkey // 50 AS sample, {_NORM.format(_TEXT)} AS t FROM part), g AS ({_GRAMS.format(key='k', table='b')}), l AS (SELECT k, sqrt(sum(n * n)) AS l FROM g GROUP BY 1)
+    SELECT x.k // 50 AS sample, x.k AS gold, y.k AS pred, round(sum(x.n * y.n) / (any_value(lx.l) * any_value(ly.l)), 6) AS lexical FROM g x JOIN g y ON x.g = y.g AND x.k // 50 = y.k // 50 AND x.k % 2 = 0 AND y.k % 2 = 1 JOIN l lx ON lx.k = x.k JOIN l ly ON ly.k = y.k GROUP BY 1, 2, 3 HAVING sum(x.n * y.n) / (any_value(lx.l) * any_value(ly.l)) >= 0.5"""
+
+
+def _gold_and_found(spark, d):
+    """Parts of even and odd ids within samples of fifty, by the likeness of their texts."""
+    parts = table(spark, d, "part", "p_partkey", "p_name", "p_type", "p_brand").withColumn("sample", F.floor(F.col("p_partkey") / 50))
+    grams = cut(sim.gram_table(parts, "p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand"), ["sample"]))
+    pairs = sim.near_texts(grams.where("p_partkey % 2 = 0"), grams.where("p_partkey % 2 = 1"), "p_partkey", "p_partkey", sim.MATCH, same=["sample"])
+    return pairs.select(F.floor(F.col("ka") / 50).alias("sample"), F.col("ka").alias("gold"), F.col("kb").alias("pred"), "lexical")
+
+
+@query(_SAMPLES)
+def gold_candidates(spark, d):
+    """All pairs of a gold and a found text of one sample that are half alike or more."""
+    return _gold_and_found(spark, d).withColumn("lexical", F.round("lexical", 6))
+
+
 @query()
 def greedy_match(spark, d):
-    """Vectors of even and odd ids paired one to one within samples of fifty ids, most similar first."""
-    from itemloom.operators.similarity import vector_pairs
-
-    rows = table(spark, d, "embeddings", "vec_id", "embedding").withColumn("sample", F.floor(F.col("vec_id") / 50))
-    pairs = vector_pairs(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), "vec_id", "vec_id", "embedding", ["sample"])
-    met = pairs.select(F.floor(F.col("kq") / 50).alias("sample"), "kq", "kr", "cos")
-    return evaluate.greedy_match(met, "sample", "kq", "kr", "cos", 0.1)
+    """Gold and found texts paired one to one within samples, most similar first."""
+    return evaluate.greedy_match(_gold_and_found(spark, d), "sample", "gold", "pred", "lexical")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, round(greatest(0.02, least(0.98, CASE WHEN l_returnflag = 'A' THEN 0.7::DOUBLE * (l_tax * 10) + (1 - 0.7::DOUBLE) * (l_discount * 10) ELSE l_discount * 10 END)), 2) AS coef FROM lineitem")

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from itemloom.functions.text import answer_parts, compact_answers, concluded, numbered_parts, table_answers
-from itemloom.operators import layout, segment
+from itemloom.operators import answers, layout, materials, segment
 from itemloom.plans.registry import query
 from itemloom.sources.tables import table
 
@@ -50,6 +50,59 @@ def inferred_scores(spark, d):
     return segment.infer_scores(scored, heads, segment.paper_totals(units, marks)).select("paper", "question", "score", "score_source")
 
 
+_BUILT = """, e AS (SELECT *, substr('ABCD', p::INT % 4 + 1, 1) AS letter FROM q), s AS (SELECT *, CASE WHEN p % 3 = 0 THEN p % 10 + 1 END AS own FROM e), t AS (SELECT *, CASE WHEN own IS NOT NULL THEN own WHEN section = 1 THEN 5 ELSE 12 END AS score, own IS NULL AND section = 2 AS free FROM s),
+    u AS (SELECT *, 40 - sum(CASE WHEN section = 2 AND NOT free THEN score ELSE 0 END) OVER b AS rest, sum(CASE WHEN free THEN 1 ELSE 0 END) OVER b AS m, sum(CASE WHEN free THEN score ELSE 0 END) OVER b AS have, row_number() OVER (PARTITION BY paper, section, free ORDER BY question) AS r FROM t WINDOW b AS (PARTITION BY paper, section)),
+    x AS (SELECT *, free AND rest >= m AND have BETWEEN rest / 2 AND rest * 1.5 AS shared FROM u)
+    SELECT paper, question::INT AS question, CASE section WHEN 1 THEN '单选题' ELSE '解答题' END AS kind, (CASE WHEN shared THEN rest // m + (r > m - rest % m)::INT ELSE score END)::DOUBLE AS score,
+    '题目' || p AS stem, CASE section WHEN 1 THEN 4 ELSE 0 END AS options, CASE WHEN p % 5 = 0 AND section = 1 THEN NULL WHEN p % 5 = 0 THEN '见表' WHEN section = 1 THEN letter ELSE '过程从略' || p END AS answer,
+    round(greatest(0.3, 0.95 - gap::INT * 0.2 - (len('题目' || p) < 6)::INT * 0.3 - free::INT * 0.05 - (p % 5 = 0)::INT * 0.1)::DOUBLE, 2) AS confidence FROM x"""
+
+
+@query(_WALK + _BUILT)
+def built_questions(spark, d):
+    """Whole questions of all papers: options split off, answers out of the answer area or, where it has none, what an analysis elsewhere is marked with, kind, inferred score and confidence."""
+    n, p = F.col("l_linenumber"), F.col("p")
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    first = n < 4
+    stem = F.concat(n.cast("string"), F.lit("．"), F.when(p % 3 == 0, F.concat(F.lit("（"), (p % 10 + 1).cast("string"), F.lit(" 分）"))).otherwise(""), F.lit("题目"), p.cast("string"), F.when(first, " A．甲 B．乙 C．丙 D．丁").otherwise(""))
+    letter = F.substring(F.lit("ABCD"), (p % 4 + 1).cast("int"), F.lit(1))
+    reply = F.concat(n.cast("string"), F.lit("．"), F.when(first, letter).otherwise(F.concat(F.lit("过程从略"), p.cast("string"))))
+    body = lines.select(F.col("l_orderkey").alias("paper"), (n * 10).alias("seq"), F.lit("text").alias("type"), stem.alias("text"))
+    area = lines.where("p % 5 > 0").select(F.col("l_orderkey").alias("paper"), (n + 100).alias("seq"), F.lit("text").alias("type"), reply.alias("text"))
+    # One unit before the paper holds the answers that the area lacks, each behind its number's mark.
+    lacking = lines.where("p % 5 = 0 AND l_linenumber >= 4").groupBy(F.col("l_orderkey").alias("paper")).agg(F.sort_array(F.collect_list("l_linenumber")).alias("ns"))  # at most seven lines an order
+    marked = lacking.select("paper", F.lit(0).alias("seq"), F.lit("text").alias("type"), F.array_join(F.transform(F.concat("ns", F.array(F.lit(99))), lambda x: F.concat(F.lit("【"), x.cast("string"), F.lit(" 题答案】【答案】见表"))), "").alias("text"))
+    fixed = [(1, "试卷满分：100 分"), (5, "一、选择题（每小题 5 分）"), (35, "二、解答题：共 40 分"), (99, "参考答案")]
+    rest = lines.select(F.col("l_orderkey").alias("paper")).distinct().select("paper", F.explode(F.array(*[F.struct(F.lit(s).alias("seq"), F.lit("text").alias("type"), F.lit(t).alias("text")) for s, t in fixed])).alias("f")).select("paper", "f.*")
+    units = body.unionByName(area).unionByName(marked).unionByName(rest)
+    marks = segment.segment(units)
+    heads = segment.headings(units, marks)
+    found = answers.finalize(segment.build(units, marks, heads, answers.answer_area(units, marks)), units)
+    out = segment.infer_scores(found, heads, segment.paper_totals(units, marks))
+    return out.select("paper", "question", "kind", "score", "stem", F.size("options").alias("options"), "answer", "confidence")
+
+
+_PASSAGE = "trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(8194) || chr(8195) || chr(8201) || chr(12288))"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_PASSAGE} AS t, length(text) AS n FROM documents), m AS (SELECT doc_id, regexp_replace(t, '[ \t]*\n[ \t\n]*', '\n', 'g') AS t FROM d
+    WHERE length(regexp_replace(t, '[ \t]*\n[ \t\n]*', '\n', 'g')) >= 150 AND NOT regexp_matches(t, '(?m)^\s*[A-D]\s*[.．、]') AND NOT regexp_matches(t, '^\s*\d{{1,3}}\s*[.．、]') AND NOT regexp_matches(t, '^\s*(?:【[^】]{{1,12}}】|故选|故答案为)') AND NOT regexp_matches(t, '^(?:（\d+）|\(\d+\)|[⑴-⒇])')
+    AND NOT regexp_matches(t, '(?:^|[^A-Za-z])A\s*[.．、]\s*\S.*?[^A-Za-z]B\s*[.．、]\s*\S') AND NOT regexp_matches(t, '^\s*(?:第\s*\d+\s*页|\d+\s*/\s*\d+\s*$)'))
+    SELECT doc_id, 2 AS question, length(t)::BIGINT AS chars, md5(t) AS passage FROM m"""
+)
+def reading_passages(spark, d):
+    """Each document as the body between a label and a question: which are passages, and the question that they are attached to."""
+    docs = table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL")
+    rows = [(0, F.lit("1. Which is right? A. this B. that C. both D. none")), (1, F.lit("B")), (2, F.col("text")), (3, F.lit("2. What does the passage say?")), (4, F.lit("Ⅳ. 词汇运用")), (5, F.lit("3. The last one stands for itself."))]
+    units = docs.select(F.col("doc_id").alias("paper"), F.explode(F.array(*[F.struct(F.lit(s).alias("seq"), F.lit("text").alias("type"), t.alias("text")) for s, t in rows])).alias("u")).select("paper", "u.*")
+    found, heads = materials.find_materials(units)
+    marks = segment.segment(materials.without_materials(units, found))
+    asked = marks.where("role = 'start'").select("paper", "question", F.col("seq").alias("first"), F.array().cast("array<string>").alias("flags"), F.lit(0.9).alias("confidence"))
+    out = materials.attach_materials(asked, found, heads).where("material IS NOT NULL")
+    return out.select(F.col("paper").alias("doc_id"), "question", F.length("material").cast("long").alias("chars"), F.md5("material").alias("passage"))
+
+
 @query("SELECT o_orderkey, '单选题' AS kind, 4.0::DOUBLE AS each, (30 + o_orderkey % 20)::DOUBLE AS total, (5 + o_orderkey % 4)::INT AS count, CASE WHEN o_orderkey % 2 = 0 THEN '1:2.0,2:2.0,3:2.0,7:' || (o_orderkey % 5 + 6) || '.0' ELSE '7:' || (o_orderkey % 5 + 6) || '.0' END AS special, CASE WHEN o_orderkey % 3 = 0 THEN '8' ELSE '' END AS per_blank FROM orders")
 def heading_scores(spark, d):
     """Headings with ranges, a named exception, questions scored by blank, a count and a total."""

@@ -95,6 +95,27 @@ def duplicate_paper_check(spark, d):
     return sim.duplicate_paper(papers, found, "id", "h", "title", ["grade"], "n")
 
 
+@query(
+    f"""WITH b AS (SELECT p_partkey AS k, p_partkey // 5 AS paper, p_type AS kind, {_NORM.format(_TEXT)} AS t FROM part), g AS ({_GRAMS.format(key='k', table='b')}), l AS (SELECT k, sqrt(sum(n * n)) AS l FROM g GROUP BY 1),
+    k AS (SELECT g.k, gram_kind.kind, g.g, g.n FROM g JOIN b AS gram_kind ON g.k = gram_kind.k), p AS (SELECT x.k AS ka, y.k AS kb, sum(x.n * y.n) / (any_value(lx.l) * any_value(ly.l)) AS lexical FROM k x JOIN k y ON x.g = y.g AND x.kind = y.kind AND x.k // 5 <> y.k // 5 JOIN l lx ON lx.k = x.k JOIN l ly ON ly.k = y.k GROUP BY 1, 2),
+    d AS (SELECT ka, kb FROM p WHERE lexical >= 0.85 QUALIFY row_number() OVER (PARTITION BY ka ORDER BY round(lexical, 4) DESC, kb) = 1), v AS (SELECT ka // 5 AS paper, kb // 5 AS other, count(*) AS n FROM d GROUP BY 1, 2),
+    q AS (SELECT paper, count(*) AS items, 'exam of ' || min(p_name) AS title, paper % 3 AS grade, CASE WHEN paper % 7 = 0 THEN paper // 14 END AS h FROM part JOIN b ON k = p_partkey GROUP BY paper),
+    f AS (SELECT x.paper, min(y.paper) AS other FROM q x JOIN q y ON x.h = y.h AND x.paper <> y.paper GROUP BY 1),
+    s AS (SELECT x.paper, min(y.paper) AS other FROM q x JOIN q y ON x.title = y.title AND x.grade = y.grade AND x.paper <> y.paper WHERE x.paper % 2 = 1 AND y.paper % 2 = 1 GROUP BY 1),
+    m AS (SELECT paper, other FROM v JOIN q USING (paper) WHERE n >= 3 AND n >= 0.5 * items QUALIFY row_number() OVER (PARTITION BY paper ORDER BY n DESC, other) = 1)
+    SELECT q.paper, coalesce(f.other, s.other, m.other) AS other, CASE WHEN f.other IS NOT NULL THEN 'same_file' WHEN s.other IS NOT NULL THEN 'same_title' ELSE 'most_questions' END AS reason FROM q LEFT JOIN f USING (paper) LEFT JOIN s USING (paper) LEFT JOIN m USING (paper) WHERE coalesce(f.other, s.other, m.other) IS NOT NULL"""
+)
+def duplicate_papers_by_votes(spark, d):
+    """Papers of five parts each: same files, same titles within a grade, and real counts of near-equal questions of one type in one other paper."""
+    parts = table(spark, d, "part", "p_partkey", "p_name", "p_type", "p_brand").withColumn("paper", F.floor(F.col("p_partkey") / 5))
+    grams = cut(sim.gram_table(parts, "p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand"), ["p_type"]))
+    owners = parts.select(F.col("p_partkey").alias("question"), "paper")
+    votes = sim.paper_votes(sim.bank_duplicates(sim.near_texts(grams, grams, "p_partkey", "p_partkey", sim.DUPLICATE, same=["p_type"]), owners), owners)
+    title = F.when(F.col("paper") % 2 == 1, F.concat(F.lit("exam of "), F.min("p_name"))).alias("title")
+    papers = parts.groupBy("paper").agg(F.count(F.lit(1)).alias("items"), title, F.when(F.col("paper") % 7 == 0, F.floor(F.col("paper") / 14)).alias("h")).withColumn("grade", F.col("paper") % 3)
+    return sim.duplicate_paper(papers, votes, "paper", "h", "title", ["grade"], "items")
+
+
 @query("SELECT item_id, (length(regexp_replace(text, '[^一-鿿]', '', 'g')) + ceil((length(text) - length(regexp_replace(text, '[^一-鿿]', '', 'g'))) / 4.0))::BIGINT AS tokens FROM benchmark")
 def token_estimates(spark, d):
     return table(spark, d, "benchmark").select("item_id", estimate_tokens(F.col("text")).alias("tokens"))
