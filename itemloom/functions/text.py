@@ -14,6 +14,8 @@ from pyspark.sql.types import StringType
 OPTION_LETTERS = "ABCDEFGH"
 TERM_PATTERN = r"\d{4}\s*(上|下)|(上|下)(?:学期|册)"
 YEAR_PATTERN = r"(?<!\d)((?:19|20)\d{2})(?!\d)"
+MATH_SPAN = r"(\$\$[\s\S]+?\$\$|\$[^$\n]+?\$)"
+MARKDOWN_ESCAPE = r"\\([_*#`~|<>\[\]])"
 ANSWER_BLANK = r"_{3,}|＿{2,}|—{3,}"
 BLANKS = r"_{2,}|＿+|—{2,}|（\s*）|\(\s*\)"
 TEX_COMMAND = r"\\[a-zA-Z]+"
@@ -184,10 +186,10 @@ def sub_questions(c: Column) -> Column:
 
 
 def unescape_markdown(c: Column) -> Column:
-    """Drops backslashes before punctuation, but not between dollar signs."""
-    parts = F.split(c, r"\$")
-    plain = F.transform(parts, lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, r"\\([\\`*_{}\[\]()#+.!<>~|-])", "$1")).otherwise(x))
-    return F.array_join(plain, "$")
+    """Drops the backslashes by which Markdown keeps its own marks plain; what stands in formulas stays."""
+    plain = F.transform(F.split(c, MATH_SPAN, -1), lambda x: F.regexp_replace(x, MARKDOWN_ESCAPE, "$1"))
+    parts = F.zip_with(plain, F.regexp_extract_all(c, F.lit(MATH_SPAN), 1), lambda x, m: F.concat(F.coalesce(x, F.lit("")), F.coalesce(m, F.lit(""))))
+    return F.array_join(parts, "")
 
 
 def school_bucket(school: Column, labels: dict[str, str], other: str, unclassified: str) -> Column:

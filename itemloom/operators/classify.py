@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from itemloom.functions.text import first_filled
+from itemloom.operators.schools import clean_school, school_of
+
 # The words by which papers name their stage, grade, kind, year, region and textbook.
 GRADES = (
     ("高一", "高中", "高一"), ("高二", "高中", "高二"), ("高三", "高中", "高三"),
@@ -44,8 +47,13 @@ def title(text: Column) -> Column:
     return F.coalesce(F.try_element_at(good, F.lit(1)), F.lit(""))
 
 
-def classify_paper(text: Column) -> Column:
-    """struct(title, stage, grade, subject, paper_type, school_year, region, textbook); what isn't said is empty."""
+def classify_paper(text: Column, hint: Column | None = None) -> Column:
+    """struct(title, stage, grade, subject, paper_type, school_year, region, textbook, school); what isn't said is empty.
+
+    ``hint``, a file's name, is read after the text, for all but the title; a school is looked for in the title first.
+    """
+    heading = title(text)
+    text = text if hint is None else F.when(F.coalesce(hint, F.lit("")) != "", F.concat(text, F.lit("\n"), hint)).otherwise(text)
     t = F.regexp_replace(text, r"(?<=[\u4e00-\u9fff])\s+(?=[\u4e00-\u9fff])", "")
     grade = first_of(t, tuple((p, g) for p, _, g in GRADES))
     stage = first_of(t, tuple((p, s) for p, s, _ in GRADES))
@@ -57,8 +65,9 @@ def classify_paper(text: Column) -> Column:
     district = F.regexp_extract(F.substr(t, F.position(place, t)), DISTRICT, 1)
     region = F.when(place.isNull(), "").otherwise(F.concat(place, F.when(district != "", F.concat(F.lit(" · "), district)).otherwise("")))
     return F.struct(
-        title(text).alias("title"), stage.alias("stage"), grade.alias("grade"), first_of(t, tuple((s, s) for s in SUBJECTS)).alias("subject"), first_of(t, PAPER_TYPES).alias("paper_type"),
+        heading.alias("title"), stage.alias("stage"), grade.alias("grade"), first_of(t, tuple((s, s) for s in SUBJECTS)).alias("subject"), first_of(t, PAPER_TYPES).alias("paper_type"),
         F.when(a != "", F.concat(a, F.lit("—"), b, term)).otherwise("").alias("school_year"), region.alias("region"), F.regexp_extract(t, TEXTBOOK, 1).alias("textbook"),
+        clean_school(first_filled(school_of(heading), school_of(hint) if hint is not None else F.lit("")), t).alias("school"),
     )
 
 

@@ -103,7 +103,7 @@ def joined_lines(spark, d):
     return table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").select("p_partkey", join_lines(lines).alias("text"))
 
 
-@query(r"SELECT p_partkey, '_' || p_name || '*$a\_b$.' AS text FROM part")
+@query(r"SELECT p_partkey, '_' || p_name || '*$a\_b$\.' AS text FROM part")
 def unescaped_markdown(spark, d):
     text = F.concat(F.lit("\\_"), F.col("p_name"), F.lit("\\*$a\\_b$\\."))
     return table(spark, d, "part", "p_partkey", "p_name").select("p_partkey", unescape_markdown(text).alias("text"))

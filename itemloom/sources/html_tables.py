@@ -25,8 +25,10 @@ class _Cells(HTMLParser):
         elif tag in ("td", "th") and self.tables and self.tables[-1][1]:
             span = lambda k: max(1, min(1000, int(v))) if (v := attrs.get(k) or "1").isdigit() else 1
             self._open, self._text = (span("rowspan"), span("colspan")), []
-        elif tag in ("h1", "h2", "h3", "h4"):
+        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self._open, self._text = tag, []
+        elif tag in ("br", "p", "div", "li") and isinstance(self._open, tuple):
+            self._text.append(" ")
 
     def handle_data(self, data):
         if self._open:
