@@ -6,6 +6,7 @@ from itemloom.functions.maths import clamp_or
 from itemloom.functions.text import inline_answer, join_lines, linear_math, loose_json, once, school_bucket, split_options, sub_questions, unescape_markdown
 from itemloom.operators import layout, pricing
 from itemloom.operators.classify import classify_paper, consistent
+from itemloom.operators.schools import school_of
 from itemloom.plans.registry import query
 from itemloom.sources import blocks
 from itemloom.sources.html_tables import read_tables
@@ -72,15 +73,24 @@ def sub_question_parts(spark, d):
     return each.select("p_partkey", (F.col("i") + 1).alias("no"), "part", share.cast("long").alias("score"))
 
 
-@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, (turn // 2 + 1)::INT AS page, greatest(0, least(1, (turn * 40 - 10) / 1000.0::DOUBLE)) AS x0, 'text' AS type, length(text)::INT AS n FROM conversations WHERE turn % 3 < 2 AND trim(text) <> ''")
+@query(
+    """WITH t AS (SELECT *, CASE turn % 7 WHEN 0 THEN 'text' WHEN 1 THEN 'title' WHEN 2 THEN 'discarded' WHEN 3 THEN 'table' WHEN 4 THEN 'list' WHEN 5 THEN 'image' ELSE 'code' END AS k FROM conversations)
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, (turn // 2 + 1)::INT AS page, CASE WHEN turn % 5 = 0 THEN 0.0 ELSE greatest(0, least(1, (turn * 40 - 10) / 1000.0::DOUBLE)) END::DOUBLE AS x0, CASE k WHEN 'list' THEN 'text' WHEN 'code' THEN 'text' ELSE k END AS type,
+    md5(CASE k WHEN 'table' THEN '<td>' || text || '</td>' WHEN 'list' THEN '(1) _' || chr(10) || text WHEN 'image' THEN 'picture ' || turn ELSE text END) AS content FROM t WHERE k <> 'discarded' AND (trim(text) <> '' OR k IN ('table', 'list', 'image'))"""
+)
 def content_lists(spark, d):
-    """A recogniser's JSON: every third block is discarded furniture, boxes reach beyond the page."""
-    turns = table(spark, d, "conversations")
-    box = F.array((F.col("turn") * 40 - 10).cast("double"), F.lit(20.0), F.lit(900.0), F.lit(1100.0))
-    block = F.struct("turn", F.when(F.col("turn") % 3 == 2, "discarded").otherwise("text").alias("type"), F.col("text"), box.alias("bbox"), F.floor(F.col("turn") / 2).cast("int").alias("page_idx"))
+    """A recogniser's JSON with a kind of block for each of seven turns: one is furniture, boxes reach beyond the page, every fifth has none."""
+    turns, turn = table(spark, d, "conversations"), F.col("turn")
+    box = F.when(turn % 5 > 0, F.array((turn * 40 - 10).cast("double"), F.lit(20.0), F.lit(900.0), F.lit(1100.0)))
+    k = turn % 7
+    kind = F.when(k < 2, "text").when(k == 2, "discarded").when(k == 3, "table").when(k == 4, "list").when(k == 5, "image").otherwise("code")
+    block = F.struct(
+        "turn", kind.alias("type"), F.when(k < 3, F.col("text")).alias("text"), F.when(k == 1, 1).alias("text_level"), F.when(k == 3, F.concat(F.lit("<td>"), "text", F.lit("</td>"))).alias("table_body"), F.when(k == 4, F.array(F.lit("(1) \\_"), F.lit(""), F.col("text"))).alias("list_items"),
+        F.when(k == 5, F.array(F.concat(F.lit("picture "), turn.cast("string")))).alias("image_caption"), F.when(k == 6, F.col("text")).alias("code_body"), box.alias("bbox"), F.floor(turn / 2).cast("int").alias("page_idx"),
+    )
     lists = turns.groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list(block))).alias("content"))
     out = blocks.from_content_list(lists, "conv_id", "content")
-    return out.select("conv_id", F.col("seq").cast("long").alias("seq"), "page", F.col("bbox")[0].alias("x0"), "type", F.length("text").alias("n"))
+    return out.select("conv_id", F.col("seq").cast("long").alias("seq"), "page", F.col("bbox")[0].alias("x0"), "type", F.md5("text").alias("content"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'first' WHEN o_orderkey % 3 = 0 THEN 'second' END AS chosen, CASE WHEN o_orderkey % 2 = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN 'no first' ELSE 'no first,no second' END AS failed FROM orders")
@@ -149,3 +159,51 @@ def html_price_tables(spark, d):
     html = F.concat(F.lit("<h2>Prices</h2><table><tr><th>Model</th><th>Range</th><th>Input price</th><th>Output price</th></tr>"), first, cells(F.lit("more"), (F.col("p_size") / 2).cast("string"), (F.col("p_size") * 2).cast("string")), F.lit("</table><table><tr><td>x</td></tr><tr><td>1</td></tr></table>"))
     pages = table(spark, d, "part", "p_partkey", "p_size").select("p_partkey", html.alias("html"))
     return pricing.table_prices(read_tables(pages, "p_partkey", "html"), "p_partkey")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_size / 4.0::DOUBLE AS a, p_size::DOUBLE AS b, 'model-' || p_partkey AS name FROM part)
+    SELECT p_partkey, name, 32000::BIGINT AS max_input, NULL AS mode, a AS input, b AS output, NULL::DOUBLE AS input_offpeak, NULL::DOUBLE AS output_offpeak FROM p UNION ALL SELECT p_partkey, name, 1000000, NULL, a * 2, b * 2, a / 2, b / 2 FROM p
+    UNION ALL SELECT p_partkey, 'plus-' || p_partkey, NULL, 'thinking', a, b * 4, NULL, NULL FROM p UNION ALL SELECT p_partkey, 'plus-' || p_partkey, NULL, 'non_thinking', a, b, NULL, NULL FROM p"""
+)
+def scoped_price_pages(spark, d):
+    """A page for each part: tiers by input length, one with busy and idle hours, modes in another table, rows of another scope, and the same model under another region's heading."""
+    s = lambda c: c.cast("string")
+    row = lambda *c: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), x if not isinstance(x, str) else F.lit(x), F.lit("</td>")) for x in c], F.lit("</tr>"))
+    a, b, name = F.col("p_size") / 4, F.col("p_size"), F.concat(F.lit("Model-"), s(F.col("p_partkey")))
+    dollar = lambda c: F.concat(F.lit("$"), s(c))
+    hours = lambda c: F.concat(F.lit("Busy hours: $"), s(c * 2), F.lit("<br>Idle hours: $"), s(c / 2))
+    tiers = F.concat(F.lit("<h2>Singapore</h2><table>"), row("Model ID", "Deployment scope", "Input tokens per request", "Input price", "Output price"), row(name, "International", "0&lt;Token≤32K", dollar(a), dollar(b)), row(name, "Global", "0&lt;Token≤64K", "$9", "$9"), row(name, "International", "32K&lt;Token≤1M", hours(a), hours(b)), F.lit("</table>"))
+    plus = F.concat(F.lit("plus-"), s(F.col("p_partkey")))
+    modes = F.concat(F.lit("<table>"), row("Model ID", "Mode", "Input price", "Output price"), row(plus, "Non-thinking mode", dollar(a), dollar(b)), row(plus, "Thinking mode", dollar(a), dollar(b * 4)), row(plus, "Thinking mode", "$99", "$99"), F.lit("</table>"))
+    other = F.concat(F.lit("<h2>Beijing</h2><table>"), row("Model", "Input price", "Output price"), row(name, "$7", "$7"), F.lit("</table>"))
+    pages = table(spark, d, "part", "p_partkey", "p_size").select("p_partkey", F.concat(tiers, modes, other).alias("html"))
+    return pricing.scoped_prices(read_tables(pages, "p_partkey", "html"), "p_partkey", "Singapore", "International")
+
+
+@query(
+    "SELECT p_partkey, '模型' || p_partkey AS name, 128000::BIGINT AS max_input, p_size * 2.0::DOUBLE AS input, p_size * 4.0::DOUBLE AS output, 1.0::DOUBLE AS cached_input, CASE WHEN p_partkey % 2 = 0 THEN p_size::DOUBLE END AS input_offpeak, CASE WHEN p_partkey % 2 = 0 THEN p_size * 2.0::DOUBLE END AS output_offpeak, CASE WHEN p_partkey % 2 = 0 THEN 0.5 END::DOUBLE AS cached_input_offpeak FROM part"
+)
+def tab_price_pages(spark, d):
+    """A page for each part: tables as tabs of regions, of which the second is read; peak and, for even parts, idle hours; batches don't count."""
+    s = lambda c: c.cast("string")
+    row = lambda *c: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), x if not isinstance(x, str) else F.lit(x), F.lit("</td>")) for x in c], F.lit("</tr>"))
+    size, name = F.col("p_size"), F.concat(F.lit("模型"), s(F.col("p_partkey")))
+    head = row("模型名称", "条件", "峰谷时段", "推理 输入", "推理输出", "缓存命中")
+    idle = F.when(F.col("p_partkey") % 2 == 0, row(name, "输入长度（0, 128k]", "空闲", s(size), s(size * 2), "0.5")).otherwise("")
+    second = F.concat(F.lit("<table>"), head, row(name, "输入长度（0, 128k]", "高峰", s(size * 2), s(size * 4), "1"), idle, F.lit("</table>"))
+    html = F.concat(F.lit("<h3>按 Token 计费</h3><ul><li>广州</li><li>新加坡</li></ul><table>"), head, row(name, "-", "高峰", "1", "1", "1"), F.lit("</table>"), second, F.lit("<h3>批量推理</h3><table>"), head, row(name, "-", "高峰", "8", "8", "8"), F.lit("</table>"))
+    pages = table(spark, d, "part", "p_partkey", "p_size").select("p_partkey", html.alias("html"))
+    return pricing.tab_prices(pages, read_tables(pages, "p_partkey", "html"), "p_partkey", "html", "新加坡")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '厦门第一中学' WHEN 1 THEN '厦门湖里实验中学' WHEN 2 THEN '厦门双十中学' || CASE WHEN o_custkey % 2 = 0 THEN '思明' ELSE '海沧' END || '分校' WHEN 3 THEN '厦门莲花中学' ELSE '' END AS school FROM orders")
+def schools_of_titles(spark, d):
+    """Schools named in the orders' titles as papers name them: by number, with districts, branches and places said twice, or not at all."""
+    k = F.col("o_orderkey") % 5
+    year = F.concat((F.col("o_orderkey") % 20 + 2005).cast("string"), F.lit("学年高一上学期"))
+    name = (
+        F.when(k == 0, F.concat(year, F.lit("厦门一中"))).when(k == 1, "厦门市湖里区实验中学2024年").when(k == 2, F.concat(F.lit("福建福建省厦门双十中学"), F.when(F.col("o_custkey") % 2 == 0, "思明").otherwise("海沧"), F.lit("分校")))
+        .when(k == 3, "厦门思明区厦门市莲花中学").otherwise(F.concat(year, F.lit("联考")))
+    )
+    return table(spark, d, "orders", "o_orderkey", "o_custkey").select("o_orderkey", school_of(F.concat(name, F.lit("期中考试"))).alias("school"))
