@@ -174,8 +174,13 @@ def node_matches(names: DataFrame, nodes: DataFrame, k: int = 8, least: float =
     fewest = fg.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rarest = lambda g, key: g.join(fewest, "gram").groupBy(key).agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
     held = rarest(qg, "q").join(fg.select("form", "gram"), "gram").unionByName(rarest(fg, "form").join(qg.select("q", "gram"), "gram")).select(F.col("q").alias("ka"), F.col("form").alias("kb"))
-    held = held.where(F.contains("ka", "kb") | F.contains("kb", "ka"))
-    pairs = _exact(alike.unionByName(held).distinct(), qg.withColumnRenamed("q", "ka"), fg.withColumnRenamed("form", "kb"))
+    # A single character is no gram of a longer text.
+    letters = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(c, ""))).alias("letter"))
+    qs, fs = qg.select(F.col("q").alias("ka")).distinct(), fg.select(F.col("form").alias("kb")).distinct()
+    single = letters(qs, "ka").join(fs.where(F.length("kb") == 1).withColumn("letter", F.col("kb")), "letter").unionByName(letters(fs, "kb").join(qs.where(F.length("ka") == 1).withColumn("letter", F.col("ka")), "letter")).select("ka", "kb")
+    held = held.unionByName(single).where(F.contains("ka", "kb") | F.contains("kb", "ka"))
+    met = alike.unionByName(held).distinct()
+    pairs = met.join(_exact(met, qg.withColumnRenamed("q", "ka"), fg.withColumnRenamed("form", "kb")), ["ka", "kb"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
     inside = F.contains(F.col("ka"), F.col("kb")) | F.contains(F.col("kb"), F.col("ka"))
     ratio = 0.15 + 0.85 * F.least(F.length("ka"), F.length("kb")) / F.greatest(F.length("ka"), F.length("kb"))
     scored = pairs.select(F.col("ka").alias("q"), F.col("kb").alias("form"), F.when(F.col("ka") == F.col("kb"), 1.0).when(inside, F.greatest("lexical", ratio)).otherwise(F.col("lexical")).alias("score"))
