@@ -19,8 +19,13 @@ DUPLICATE, CANDIDATE, MATCH = 0.85, 0.3, 0.5
 def gram_table(rows: DataFrame, key: str, text: Column, same: list[str] | None = None) -> DataFrame:
     """(key, gram, n, norm, same columns): each text's n-gram counts and the length of their vector; wordless texts have no rows."""
     keep = [key, *(same or [])]
-    norm = rows.select(*keep, once(normalize(text)).alias("t"))
-    each = norm.select(*keep, F.explode(grams(F.col("t"))).alias("gram")).groupBy(*keep, "gram").agg(F.count(F.lit(1)).alias("n"))
+    return _counted(rows.select(*keep, once(normalize(text)).alias("__t")), key, F.col("__t"), same)
+
+
+def _counted(rows: DataFrame, key: str, normal: Column, same: list[str] | None = None) -> DataFrame:
+    """``gram_table`` of texts that are normalised already."""
+    keep = [key, *(same or [])]
+    each = rows.select(*keep, F.explode(grams(normal)).alias("gram")).groupBy(*keep, "gram").agg(F.count(F.lit(1)).alias("n"))
     return each.withColumn("norm", F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key))))
 
 
@@ -117,9 +122,27 @@ def top_k(pairs: DataFrame, group: str, score: str, item: str, k: int, least: fl
     return rounded.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest_texts(asked: DataFrame, rows: DataFrame, key_a: str, key_b: str, text: Column, k: int, least: float, apart: bool = True) -> DataFrame:
+    """(ka, kb, lexical, rank): the ``k`` rows of nearest text, as ``top_k`` orders them; not the query's own key if ``apart``.
+
+    Texts that are the same once normalised are compared once: of each text's rows only the k + 1 smallest keys can be among
+    the best, so that copies are never expanded into pairs.
+    """
+    a, b = (df.select(F.col(key).alias(name), once(normalize(text)).alias(t)).where(F.col(t) != "") for df, key, name, t in ((asked, key_a, "ka", "ta"), (rows, key_b, "kb", "tb")))
+    a, b = cut(a), cut(b)
+    place = F.row_number().over(Window.partitionBy("tb").orderBy("kb"))
+    few = b.withColumn("r", place).where(F.col("r") <= k + 1).drop("r")
+    whole = lambda df, t: cut(_counted(df.select(t).distinct(), t, F.col(t)))
+    pairs = near_texts(whole(a, "ta"), whole(b, "tb"), "ta", "tb", least, k + 1, apart=False).select(F.col("ka").alias("ta"), F.col("kb").alias("tb"), "lexical")
+    best = F.rank().over(Window.partitionBy("ta").orderBy(F.desc(F.round("lexical", 4))))
+    kept = pairs.withColumn("r", best).where(F.col("r") <= k + 1).drop("r")
+    return top_k(kept.join(a, "ta").join(few, "tb").where(_two(apart)).select("ka", "kb", "lexical"), "ka", "lexical", "kb", k, least)
+
+
 def duplicate_of(pairs: DataFrame) -> DataFrame:
-    """(ka, duplicate_of, score): the best match of each at the duplicate threshold."""
-    return top_k(pairs, "ka", "lexical", "kb", 1, DUPLICATE).select("ka", F.col("kb").alias("duplicate_of"), F.col("lexical").alias("score"))
+    """(ka, duplicate_of, score): the best match of each at the duplicate threshold, out of pairs or ``nearest_texts`` of one row each."""
+    best = pairs if "rank" in pairs.columns else top_k(pairs, "ka", "lexical", "kb", 1, DUPLICATE)
+    return best.select("ka", F.col("kb").alias("duplicate_of"), F.col("lexical").alias("score"))
 
 
 def bank_duplicates(pairs: DataFrame, owners: DataFrame) -> DataFrame:

@@ -49,12 +49,13 @@ def resolve(points: DataFrame, nodes: DataFrame) -> DataFrame:
 def rollup_counts(points: DataFrame, item: str | list[str], path: str, least: int = 1) -> DataFrame:
     """(node, items): each item once for every node that one of its points is in or under.
 
-    Ancestors come from exploding each path, so the join with descendants never becomes a
-    prefix comparison of all pairs; items are made distinct per node before they are counted.
+    Ancestors come from each path itself, so the join with descendants never becomes a prefix comparison of all
+    pairs.  An item's paths meet first; its nodes are made distinct where they stand, and only counts by node move on.
     """
     keys = [item] if isinstance(item, str) else item
-    each = points.select(*keys, F.explode(prefixes(F.col(path), least)).alias("node")).distinct()
-    return each.groupBy("node").agg(F.count(F.lit(1)).alias("items"))
+    own = points.where(F.col(path).isNotNull()).groupBy(*keys).agg(F.collect_set(path).alias("__paths"))  # bounded by the item
+    nodes = F.array_distinct(F.flatten(F.transform("__paths", lambda p: prefixes(p, least))))
+    return own.select(F.explode(nodes).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("items"))
 
 
 def descendants(nodes: DataFrame, wanted: DataFrame, path: str = "path", node: str = "node") -> DataFrame:

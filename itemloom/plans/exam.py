@@ -86,8 +86,8 @@ _PASSAGE = "trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, {_PASSAGE} AS t, length(text) AS n FROM documents), m AS (SELECT doc_id, regexp_replace(t, '[ \t]*\n[ \t\n]*', '\n', 'g') AS t FROM d
-    WHERE length(regexp_replace(t, '[ \t]*\n[ \t\n]*', '\n', 'g')) >= 150 AND NOT regexp_matches(t, '(?m)^\s*[A-D]\s*[.．、]') AND NOT regexp_matches(t, '^\s*\d{{1,3}}\s*[.．、]') AND NOT regexp_matches(t, '^\s*(?:【[^】]{{1,12}}】|故选|故答案为)') AND NOT regexp_matches(t, '^(?:（\d+）|\(\d+\)|[⑴-⒇])')
+    rf"""WITH d AS (SELECT doc_id, {_PASSAGE} AS t, length(text) AS n FROM documents), m AS (SELECT doc_id, regexp_replace(t, '[ \t]*\n[ \t\n]*', chr(10), 'g') AS t FROM d
+    WHERE length(regexp_replace(t, '[ \t]*\n[ \t\n]*', chr(10), 'g')) >= 150 AND NOT regexp_matches(t, '(?m)^\s*[A-D]\s*[.．、]') AND NOT regexp_matches(t, '^\s*\d{{1,3}}\s*[.．、]') AND NOT regexp_matches(t, '^\s*(?:【[^】]{{1,12}}】|故选|故答案为)') AND NOT regexp_matches(t, '^(?:（\d+）|\(\d+\)|[⑴-⒇])')
     AND NOT regexp_matches(t, '(?:^|[^A-Za-z])A\s*[.．、]\s*\S.*?[^A-Za-z]B\s*[.．、]\s*\S') AND NOT regexp_matches(t, '^\s*(?:第\s*\d+\s*页|\d+\s*/\s*\d+\s*$)'))
     SELECT doc_id, 2 AS question, length(t)::BIGINT AS chars, md5(t) AS passage FROM m"""
 )

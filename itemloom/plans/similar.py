@@ -26,10 +26,8 @@ _PAIRS = f"""WITH a AS (SELECT item_id AS ka, {_NORM.format('text')} AS t FROM b
 @query(f"{_PAIRS} SELECT ka, kb, round(lexical, 4) AS lexical, (row_number() OVER (PARTITION BY ka ORDER BY round(lexical, 4) DESC, kb))::INT AS rank FROM p WHERE lexical >= 0.02 QUALIFY row_number() OVER (PARTITION BY ka ORDER BY round(lexical, 4) DESC, kb) <= 3")
 def lexical_topk(spark, d):
     """The three parts whose text is nearest to each benchmark item."""
-    a = cut(sim.gram_table(table(spark, d, "benchmark"), "item_id", F.col("text")))
-    parts = table(spark, d, "part", "p_partkey", "p_name", "p_type")
-    b = cut(sim.gram_table(parts, "p_partkey", F.concat_ws(" ", "p_name", "p_type")))
-    return sim.top_k(sim.near_texts(a, b, "item_id", "p_partkey", 0.02, 3, apart=False), "ka", "lexical", "kb", 3, 0.02)
+    parts = table(spark, d, "part", "p_partkey", "p_name", "p_type").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return sim.nearest_texts(table(spark, d, "benchmark"), parts, "item_id", "p_partkey", F.col("text"), 3, 0.02, apart=False)
 
 
 _TEXT = "p_name || ' ' || p_type || ' ' || p_brand"
@@ -42,8 +40,7 @@ _SELF = f"""WITH b AS (SELECT p_partkey AS kb, {_NORM.format(_TEXT)} AS t FROM p
 def dedupe_top1(spark, d):
     """Every hundredth part against all others: the nearest text from 0.85 on."""
     parts = table(spark, d, "part", "p_partkey", "p_name", "p_type", "p_brand")
-    grams = cut(sim.gram_table(parts, "p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand")))
-    return sim.duplicate_of(sim.near_texts(grams.where("p_partkey % 100 = 0"), grams, "p_partkey", "p_partkey", sim.DUPLICATE))
+    return sim.duplicate_of(sim.nearest_texts(parts.where("p_partkey % 100 = 0"), parts, "p_partkey", "p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand"), 1, sim.DUPLICATE))
 
 
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
