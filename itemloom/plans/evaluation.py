@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from itemloom.functions.maths import difficulty, jaccard
 from itemloom.functions.text import answer_letters, answers_equal, normalize
-from itemloom.operators import evaluate
+from itemloom.operators import evaluate, vectors
 from itemloom.operators import similarity as sim
 from itemloom.plans.registry import query
 from itemloom.plans.similar import _GRAMS, _NORM, _TEXT
@@ -45,11 +45,20 @@ def gold_candidates(spark, d):
 
 
 @query()
-def greedy_match(spark, d):
+def greedy_text_match(spark, d):
     """Gold and found texts paired one to one within samples, most similar first."""
     return evaluate.greedy_match(_gold_and_found(spark, d), "sample", "gold", "pred", "lexical")
 
 
+@query()
+def greedy_match(spark, d):
+    """Vectors of even and odd ids paired one to one within samples of fifty ids, most similar first."""
+    rows = table(spark, d, "embeddings", "vec_id", "embedding").withColumn("sample", F.floor(F.col("vec_id") / 50))
+    pairs = vectors.nearest(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), "vec_id", "vec_id", "embedding", ["sample"], 50)
+    met = pairs.select(F.floor(F.col("kq") / 50).alias("sample"), "kq", "kr", "cos")
+    return evaluate.greedy_match(met, "sample", "kq", "kr", "cos", 0.1)
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, round(greatest(0.02, least(0.98, CASE WHEN l_returnflag = 'A' THEN 0.7::DOUBLE * (l_tax * 10) + (1 - 0.7::DOUBLE) * (l_discount * 10) ELSE l_discount * 10 END)), 2) AS coef FROM lineitem")
 def combined_difficulty(spark, d):
     """Seven parts of a model's estimate, where there is one, to three of the baseline."""

@@ -39,6 +39,13 @@ def test_matched_vectors_are_one_to_one(spark):
         assert len({(r["sample"], r[side]) for r in rows}) == len(rows)
 
 
+def test_matched_texts_are_one_to_one(spark):
+    rows = catalog.queries()["greedy_text_match"](spark, FOLDER).collect()
+    assert len(rows) > 50 and all(r.lexical >= 0.5 for r in rows)
+    for side in ("gold", "pred"):
+        assert len({(r["sample"], r[side]) for r in rows}) == len(rows)
+
+
 def lexical(a: str, b: str) -> float:
     x, y = (Counter(t[i : i + k] for k in (2, 3) for i in range(len(t) - k + 1)) for t in map(normal_text, (a, b)))
     n = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
