@@ -54,7 +54,7 @@ class Model:
     stem: int = 0
 
 
-def _grams(block, bits: int, stem: int) -> tuple[np.ndarray, np.ndarray]:
+def grams(block, bits: int, stem: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, feature) of all grams of a block, with repetitions."""
     words = block.words(MEMBER)
     rolling, shift = Rolling(block.buf), np.uint64(64 - bits)
@@ -79,7 +79,7 @@ def featurise(docs: DataFrame, text: str, keep: list[str], bits: int, stems: tup
         for block in blocks(batches, text, fold=str.lower):
             out = block.frame[keep]
             for n in stems:
-                doc, ids, _ = unique_per_doc(*_grams(block, bits, n))
+                doc, ids, _ = unique_per_doc(*grams(block, bits, n))
                 cut = np.searchsorted(doc, np.arange(len(block.start) + 1))
                 ids = ids.astype("<u4")
                 out = out.assign(**{f"features_{n}": [ids[a:b].tobytes() for a, b in zip(cut, cut[1:])]})
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", p:
         dense = np.zeros(1 << p.bits, np.float32)
         dense[known.index] = known.value
         for block in blocks(batches, text, fold=str.lower):
-            doc, ids = _grams(block, p.bits, known.stem)
+            doc, ids = grams(block, p.bits, known.stem)
             hit = dense[ids] != 0
             doc, ids, _ = unique_per_doc(doc[hit], ids[hit])
             total = known.bias + block.per_doc(doc, dense[ids].astype(float))

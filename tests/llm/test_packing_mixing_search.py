@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from itemloom.llm.ivfpq import IvfPq, search
 from itemloom.llm.mixing import Mixing, _rates, label_domain, mix, resample
 from itemloom.llm.packing import best_cuts, pack
-from itemloom.llm.queries import op3_packing, op8_nearest
+from itemloom.llm.queries import op3_packing, op7_mixing, op8_nearest
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -102,7 +102,7 @@ def test_rates_meet_targets(spark):
 def test_rates_are_a_fixed_point():
     """The distributed steps end where a plain solver's projected gradient vanishes."""
     rng = np.random.default_rng(2)
-    post, tokens, p = rng.dirichlet([0.3, 0.3], 400), rng.integers(1, 50, 400), Mixing(max_rate=3.0, steps=4000)
+    post, tokens, p = rng.dirichlet([0.3, 0.3], 400), rng.integers(1, 50, 400), Mixing(max_rate=3.0, ridge=0.05)
     share = (tokens @ post) / tokens.sum()
     target, gaps = np.array([0.7, 0.3]), []
     r = np.ones(400)
@@ -115,6 +115,47 @@ def test_rates_are_a_fixed_point():
     assert (gradient[r <= 1e-9] >= -1e-3).all() and (gradient[r >= p.max_rate - 1e-9] <= 1e-3).all()
 
 
+def test_production_targets_are_met(spark):
+    """Expected token totals of the whole table, from each document's own posterior, and labelled documents' tokens."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = op7_mixing(spark, folder).join(labels.withColumn("true", label_domain()), "doc_id", "left").collect()
+    assert len(rows) == docs.count() and all(0 <= r.rate <= 8 and r.met for r in rows)
+    total = sum(r.n_tokens for r in rows)
+    want = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
+    assert all(rows[0].reached[d] == pytest.approx(w, rel=0.01) for d, w in want.items())
+    known = {d: sum(r.n_tokens for r in rows if r.true == d) for d in want}
+    mass = {d: sum(r.rate * r.n_tokens for r in rows if r.true == d) for d in want}
+    kept = sum(mass.values())
+    assert total > 0 and mass["toxic"] / kept < 0.02 and mass["toxic"] < 0.15 * known["toxic"]
+    assert mass["good"] / kept == pytest.approx(0.90, abs=0.03)
+
+
+def test_rates_without_a_budget_stay_at_one(spark):
+    """Good text is kept whole; poor text goes down to its share of what is kept."""
+    docs, labels = corpus(spark)
+    rows = mix(docs, labels, label_domain(), {"good": 0.9, "poor": 0.1}, budget=None).collect()
+    mass = defaultdict(float)
+    for r in rows:
+        mass[r.domain] += r.rate * r.n_tokens
+    assert all(r.rate > 0.95 for r in rows if r.domain == "good" and r.posterior > 0.97)
+    assert mass["poor"] / sum(mass.values()) == pytest.approx(0.1, abs=0.02)
+
+
+def test_bins_add_up_and_targets_out_of_reach_are_told(spark):
+    docs, labels = corpus(spark)
+    rows = mix(docs, labels, label_domain(), {"good": 0.01, "poor": 0.99}, p=Mixing(max_rate=1.0)).collect()
+    assert {r.met for r in rows} == {False}
+    again = mix(docs, labels, label_domain(), {"good": 0.5, "poor": 0.5}, p=Mixing(max_rate=8.0)).collect()
+    assert {r.met for r in again} == {True}
+
+
+def test_resample_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", 1, 2), (2, "b", 3, 4), (None, "c", 5, 6)], "doc_id long, text string, times int, __times int")
+    rates = spark.createDataFrame([(1, 2.0), (2, 0.0), (None, 1.0)], "doc_id long, rate double")
+    assert sorted((r.text, r.times, r["__times"]) for r in resample(docs, rates).collect()) == [("a", 1, 2), ("a", 1, 2), ("c", 5, 6)]
+
+
 def test_mixing_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (None, "x y", "a"), (4, "x", "a"), (4, "x", "a")], "doc_id long, text string, domain string")
     labels = spark.createDataFrame([(1, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
