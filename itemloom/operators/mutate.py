@@ -34,6 +34,43 @@ def merge_into_previous(rows: DataFrame, group: list[str], order: str, merged: C
     return rows.groupBy(*group, "no").agg(F.array_join(parts, "；").alias(text), total.alias(score), F.round(mean, 2).alias(coef))
 
 
+# Fixed value: how a question's parts are marked.
+PART = r"(?:（\d+）|\(\d+\)|[⑴-⒇])"
+
+
+def marked_parts(text: Column) -> Column:
+    """array: what stands before the first mark, then each marked part, trimmed; null with fewer than two marks."""
+    cut = F.split(F.concat(F.lit("\n"), text), f"(?={PART})")
+    parts = F.transform(cut, lambda x, i: F.when(i == 0, F.substring(x, 2, 1 << 30)).otherwise(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")))
+    return F.when(F.size(cut) > 2, parts)
+
+
+def split_questions(rows: DataFrame, group: list[str], no: str, chosen: Column, text: str, score: str, answer: str, once: list[str]) -> DataFrame:
+    """Rows where ``chosen`` holds become one row for each marked part of their text, behind what stands before the marks.
+
+    Scores are whole and equal, the last part takes the rest; answers are dealt if they have as many
+    parts, else the first part keeps the answer; the ``once`` columns stay on the first part.  Later numbers of the group move on.
+    Column ``part`` counts from 0 and is null for rows that stay whole, as those without two marks do;
+    rows of one number are moved alike.  Null texts, answers and scores stay null.
+    """
+    parts = F.when(chosen, marked_parts(F.col(text)))
+    cut = rows.withColumn("__parts", parts).withColumn("__n", F.when(F.col("__parts").isNull(), 1).otherwise(F.size("__parts") - 1))
+    before = Window.partitionBy(*group).orderBy(no).rangeBetween(Window.unboundedPreceding, -1)
+    moved = cut.withColumn("__moved", F.coalesce(F.sum(F.col("__n") - 1).over(before), F.lit(0)))
+    one = moved.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    i, n, whole, first = F.col("__i"), F.col("__n"), F.col("__parts").isNull(), F.col("__i") == 0
+    each, answers = F.floor(F.col(score) / n), marked_parts(F.col(answer))
+    dealt = F.when(F.size(answers) == n + 1, F.element_at(answers, i + 2)).when(first, F.col(answer))
+    kind = {c: rows.schema[c].dataType for c in (no, score)}
+    new = {
+        text: F.when(whole, F.col(text)).otherwise(F.concat(F.element_at("__parts", F.lit(1)), F.element_at("__parts", i + 2))),
+        score: F.when(whole, F.col(score)).otherwise(F.when(i == n - 1, F.col(score) - each * (n - 1)).otherwise(each)).cast(kind[score]),
+        answer: F.when(whole, F.col(answer)).otherwise(dealt),
+        no: (F.col(no) + F.col("__moved") + i).cast(kind[no]),
+    } | {c: F.when(whole | first, F.col(c)) for c in once}
+    return one.select(*[new.get(c, F.col(c)).alias(c) for c in rows.columns], F.when(~whole, i).alias("part"))
+
+
 def needs_embedding(rows: DataFrame, model: str, vector: str = "embedding", model_col: str = "embedding_model") -> DataFrame:
     return rows.where(F.col(vector).isNull() | ~F.col(model_col).eqNullSafe(F.lit(model)))
 

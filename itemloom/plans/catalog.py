@@ -6,7 +6,7 @@ usage is the events table; the concept tree is region / nation / supplier; texts
 
 from __future__ import annotations
 
-from itemloom.plans import bank, evaluation, exam, ingest, lifecycle, papers, similar, trees, usage  # noqa: F401  they register
+from itemloom.plans import bank, evaluation, exam, ingest, lifecycle, papers, similar, tagging, trees, usage  # noqa: F401  they register
 from itemloom.plans.registry import ORACLES, QUERIES, Query
 
 
