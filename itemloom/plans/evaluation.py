@@ -86,3 +86,46 @@ def group_overlap(spark, d):
 @query("SELECT item_id, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(text), '[A-H]'))), '') AS letters FROM benchmark")
 def answer_letter_sets(spark, d):
     return table(spark, d, "benchmark").select("item_id", answer_letters(F.col("text")).alias("letters"))
+
+
+_PAIRED = "WITH k AS (SELECT p_partkey AS g FROM part), e AS (SELECT g, g // 50 AS sample FROM k WHERE g % 2 = 0), p AS (SELECT e.* FROM e JOIN k ON k.g = e.g + 1)"
+
+
+def _sheets(spark, d):
+    """(gold, found, pairs): parts of even ids as gold questions, each next odd one as what was found of it."""
+    parts = table(spark, d, "part", "p_partkey")
+    k = F.col("p_partkey")
+    g, s = F.when(k % 2 == 0, k).otherwise(k - 1), lambda c: c.cast("string")
+    odd, choice = k % 2 == 1, g % 3 == 0
+    name = F.concat(F.lit("Point "), s(g % 6))
+    rows = parts.select(
+        F.floor(k / 50).alias("sample"), k.alias("no"), F.when(choice & ~(odd & (g % 5 == 0)), "单选题").otherwise("填空题").alias("type"),
+        F.array_repeat(F.lit("x"), (g % 4 + F.when(odd & (g % 7 == 0), 2).otherwise(1)).cast("int")).alias("options"),
+        F.when(choice, F.when(~odd, "A、C").when(g % 4 == 0, "b").otherwise("a, c.")).otherwise(F.when(odd & (g % 4 == 0), "nothing").when(odd & (g % 16 == 2), F.concat(F.lit("it is a longer answer, whose number is "), s(g), F.lit(" ."))).when(odd, F.concat(F.lit("IT IS A longer answer whose number is "), s(g))).otherwise(F.concat(F.lit("It is a longer answer, whose number is "), s(g)))).alias("answer"),
+        F.when(g % 10 == 0, "model").otherwise("paper").alias("answer_source"), F.when(g % 4 == 0, "manual").otherwise("model").alias("difficulty_source"),
+        F.when(g % 12 != 0, F.array(F.struct(F.when(odd, "other").otherwise(s(g)).alias("id"), F.when(~odd, name).when(g % 8 == 0, "another").otherwise(F.concat(F.lit("1.2 "), F.upper(name))).alias("name")))).alias("points"),
+        F.when(odd, g % 10 / 20 + 0.2).otherwise(g % 10 / 10).alias("coef"),
+    )
+    gold, found = rows.where("no % 2 = 0"), rows.where("no % 2 = 1").drop("answer_source", "difficulty_source")
+    pairs = gold.select("sample", F.col("no").alias("gold")).join(found.select("sample", F.col("no").alias("pred"), (F.col("no") - 1).alias("gold")), ["sample", "gold"])
+    return gold, found, pairs
+
+
+@query(
+    _PAIRED + """, c AS (SELECT sample, count(*) AS matched, count_if(NOT (g % 3 = 0 AND g % 5 = 0)) AS type_ok, count_if(g % 3 = 0) AS options_n, count_if(g % 3 = 0 AND g % 7 > 0) AS options_ok,
+    count_if(g % 10 > 0) AS answer_n, count_if(g % 10 > 0 AND g % 4 > 0) AS answer_ok, count_if(g % 12 > 0) AS points_n, count_if(g % 12 > 0 AND g % 8 > 0) AS points_ok, round(avg(CASE WHEN g % 4 = 0 THEN abs((g % 10) / 10.0::DOUBLE - ((g % 10) / 20.0::DOUBLE + 0.2::DOUBLE)) END), 4) AS difficulty_mae FROM p GROUP BY 1),
+    a AS (SELECT sample, count(*) AS n_gold FROM e GROUP BY 1), b AS (SELECT g // 50 AS sample, count(*) AS n_found FROM k WHERE g % 2 = 1 GROUP BY 1),
+    r AS (SELECT sample, n_gold, coalesce(n_found, 0) AS n_found, coalesce(matched, 0) AS matched, coalesce(matched, 0) AS type_n, coalesce(type_ok, 0) AS type_ok, coalesce(options_n, 0) AS options_n, coalesce(options_ok, 0) AS options_ok, coalesce(answer_n, 0) AS answer_n, coalesce(answer_ok, 0) AS answer_ok, coalesce(points_n, 0) AS points_n, coalesce(points_ok, 0) AS points_ok, difficulty_mae FROM a LEFT JOIN b USING (sample) LEFT JOIN c USING (sample))
+    SELECT *, points_n AS points_gold, points_ok AS points_found, round(type_ok / nullif(type_n, 0), 4) AS type_ratio, round(options_ok / nullif(options_n, 0), 4) AS options_ratio, round(answer_ok / nullif(answer_n, 0), 4) AS answer_ratio, round(points_ok / nullif(points_n, 0), 4) AS points_ratio, round(matched / nullif(n_found, 0), 4) AS precision, round(matched / nullif(n_gold, 0), 4) AS recall, round(points_ok / nullif(points_n, 0), 4) AS points_recall FROM r"""
+)
+def sample_comparison(spark, d):
+    """Metrics of each sample of found questions: kinds, options, answers (letters, words, and nearly the same ones), points by name, difficulty."""
+    gold, found, pairs = _sheets(spark, d)
+    return evaluate.sample_metrics(evaluate.compare(gold, found, pairs), gold, found)
+
+
+@query(_PAIRED + " SELECT count_if(g % 4 = 0) AS n, 1.0::DOUBLE AS slope, 0.0::DOUBLE AS intercept FROM p")
+def raw_calibration(spark, d):
+    """A new calibration from estimates that the old one (half, and two tenths) has been taken off again: these were right."""
+    rows = evaluate.compare(*_sheets(spark, d), F.lit(0.5), F.lit(0.2)).where("rated")
+    return evaluate.fit_line(rows, "raw", "coef").select("n", "slope", F.abs("intercept").alias("intercept"))
