@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemloom.operators.tree import SEPARATOR
 
 
-def from_paths(rows: DataFrame, levels: list[str], aliases: str | None = None) -> DataFrame:
+# Words of a header's cells, the header of aliases, and what separates aliases in a cell.
+HEADER, ALIASES, BETWEEN = "级|层|名称|知识点|章|节|别名", "别名", "[|、；;]"
+
+
+def from_paths(rows: DataFrame, levels: list[str], aliases: str | None = None, between: str = "[;；,，]") -> DataFrame:
     """(path, parent, name, level, aliases, is_leaf) from rows whose columns are a path's levels.
 
-    Empty levels end a path; rows of one node merge, their aliases (split at ; or ，or ,) as a sorted set.
+    Empty levels end a path; rows of one node merge, their aliases (split at ``between``) as a sorted set.
     """
     parts = F.filter(F.array(*[F.trim(F.coalesce(F.col(c), F.lit(""))) for c in levels]), lambda x: x != "")
-    marks = F.filter(F.transform(F.split(F.coalesce(F.col(aliases) if aliases else F.lit(""), F.lit("")), "[;；,，]"), lambda x: F.trim(x)), lambda x: x != "")
+    marks = F.filter(F.transform(F.split(F.coalesce(F.col(aliases) if aliases else F.lit(""), F.lit("")), between), lambda x: F.trim(x)), lambda x: x != "")
     base = rows.select(parts.alias("p"), marks.alias("a")).where(F.size("p") > 0)
     each = base.select("p", "a", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("level"))
     node = each.select("level", F.array_join(F.slice("p", F.lit(1), F.col("level")), SEPARATOR).alias("path"), F.element_at("p", F.col("level")).alias("name"), F.when(F.col("level") == F.size("p"), F.col("a")).otherwise(F.array().cast("array<string>")).alias("a"), (F.col("level") < F.size("p")).alias("inner"))
@@ -23,11 +29,22 @@ def from_paths(rows: DataFrame, levels: list[str], aliases: str | None = None) -
     return merged.select("path", parent.alias("parent"), "name", "level", "aliases", "is_leaf")
 
 
-def read_csv(spark: SparkSession, path: str, levels: list[str], aliases: str | None = None, header: bool = False) -> DataFrame:
-    """A tree from CSV files of paths."""
-    names = [*levels, *([aliases] if aliases else [])]
-    rows = spark.read.csv(path, header=header, schema=", ".join(f"`{n}` string" for n in names))
-    return from_paths(rows, levels, aliases)
+def read_csv(spark: SparkSession, path: str, depth: int = 16) -> DataFrame:
+    """A tree from CSV files of a path a row, of at most ``depth`` columns.
+
+    The first row that isn't empty is a header if all its filled cells read like one; it doesn't count then, in
+    none of the files, and its column of aliases, if any, is none of the path's.  Without a header all columns are levels.
+    Rows may be shorter than others; empty rows say nothing; an empty file gives an empty tree.
+    """
+    names = [f"c{i}" for i in range(depth)]
+    raw = spark.read.csv(path, schema=", ".join(f"{n} string" for n in names))
+    strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^[\uFEFF\s]+|\s+$", "")
+    rows = raw.select(*[strip(n).alias(n) for n in names]).where(F.concat(*names) != "")
+    head, aliases = rows.first(), None  # one row, from the start of a file
+    if head is not None and all(re.search(HEADER, c) for c in head if c):
+        rows = rows.where(~F.array(*names).eqNullSafe(F.array(*[F.lit(c) for c in head])))
+        aliases = next((n for n, c in zip(names, head) if ALIASES in c), None)
+    return from_paths(rows, [n for n in names if n != aliases], aliases, BETWEEN)
 
 
 def from_json(rows: DataFrame, text: str, keep: list[str] | None = None) -> DataFrame:

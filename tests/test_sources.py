@@ -1,7 +1,9 @@
-"""Tables inside HTML pages."""
+"""Tables inside HTML pages, trees in CSV files."""
 
 from __future__ import annotations
 
+from itemloom.operators.tree import SEPARATOR
+from itemloom.sources import trees
 from itemloom.sources.html_tables import grid, read_tables
 
 PAGE = """<h2>Prices</h2><table><tr><th rowspan=2>Model</th><th colspan="2">Price</th></tr><tr><th>in</th><th>out</th></tr>
@@ -20,3 +22,23 @@ def test_spans_are_filled(spark):
 
 def test_row_span_beyond_the_table():
     assert grid([[(5, 1, "a"), (1, 1, "b")], [(1, 1, "c")]]) == [["a", "b"], ["a", "c"]]
+
+
+def _tree(df):
+    return {(r.path.split(SEPARATOR)[-1], r.level, tuple(r.aliases), r.is_leaf) for r in df.collect()}
+
+
+def test_trees_of_csv_files(spark, tmp_path):
+    """Headers by their words, a column of aliases anywhere, ragged and quoted rows, nodes that repeat; two files with a header each."""
+    for name, more in (("a", "代数,导数|微分 、求导,函数\n,,\n代数,,\n"), ("b", '"几何, 平面", ,\n 代数 ,导数；斜率,函数,极值\n')):
+        (tmp_path / f"{name}.csv").write_text("\ufeff一级,别名,二级\n" + more, encoding="utf-8")
+    got = _tree(trees.read_csv(spark, str(tmp_path)))
+    assert got == {("代数", 1, (), False), ("函数", 2, ("导数", "微分", "求导"), False), ("极值", 3, ("导数", "斜率"), True), ("几何, 平面", 1, (), True)}
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    (plain / "p.csv").write_text("代数,函数\n代数,数列,等差\n", encoding="utf-8")
+    assert _tree(trees.read_csv(spark, str(plain))) == {("代数", 1, (), False), ("函数", 2, (), True), ("数列", 2, (), False), ("等差", 3, (), True)}
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    (empty / "e.csv").write_text("\n , \n", encoding="utf-8")
+    assert trees.read_csv(spark, str(empty)).count() == 0
