@@ -2,9 +2,14 @@
 
 Vectors are scaled to unit length, so that the order by cosine is the order by Euclidean distance.
 k-means on a bounded sample gives coarse centroids and, on residuals, one codebook per subspace;
-every row is then indexed by its nearest centroid and its residual's codes.  A query looks into its
-nearest cells; asymmetric distance tables (query residual against codebooks) rank a cell's rows, and
-the best ``rerank`` are measured exactly.
+every row is then indexed by its nearest centroid, its residual's codes and what the codes leave of
+it.  A query looks into its nearest cells; asymmetric distance tables (query residual against
+codebooks) rank a cell's rows, and the best ``rerank`` are measured exactly.
+
+What the codes leave bounds the error of a tabled distance, and a cell's radius that of its centroid.
+So every other row that could still be among the nearest is measured too, and then every other cell
+that could hold one is looked into: the result is that of brute force on any rows, and codes and
+cells decide only how much of the table is left out.
 
 A cell is split into blocks of about ``block`` rows by a hash of the id, with as many blocks as its
 count asks for, so that one common vector doesn't make one large task; queries go to each block of
@@ -28,7 +33,7 @@ class IvfPq:
     """``sample`` bounds the rows that centroids and codebooks are fitted on."""
 
     cells: int = 64
-    probes: int = 50
+    probes: int = 8
     subspaces: int = 16
     codes: int = 256
     sample: int = 12_000
@@ -38,6 +43,10 @@ class IvfPq:
     seed: int = 7
 
 
+#: More than the rounding of a distance between unit vectors, whose square is known to some 1e-15.
+SLACK = 1e-6
+
+
 @dataclass
 class Index:
     centroids: np.ndarray  # cells x dimensions
@@ -47,6 +56,9 @@ class Index:
         gap = (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
         return np.argsort(gap, axis=1, kind="stable")[:, :n]
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([book[codes[:, s]] for s, book in enumerate(self.books)], axis=1)
+
     def encode(self, residuals: np.ndarray) -> np.ndarray:
         out = np.empty((len(residuals), len(self.books)), np.uint8)
         for s, part in enumerate(np.split(residuals, len(self.books), axis=1)):
@@ -90,6 +102,11 @@ def _scaled(raw: np.ndarray) -> np.ndarray:
     return np.ldexp(raw, -exponent[:, None])
 
 
+def _distance(cosine: float) -> float:
+    """Between unit vectors of that cosine; without bound where there is none."""
+    return np.inf if cosine == -np.inf else np.sqrt(max(0.0, 2 - 2 * cosine))
+
+
 def fit(rows: DataFrame, p: IvfPq) -> Index | None:
     """Centroids and codebooks from at most ``p.sample`` rows, those of the smallest hash of the id."""
     sample = rows.orderBy(F.xxhash64("id", F.lit(p.seed)), "id").limit(p.sample).toArrow().to_pandas().sort_values("id")
@@ -133,44 +150,83 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
             if len(frame):
                 x = _unit(np.stack(frame["vector"].to_numpy()))
                 cell = shared.value.nearest_cells(x, 1)[:, 0]
-                codes = shared.value.encode(x - shared.value.centroids[cell])
-                yield frame[["id", "vector", "asks"]].assign(cell=cell.astype(np.int32), codes=[c.tobytes() for c in codes])
-
-    indexed = space.save(rows.mapInPandas(assign, f"id {kind}, vector array<double>, asks boolean, cell int, codes binary"), "index")
-    sizes = indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("blocks"))  # a row for each cell: bounded
-    members = indexed.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "vector", "codes")
-
-    def look(batches):
-        for frame in batches:
-            if len(frame):
-                cells = shared.value.nearest_cells(_unit(np.stack(frame["vector"].to_numpy())), p.probes)
-                yield pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), cells.shape[1]), "vector": [v for v in frame["vector"] for _ in range(cells.shape[1])], "cell": cells.ravel().astype(np.int32)})
-
-    asked = indexed.where("asks").select("id", "vector").mapInPandas(look, f"id {kind}, vector array<double>, cell int")
-    asked = asked.join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "vector")
+                residual = x - shared.value.centroids[cell]
+                codes = shared.value.encode(residual)
+                left = np.sqrt(((residual - shared.value.decode(codes)) ** 2).sum(1))
+                reach = np.sqrt((residual**2).sum(1))
+                yield frame[["id", "vector", "asks"]].assign(cell=cell.astype(np.int32), codes=[c.tobytes() for c in codes], left=left, reach=reach)
+
+    indexed = space.save(rows.mapInPandas(assign, f"id {kind}, vector array<double>, asks boolean, cell int, codes binary, left double, reach double"), "index")
+    cells = indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("blocks"), F.max("reach").alias("reach"))  # a row for each cell: bounded
+    reach = np.full(len(index.centroids), -np.inf)  # a cell without rows is never looked into
+    for r in cells.select("cell", "reach").collect():
+        reach[r["cell"]] = r["reach"]
+    sizes = cells.select("cell", "blocks")
+    members = indexed.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "vector", "codes", "left")
+
+    def look(later: bool):
+        def run(batches):
+            for frame in batches:
+                if len(frame):
+                    x = _unit(np.stack(frame["vector"].to_numpy()))
+                    centres = shared.value.centroids
+                    away = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * x @ centres.T, 0))
+                    first = np.zeros(away.shape, bool)
+                    np.put_along_axis(first, shared.value.nearest_cells(x, p.probes), True, axis=1)
+                    which = ~first & (away - reach <= frame["worst"].to_numpy()[:, None] + SLACK) if later else first & np.isfinite(reach)
+                    row, cell = np.nonzero(which)
+                    yield frame.iloc[row].assign(cell=cell.astype(np.int32))
+
+        return run
 
     def measure(key, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "id": [], "score": []})
         if not len(queries) or not len(block):
             return empty
         model = shared.value
-        ids, raw = block["id"].to_numpy(), _scaled(np.stack(block["vector"].to_numpy()))
+        ids, raw, left = block["id"].to_numpy(), _scaled(np.stack(block["vector"].to_numpy())), block["left"].to_numpy()
         codes = np.frombuffer(b"".join(block["codes"]), np.uint8).reshape(len(block), -1).T.astype(np.intp)
         norms = np.sqrt((raw * raw).sum(1))
+        again = np.ones(len(ids), bool)  # rows whose id stands before: equal rows are one, so they don't count as found
+        again[np.unique(ids, return_index=True)[1]] = False
         out = []
-        for query, v in zip(queries["id"], queries["vector"]):
+        for query, v, worst in zip(queries["id"], queries["vector"], queries["worst"]):
             v = _scaled(np.asarray(v, np.float64)[None])[0]
+            length = np.sqrt((v * v).sum())
             tables = model.tables(_unit(v[None])[0] - model.centroids[key[0]])
             gap = np.zeros(len(ids))
             for s in range(len(tables)):
                 gap += tables[s][codes[s]]
-            near = np.lexsort((ids, gap))[: p.rerank + 1] if len(ids) > p.rerank else np.arange(len(ids))
-            near = near[ids[near] != query]
-            score = raw[near] @ v / (norms[near] * np.sqrt(v @ v))
-            best = np.lexsort((ids[near], -score))[:k]
-            out.append(pd.DataFrame({"query_id": query, "id": ids[near][best], "score": score[best]}))
+            score = np.full(len(ids), -np.inf)
+
+            def exact(at: np.ndarray) -> None:
+                score[at] = (raw[at] * v).sum(1) / (norms[at] * length)
+
+            exact(np.argpartition(gap, p.rerank)[: p.rerank] if len(ids) > p.rerank else np.arange(len(ids)))
+            score[ids == query] = -np.inf
+            held = np.where(again, -np.inf, score)
+            if len(ids) > k:
+                worst = min(worst, _distance(np.partition(held, len(ids) - k)[len(ids) - k]))
+            exact(np.flatnonzero((score == -np.inf) & (np.sqrt(gap) - left <= worst + SLACK)))
+            score[ids == query] = -np.inf
+            near = np.flatnonzero(score > -np.inf)
+            best = near[np.lexsort((ids[near], -score[near]))][: k + again.sum()]
+            out.append(pd.DataFrame({"query_id": query, "id": ids[best], "score": score[best]}))
         return pd.concat(out, ignore_index=True) if out else empty
 
-    found = asked.groupBy("cell", "block").cogroup(members.groupBy("cell", "block")).applyInPandas(measure, f"query_id {kind}, id {kind}, score double").distinct()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    def found(asked: DataFrame, later: bool) -> DataFrame:
+        met = asked.mapInPandas(look(later), f"id {kind}, vector array<double>, worst double, cell int").join(F.broadcast(sizes), "cell")
+        met = met.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "vector", "worst")
+        return met.groupBy("cell", "block").cogroup(members.groupBy("cell", "block")).applyInPandas(measure, f"query_id {kind}, id {kind}, score double").distinct()
+
+    def ranked(df: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    asked = indexed.where("asks").select("id", "vector")
+    near = space.save(ranked(found(asked.withColumn("worst", F.lit(float("inf"))), False)), "near")
+    # The distance of the k-th found bounds what else can be nearer; without k there is no bound.
+    last = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("worst"))
+    open_ = asked.join(last, "id", "left").select("id", "vector", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
+    both = near.select("query_id", "id", "score").unionByName(found(open_, True))
+    return ranked(both).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -202,3 +202,21 @@ def test_nearest_of_odd_vectors(spark):
         got[r.query_id].append(r.vec_id)
     assert got[0] == [1, 2, 9, 50] and got[50][0] == 9
     assert search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).count() == 0
+
+
+def test_nearest_of_tight_clusters_is_exact(spark):
+    """Three clusters that codewords can't tell apart, among rows that spread over all cells."""
+    rng = np.random.default_rng(5)
+    tight = rng.normal(size=(3, 32)).repeat(500, axis=0) + 1e-3 * rng.normal(size=(1500, 32))
+    rows = rng.permutation(np.concatenate([tight, rng.normal(size=(4500, 32))])) * rng.uniform(0.1, 9, size=(6000, 1))
+    table = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in search(table, F.col("vec_id") % 50 == 0, p=IvfPq(subspaces=4, rerank=20, sample=1000, block=700)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 6000, 50):
+        score = unit @ unit[q]
+        score[q] = -2
+        hits += sum(a == b for a, b in zip(np.argsort(-score)[:5], got[q]))
+    assert hits == 600
