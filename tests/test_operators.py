@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 from collections import Counter
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from itemloom.functions.text import normal_text, normalize
 from itemloom.operators import segment
+from itemloom.operators.apportion import assign_scores
 from itemloom.operators.compose import PENALTY, Blueprint, compose
 from itemloom.operators.evaluate import greedy_match
 from itemloom.plans import catalog
@@ -140,3 +142,13 @@ def test_deep_trees_keep_all_levels(spark):
     text = "".join(f'[{{"name": "n{k}", "children": ' for k in range(9)) + "[]" + "}]" * 9
     rows = from_json(spark.createDataFrame([(text,), (None,)], "t string"), "t").orderBy("level").collect()
     assert [(r.name, r.is_leaf) for r in rows] == [(f"n{k}", k == 8) for k in range(9)]
+
+
+def test_a_half_does_not_depend_on_the_order_of_the_weights(spark):
+    """4 * 150 / 48 is 12.5; added in some orders 13.8, 13.8, 11.4, 5 and 4 make a little less than 48."""
+    weights = [("R", 13.799999999999999), ("R", 13.799999999999999), ("R", 11.4), ("A", 5.0), ("N", 4.0)]
+    rows = [(i, n, kind, w) for i, ws in enumerate(itertools.permutations(weights)) for n, (kind, w) in enumerate(ws)]
+    table = spark.createDataFrame(rows, "paper int, no int, kind string, w double").coalesce(1)
+    base = F.when(F.col("kind") == "N", 4).when(F.col("kind") == "A", 5).otherwise(12)
+    got = assign_scores(table, ["paper"], ["no"], F.col("kind"), "R", base, F.col("w"), F.lit(150)).where("kind = 'N'").select("assigned").distinct().collect()
+    assert [r.assigned for r in got] == [12]
