@@ -7,7 +7,7 @@ from itemloom.functions.text import estimate_tokens, normalize
 from itemloom.operators import similarity as sim
 from itemloom.operators import vectors
 from itemloom.plans.registry import query
-from itemloom.sources.tables import cut, table
+from itemloom.sources.tables import table
 
 _NORM = "regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace({}, '_{{2,}}|＿+|—{{2,}}|（\\s*）|\\(\\s*\\)', '', 'g'), '\\\\[a-zA-Z]+', '', 'g'), '[\\s$\\\\{{}}]', '', 'g')), '\\p{{P}}', '', 'g')"
 _GRAMS = """SELECT {key}, g, count(*) AS n FROM (SELECT {key}, unnest(list_concat(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)), list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))) AS g FROM {table}) GROUP BY 1, 2"""
@@ -105,9 +105,8 @@ def duplicate_paper_check(spark, d):
 def duplicate_papers_by_votes(spark, d):
     """Papers of five parts each: same files, same titles within a grade, and real counts of near-equal questions of one type in one other paper."""
     parts = table(spark, d, "part", "p_partkey", "p_name", "p_type", "p_brand").withColumn("paper", F.floor(F.col("p_partkey") / 5))
-    grams = cut(sim.gram_table(parts, "p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand"), ["p_type"]))
     owners = parts.select(F.col("p_partkey").alias("question"), "paper")
-    votes = sim.paper_votes(sim.bank_duplicates(sim.near_texts(grams, grams, "p_partkey", "p_partkey", sim.DUPLICATE, same=["p_type"]), owners), owners)
+    votes = sim.paper_votes(sim.duplicates_elsewhere(parts, "p_partkey", "paper", F.concat_ws(" ", "p_name", "p_type", "p_brand"), ["p_type"]), owners)
     title = F.when(F.col("paper") % 2 == 1, F.concat(F.lit("exam of "), F.min("p_name"))).alias("title")
     papers = parts.groupBy("paper").agg(F.count(F.lit(1)).alias("items"), title, F.when(F.col("paper") % 7 == 0, F.floor(F.col("paper") / 14)).alias("h")).withColumn("grade", F.col("paper") % 3)
     return sim.duplicate_paper(papers, votes, "paper", "h", "title", ["grade"], "items")
