@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from itemloom.functions.maths import call_cost, is_peak, pick_tier
 from itemloom.functions.text import strip
+from itemloom.sources.tables import cut
 
 
 def append_on_change(history: DataFrame, key: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -160,15 +161,16 @@ def tab_prices(pages: DataFrame, cells: DataFrame, doc: str, html: str, region:
     rows = _tables_with_heads(cells, doc).withColumn("head", tidy)
     holds = lambda w: F.array_position(F.transform("head", lambda h: F.contains(h, F.lit(w))), True).cast("int")
     named = F.exists("head", lambda h: F.startswith(h, F.lit("模型名称")))
-    priced = rows.where(named & (holds("推理输入") > 0) & (holds("推理输出") > 0) & ~F.contains(F.coalesce("heading", F.lit("")), F.lit("批量")))
+    # Pages are parsed once, and joins merge: pages are far larger than the columns that they may be computed from.
+    priced = cut(rows.where(named & (holds("推理输入") > 0) & (holds("推理输出") > 0) & ~F.contains(F.coalesce("heading", F.lit("")), F.lit("批量"))))
     tables = priced.select(doc, "table_no", F.coalesce("heading", F.lit("")).alias("heading")).distinct()
     first = tables.groupBy(doc).agg(F.min_by("heading", "table_no").alias("heading"))
-    same = tables.join(first, [doc, "heading"]).withColumn("tab", F.row_number().over(Window.partitionBy(doc).orderBy("table_no")))
+    same = tables.join(first.hint("merge"), [doc, "heading"]).withColumn("tab", F.row_number().over(Window.partitionBy(doc).orderBy("table_no")))
     plain = F.regexp_replace(F.col(html), "<[^>]+>", "\n")
     after = F.when(F.col("heading") != "", F.substr(plain, F.greatest(F.position(F.col("heading"), plain), F.lit(1)), F.lit(2000)))
     labels = F.array_distinct(F.filter(F.transform(F.split(after, "\n"), strip), lambda w: w.isin(*REGIONS)))
-    wanted = pages.select(doc, html).join(first, doc).select(doc, F.greatest(F.coalesce(F.array_position(labels, region), F.lit(0)), F.lit(1)).alias("tab"))
-    chosen = priced.join(same.join(wanted, [doc, "tab"]).select(doc, "table_no"), [doc, "table_no"])
+    wanted = pages.select(doc, html).hint("merge").join(first, doc).select(doc, F.greatest(F.coalesce(F.array_position(labels, region), F.lit(0)), F.lit(1)).alias("tab"))
+    chosen = priced.join(same.join(wanted.hint("merge"), [doc, "tab"]).select(doc, "table_no").hint("merge"), [doc, "table_no"])
     cell = lambda w: F.when(holds(w) > 0, F.try_element_at("cells", F.when(holds(w) > 0, holds(w))))
     number = lambda c: F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), r"([\d.]+)", 1).try_cast("double")
     hours = F.coalesce(cell("峰谷"), F.lit(""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itemloom.plans import catalog
 from itemloom.operators.tree import SEPARATOR
 from itemloom.sources import trees
 from itemloom.sources.html_tables import grid, read_tables
@@ -42,3 +43,9 @@ def test_trees_of_csv_files(spark, tmp_path):
     empty.mkdir()
     (empty / "e.csv").write_text("\n , \n", encoding="utf-8")
     assert trees.read_csv(spark, str(empty)).count() == 0
+
+
+def test_price_pages_are_never_broadcast(spark):
+    """Pages as long as these come from columns of a few bytes, by whose size a plan would broadcast them."""
+    plan = catalog.queries()["tab_price_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
