@@ -21,12 +21,12 @@ def _share(rows: DataFrame, groups: list[str], most: int, name: str) -> DataFram
     return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*groups, F.ceil(F.col("n") / most).alias(name))
 
 
-def _met(asked: DataFrame, have: DataFrame, value: Column, same: list[str]) -> tuple[DataFrame, list[str]]:
+def _met(asked: DataFrame, have: DataFrame, value: Column, same: list[str], rows: int = ROWS, queries: int = QUERIES) -> tuple[DataFrame, list[str]]:
     """Queries and rows side by side: each row once for each part of its group's queries, each query once for each part of its group's rows."""
     a = asked.select(F.col("kq"), F.lit(None).cast(have.schema["kr"].dataType).alias("kr"), F.size("v").alias("size"), value.alias("x"), *same)
     b = have.select(F.lit(None).cast(asked.schema["kq"].dataType).alias("kq"), "kr", F.size("v").alias("size"), value.alias("x"), *same)
     groups = [*same, "size"]
-    blocks, parts = _share(b, groups, ROWS, "blocks"), _share(a, groups, QUERIES, "parts")
+    blocks, parts = _share(b, groups, rows, "blocks"), _share(a, groups, queries, "parts")
 
     def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         counted = df.join(blocks, groups, "left").join(parts, groups, "left")
@@ -100,3 +100,25 @@ def sign_neighbours(asked: DataFrame, have: DataFrame, key_a: str, key_b: str, v
     near = met.groupBy(*by).applyInPandas(run, f"{kinds}, bits int")
     rank = F.row_number().over(Window.partitionBy("kq").orderBy("bits", "kr"))
     return near.withColumn("r", rank).where(F.col("r") <= pool).select("kq", "kr")
+
+
+def compared(asked: DataFrame, have: DataFrame, key_a: str, key_b: str, vector: str, same: list[str]) -> DataFrame:
+    """(kq, kr, bits, cos): differing sign bits and cosine of every query and every usable row of equal ``same`` columns and size, its own included.
+
+    As many rows as pairs come out of any plan; a task holds a block of rows and one of queries, 2 million pairs at most.
+    """
+    met, by = _met(_usable(asked, key_a, "kq", vector, same), _usable(have, key_b, "kr", vector, same), F.col("v").cast("array<double>"), same, 4_000, 500)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        q, r = group[group["kr"].isna()], group[group["kr"].notna()]
+        if not len(q) or not len(r):
+            return pd.DataFrame({"kq": [], "kr": [], "bits": [], "cos": []})
+        mine, theirs = np.stack(q["x"].to_numpy()), np.stack(r["x"].to_numpy())
+        length = lambda v: np.sqrt((v * v).sum(axis=1))
+        a, b = (mine > 0).astype(float), (theirs > 0).astype(float)
+        bits = a.sum(axis=1)[:, None] + b.sum(axis=1) - 2 * (a @ b.T)  # whole numbers, so exact
+        cos = mine @ theirs.T / (length(mine)[:, None] * length(theirs))
+        return pd.DataFrame({"kq": np.repeat(q["kq"].to_numpy(), len(r)), "kr": np.tile(r["kr"].to_numpy(), len(q)), "bits": bits.ravel().astype(np.int32), "cos": cos.ravel()})
+
+    kinds = f"kq {met.schema['kq'].dataType.simpleString()}, kr {met.schema['kr'].dataType.simpleString()}"
+    return met.groupBy(*by).applyInPandas(run, f"{kinds}, bits int, cos double")

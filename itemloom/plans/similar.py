@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from itemloom.functions.maths import cosine, hamming, sign_bits
+from itemloom.functions.maths import cosine, hamming, sign_bits, usable_vector
 from itemloom.functions.text import estimate_tokens, normalize
 from itemloom.operators import similarity as sim
 from itemloom.operators import vectors
@@ -71,10 +71,23 @@ def hybrid_search(spark, d):
 @query("SELECT a.vec_id AS kq, b.vec_id AS kr, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: ((z[1] > 0) <> (z[2] > 0))::INT))::INT AS bits, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0")
 def quantised_hamming(spark, d):
     """Every hundredth vector's sign bits against those of all of its label."""
-    rows = table(spark, d, "embeddings").withColumn("bits", sign_bits(F.col("embedding")))
-    a = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("kq"), "label", F.col("bits").alias("ba"), F.col("embedding").alias("va"))
-    met = a.join(rows, "label")
-    return met.select("kq", F.col("vec_id").alias("kr"), hamming(F.col("ba"), F.col("bits")).cast("int").alias("bits"), F.round(cosine(F.col("va"), F.col("embedding")), 6).alias("cos"))
+    rows = table(spark, d, "embeddings", "vec_id", "label", "embedding")
+    asked = lambda df: df.where("vec_id % 100 = 0")
+    near = vectors.compared(asked(rows), rows, "vec_id", "vec_id", "embedding", ["label"])
+    # Pairs of another kind: a vector that can't be compared, or, in labels of several sizes, two sizes.
+    fine = usable_vector(F.col("embedding"))
+    mixed = rows.where(fine).groupBy("label").agg(F.count_distinct(F.size("embedding")).alias("n")).where("n > 1").select("label")
+    sized = rows.where(fine).join(mixed, "label", "left_semi")
+    odd = _side_by_side(asked(rows), rows.where(~fine)).unionByName(_side_by_side(asked(rows).where(~fine), rows.where(fine)))
+    odd = odd.unionByName(_side_by_side(asked(sized), sized, F.size("va") != F.size("vb")))
+    each = odd.select("kq", "kr", hamming(sign_bits(F.col("va")), sign_bits(F.col("vb"))).cast("int").alias("bits"), cosine(F.col("va"), F.col("vb")).alias("cos"))
+    return near.unionByName(each).withColumn("cos", F.round("cos", 6))
+
+
+def _side_by_side(asked, rows, on=None):
+    a, b = asked.select(F.col("vec_id").alias("kq"), "label", F.col("embedding").alias("va")), rows.select(F.col("vec_id").alias("kr"), "label", F.col("embedding").alias("vb"))
+    met = a.join(b, "label")
+    return met if on is None else met.where(on)
 
 
 @query(
