@@ -35,7 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near-duplicates."""
+    """Keeps the document of the smallest id of each group of near-duplicates, linked by fingerprints (op9's) and by exact similarity."""
     return drop_near_duplicates(docs)
 
 

@@ -292,9 +292,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(right, "b").join(left, "a").where(both / (F.size("s1") + F.size("s2") - both) >= similarity).select("a", "b")
 
 
-def near_roots(leaves: DataFrame, sets: DataFrame, similarity: float, space: Workspace, most: int = 16, stars: int = 8) -> DataFrame:
+def near_roots(leaves: DataFrame, sets: DataFrame, similarity: float, space: Workspace, most: int = 16, stars: int = 8, given: DataFrame | None = None) -> DataFrame:
     """(node, root) of the components of similar nodes among those (key, node, size, weight) that share a key.
 
+    Links (a, b) that are ``given`` count without a comparison, whether their nodes share a key or not.
+
     Only pairs whose nodes are in one component already are left out, which changes no component.
     The first round compares each key's node of the largest weight with the key's other nodes: with weights
     that count what a node shares, that is the text that the others are copies of.  Keys of more than one
@@ -303,18 +305,17 @@ def near_roots(leaves: DataFrame, sets: DataFrame, similarity: float, space: Wor
     Without a column weight, all weigh the same.
     """
     leaves = leaves if "weight" in leaves.columns else leaves.withColumn("weight", F.lit(0))
-    links = roots = None
+    links, roots = given, None if given is None else components(given, space, "roots--1")
     short = space.save(sketches(sets), "sketches")
     short2 = short.select(F.col("node").alias("node2"), *(F.col(w).alias(f"v{w[1:]}") for w in _WORDS))
     near = _sketches_near(similarity) & _alike("size", "size2", similarity)
     for turn in range(stars + 1):
         every = False
+        now = leaves.withColumn("root", F.col("node")) if roots is None else leaves.join(roots, "node", "left").select("key", "node", "size", "weight", F.coalesce("root", "node").alias("root"))
         if turn == 0:
-            now = leaves.withColumn("root", F.col("node"))
             if not now.limit(1).count():
                 break
         else:
-            now = leaves.join(roots, "node", "left").select("key", "node", "size", "weight", F.coalesce("root", "node").alias("root"))
             parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
             parts = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("own")).where("parts > 1")
             open_keys = space.save(parts.select("key", "n", ((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2).alias("pairs")), f"open-{turn}")
@@ -351,8 +352,9 @@ def _alike(n: str, m: str, similarity: float) -> Column:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 40, per_band: int = 6) -> DataFrame:
     """Keeps one document, that of the smallest id, of each group of near-duplicates.
 
-    Documents are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is
-    ``similarity`` or more.  Candidates share all minima of any of ``bands`` bands of ``per_band`` MinHashes of
+    Documents are linked if their SimHash fingerprints are (``near_classes``).  What fingerprints
+    don't link is linked too if the Jaccard similarity of the sets of ``shingle``-word shingles is
+    ``similarity`` or more.  Candidates for that share all minima of any of ``bands`` bands of ``per_band`` MinHashes of
     these sets, so a pair of similarity s is one with probability 1 - (1 - s**per_band)**bands, wherever the
     texts differ: 0.999995 at 0.8 for ideal hashes, more above.  Candidates are then compared exactly.
 
@@ -370,12 +372,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     leaves = space.save(leaves.drop("n"), "shared")
     space.drop("leaves")
     sets = space.save(shingle_sets(rows.join(leaves.select("uid", "node").distinct(), "uid").dropDuplicates(["node"]), shingle), "sets")
-    roots = near_roots(leaves.select("key", "node", "size", "weight"), sets, similarity, space)
+    classes = near_classes(rows, "uid", "text").select("uid", "component")
+    placed = space.save(seen.select("uid", "node").join(classes, "uid").select("node", "component").distinct(), "placed")
+    linked = placed.join(placed.groupBy("component").agg(F.min("node").alias("b")), "component").select(F.col("node").alias("a"), "b").where("a <> b")
+    roots = near_roots(leaves.select("key", "node", "size", "weight"), sets, similarity, space, given=linked)
     ids = docs.select(uid.alias("uid"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("id"))
     member = seen.select("uid", "node").join(roots, "node", "left").select("uid", F.coalesce("root", "node").alias("root"))
     chosen = ids.join(member, "uid").groupBy("root").agg(F.min(F.struct("id", "uid")).alias("best")).select("best.uid")
     chosen = space.save(chosen, "chosen")
-    space.drop("signatures", "shared", "sets", "sketches", *(f"{kind}-{turn}" for kind in ("close", "roots") for turn in range(9)))
+    space.drop("signatures", "shared", "sets", "sketches", "placed", *(f"{kind}-{turn}" for kind in ("close", "roots") for turn in range(-1, 9)))
     space.tidy()
     key = free_name(docs, "uid")
     kept = docs.withColumn(key, uid).join(chosen.withColumnRenamed("uid", key), key, "left_semi")

@@ -178,3 +178,20 @@ def test_same_words_in_another_order(spark):
 def test_hex(spark):
     row = spark.range(1).select(hex_fingerprint(F.lit(-1).cast("long")).alias("a"), hex_fingerprint(F.lit(10).cast("long")).alias("b")).first()
     assert (row.a, row.b) == ("f" * 16, "0" * 15 + "a")
+
+
+def test_texts_whose_fingerprints_link_are_near_duplicates(spark):
+    """A few words changed: fingerprints within 3 bits, though the sets of 5-word shingles are less than 0.8 alike."""
+    rng = random.Random(8)
+    words = ["w%d" % rng.randrange(5000) for _ in range(120)]
+    base = " ".join(words)
+    f, rows = fingerprint(base), []
+    for _ in range(400):
+        edited = [w + "x" if rng.random() < 0.045 else w for w in words]
+        text = " ".join(edited)
+        if 0 < (fingerprint(text) ^ f).bit_count() <= 3 and similarity(base, text) < 0.8:
+            rows.append(text)
+    assert rows
+    docs = spark.createDataFrame([(1, base), (2, rows[0]), (3, "quite another text")], "doc_id long, text string")
+    assert {r.component for r in near_classes(docs).collect()} == {1, 3}
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == [1, 3]
