@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import functions as F
+
 from itemloom.plans import catalog
 from itemloom.operators.tree import SEPARATOR
 from itemloom.sources import trees
-from itemloom.sources.html_tables import grid, read_tables
+from itemloom.sources.html_tables import _Cells, grid, parse, read_tables
 
 PAGE = """<h2>Prices</h2><table><tr><th rowspan=2>Model</th><th colspan="2">Price</th></tr><tr><th>in</th><th>out</th></tr>
 <tr><td>m1</td><td>1 <b>2</b></td><td></td></tr></table><table><tr><td>x</td></tr></table>"""
@@ -49,3 +53,23 @@ def test_price_pages_are_never_broadcast(spark):
     """Pages as long as these come from columns of a few bytes, by whose size a plan would broadcast them."""
     plan = catalog.queries()["tab_price_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_pages_are_dealt_to_all_tasks(spark):
+    """One file of few bytes is one task, however long the pages that are made of it."""
+    pages = spark.range(400).coalesce(1).select("id", F.concat(F.lit("<table><tr><td>"), F.col("id").cast("string"), F.lit("</td></tr></table>")).alias("html"))
+    rows = read_tables(pages, "id", "html").withColumn("task", F.spark_partition_id())
+    assert rows.select("task").distinct().count() >= 4
+    assert sorted((r.id, r.cells[0]) for r in rows.collect()) == [(i, str(i)) for i in range(400)]
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    rng = random.Random(1)
+    bits = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<td rowspan=2>", "<th colspan='3'>", "</th>", '<TD ROWSPAN="2" class=x>', "<br>", "<br/>", "<p>", "a", "b &amp; c", "&lt;td&gt;", "<", "x > y", "<!-- c -->", "<h2>", "</h2>", "<script>", "</script>", "<div title='a>b'>", "<td nowrap>", "</td x>", "&", "<td\n rowspan=3 >", "<td =>", " \n", "<title>"]
+    for _ in range(3000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 25)))
+        if "<table>" in page.partition("<td")[2] or "<table>" in page.partition("<th")[2]:
+            continue  # a table in an open cell is no case of this test
+        parser = _Cells()
+        parser.feed(page)
+        assert parse(page) == parser.tables
