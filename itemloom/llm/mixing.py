@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm.textops import LOWER, NOT_SPACE, Block, blocks, unique_per_doc
+from itemloom.llm.textops import LOWER, NOT_SPACE, Block, blocks, trim, unique_per_doc
 from itemloom.llm.toxicity import Ftrl, grams
 from itemloom.llm.toxicity import fit as fit_ftrl
 from itemloom.llm.workspace import Workspace, free_name
@@ -187,6 +187,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str,
     kind = texts.schema["id"].dataType.simpleString()
     sample = texts.mapInPandas(learnable, f"id {kind}, domain string, features binary, signals array<double>").toArrow().to_pandas()  # at most max_examples
     model = fit(sample.sort_values("id", kind="stable").reset_index(drop=True), p, docs.sparkSession)
+    del sample
+    trim()  # what was learnt from would stay with the driver
     shared = docs.sparkSession.sparkContext.broadcast(model)  # features x domains: a fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.textops import NOT_SPACE, Rolling, blocks, mix, unique_per_doc
+from itemloom.llm.textops import NOT_SPACE, Rolling, blocks, mix, trim, unique_per_doc
 from itemloom.llm.workspace import small_batches
 
 #: Letters and digits; everything else separates words, so that punctuation doesn't hide one.
@@ -153,8 +153,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str
     stem = p.stems[0]
     if len(p.stems) > 1:
         stem = choose_stem(*learnable(chosen.limit(p.choose_on), p.stems), p)
+        trim()
     rows, y = learnable(chosen, (stem,))
-    return replace(fit(list(rows[f"features_{stem}"]), list(y), p), stem=stem)
+    features = rows.pop(f"features_{stem}").tolist()
+    model = replace(fit(features, list(y), p), stem=stem)
+    del rows, features
+    trim()  # what was learnt from would stay with the driver
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", p: Ftrl = Ftrl()) -> DataFrame:
