@@ -91,7 +91,8 @@ def sections(books: DataFrame) -> DataFrame:
 
 def chapter_counts(points: DataFrame, catalog: DataFrame, item: str, path: str) -> DataFrame:
     """(node_id, items): questions one of whose points, or a level of its path, is in a section's knowledge."""
-    named = points.select(item, F.explode(F.split(path, SEPARATOR)).alias("k")).distinct()
+    # Each level meets the sections where it is, so that only pairs that count are shuffled, once.
+    named = points.select(item, F.explode(F.array_distinct(F.split(path, SEPARATOR))).alias("k"))
     bridge = catalog.select("node_id", F.explode("knowledge").alias("k")).distinct()
     return named.join(bridge, "k").groupBy("node_id").agg(F.count_distinct(item).alias("items"))
 

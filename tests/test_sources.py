@@ -73,3 +73,13 @@ def test_plain_pages_are_read_as_the_parser_reads_them():
         parser = _Cells()
         parser.feed(page)
         assert parse(page) == parser.tables
+
+
+def test_levels_outside_the_catalog_are_not_shuffled(spark):
+    """A path that names a level twice, an item on two paths: counted once."""
+    points = spark.createDataFrame([(1, "a / b / a"), (1, "a / c / x"), (2, "a / d / y"), (3, "q / d / z"), (3, None)], "item long, path string")
+    catalog_ = spark.createDataFrame([("n", ["a", "b", "a"]), ("m", ["d"]), ("none", ["w"])], "node_id string, knowledge array<string>")
+    out = trees.chapter_counts(points, catalog_, "item", "path")
+    assert {(r.node_id, r["items"]) for r in out.collect()} == {("n", 2), ("m", 2)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [item" not in plan  # no distinct of all levels before the sections are met
