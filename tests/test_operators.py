@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from itemloom.functions.text import normal_text, normalize
+from itemloom.operators import compose as compose_module
 from itemloom.operators import segment
 from itemloom.operators.apportion import assign_scores
 from itemloom.operators.compose import PENALTY, Blueprint, compose
@@ -152,3 +153,13 @@ def test_a_half_does_not_depend_on_the_order_of_the_weights(spark):
     base = F.when(F.col("kind") == "N", 4).when(F.col("kind") == "A", 5).otherwise(12)
     got = assign_scores(table, ["paper"], ["no"], F.col("kind"), "R", base, F.col("w"), F.lit(150)).where("kind = 'N'").select("assigned").distinct().collect()
     assert [r.assigned for r in got] == [12]
+
+
+def test_cells_are_cut_before_they_are_sorted(spark):
+    """A cell's first rows are kept in every task, which a lead over the whole cell would prevent, and a cut is seen."""
+    rows = spark.range(40).select(F.lit("g").alias("g"), F.col("id").alias("item"), F.lit("A").alias("kind"), F.lit("t").alias("path"), F.lit(0.5).alias("coef"), F.col("id").cast("string").alias("stem"))
+    kept = compose_module.candidates(rows, ["g"], "item", "kind", "path", "coef", "stem", compose_module.Blueprint({"A": 2}, 0.5, {"t": 1}, ()), 3)
+    assert "WindowGroupLimit" in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["item"], r["__cut"]) for r in kept.collect()) == [(37, True), (38, False), (39, False)]
+    few = compose_module.candidates(rows.where("item < 3"), ["g"], "item", "kind", "path", "coef", "stem", compose_module.Blueprint({"A": 2}, 0.5, {"t": 1}, ()), 3)
+    assert sorted((r["item"], r["__cut"]) for r in few.collect()) == [(0, False), (1, False), (2, False)]
