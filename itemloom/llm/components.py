@@ -28,6 +28,7 @@ def components(links: DataFrame, space: Workspace, name: str = "stars") -> DataF
         step += 1
         now = space.save(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-{step}")
         space.drop(f"{name}-{step - 1}", f"{name}-{step - 1}-large")
+        space.tidy()  # small as a step's shuffles are, they have a file or more a task
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             break

@@ -301,7 +301,8 @@ def near_roots(leaves: DataFrame, sets: DataFrame, similarity: float, space: Wor
     The first round compares each key's node of the largest weight with the key's other nodes: with weights
     that count what a node shares, that is the text that the others are copies of.  Keys of more than one
     component stay for the next round, with another node.  As soon as the pairs left after a round are at most
-    ``most`` for each row, and after ``stars`` rounds anyhow, all of them are compared, sketches first.
+    ``most`` for each row, or a round links under a hundredth of the nodes (unlike texts share the keys, and further
+    rounds would leave nearly as many pairs), and after ``stars`` rounds anyhow, all of them are compared, sketches first.
     Without a column weight, all weigh the same.
     """
     leaves = leaves if "weight" in leaves.columns else leaves.withColumn("weight", F.lit(0))
@@ -309,21 +310,25 @@ def near_roots(leaves: DataFrame, sets: DataFrame, similarity: float, space: Wor
     short = space.save(sketches(sets), "sketches")
     short2 = short.select(F.col("node").alias("node2"), *(F.col(w).alias(f"v{w[1:]}") for w in _WORDS))
     near = _sketches_near(similarity) & _alike("size", "size2", similarity)
+    few, named = False, -1
     for turn in range(stars + 1):
-        every = False
-        now = leaves.withColumn("root", F.col("node")) if roots is None else leaves.join(roots, "node", "left").select("key", "node", "size", "weight", F.coalesce("root", "node").alias("root"))
+        every = few
+        rooted = lambda: leaves.withColumn("root", F.col("node")) if roots is None else leaves.join(roots, "node", "left").select("key", "node", "size", "weight", F.coalesce("root", "node").alias("root"))
         if turn == 0:
-            if not now.limit(1).count():
+            if not leaves.limit(1).count():
                 break
-        else:
-            parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        elif not few:
+            parts = rooted().groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
             parts = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("own")).where("parts > 1")
             open_keys = space.save(parts.select("key", "n", ((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2).alias("pairs")), f"open-{turn}")
             count = open_keys.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
             if not count.n:
                 break
-            now = now.join(open_keys.select("key"), "key", "left_semi")
+            # A key without unlike roots never gets any again, so its rows are left behind for good.
+            leaves = space.save(leaves.join(open_keys.select("key"), "key", "left_semi"), f"rows-{turn}")
+            space.drop(f"open-{turn}", f"rows-{turn - 1}")
             every = turn == stars or count.pairs <= most * count.n
+        now = rooted()
         if every:
             # Sketches are compared where the pairs meet, so that unlike pairs never leave the join.
             other = now.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "size", "root"))).join(short2, "node2")
@@ -335,12 +340,16 @@ def near_roots(leaves: DataFrame, sets: DataFrame, similarity: float, space: Wor
             pairs = pairs.groupBy("node", "node2").agg(F.first("size").alias("size"), F.first("size2").alias("size2")).join(short2, "node2").join(short, "node").where(near)
         pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         close = space.save(_verified(pairs, sets, similarity), f"close-{turn}")
-        links = close if links is None else links.unionByName(close)
-        roots = components(links, space, f"roots-{turn}")
-        space.drop(f"open-{turn}", f"roots-{turn - 1}")
+        found = close.count()
+        if found:
+            links = close if links is None else links.unionByName(close)
+            roots = components(links, space, f"roots-{turn}")
+            space.drop(f"roots-{named}")
+            named = turn
         space.tidy()
         if every:
             break
+        few = turn > 0 and 100 * found < leaves.agg(F.approx_count_distinct("node").alias("n")).first().n
     return leaves.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots
 
 
@@ -380,7 +389,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     member = seen.select("uid", "node").join(roots, "node", "left").select("uid", F.coalesce("root", "node").alias("root"))
     chosen = ids.join(member, "uid").groupBy("root").agg(F.min(F.struct("id", "uid")).alias("best")).select("best.uid")
     chosen = space.save(chosen, "chosen")
-    space.drop("signatures", "shared", "sets", "sketches", "placed", *(f"{kind}-{turn}" for kind in ("close", "roots") for turn in range(-1, 9)))
+    space.drop("signatures", "shared", "sets", "sketches", "placed", *(f"{kind}-{turn}" for kind in ("close", "roots", "rows") for turn in range(-1, 9)))
     space.tidy()
     key = free_name(docs, "uid")
     kept = docs.withColumn(key, uid).join(chosen.withColumnRenamed("uid", key), key, "left_semi")

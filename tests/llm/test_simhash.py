@@ -162,6 +162,22 @@ def test_members_unlike_the_first_are_compared_with_each_other(spark):
         assert roots == {n: min(m for m in kinds if kinds[m] == k) for n, k in kinds.items()}
 
 
+def test_unlike_texts_of_one_key_take_few_rounds(spark):
+    """A common passage puts 60 unlike sets into one key, two of them alike: rounds of stars link nothing, so that all pairs follow at once."""
+    names = []
+
+    class Recorded(Workspace):
+        def save(self, df, name):
+            names.append(name)
+            return super().save(df, name)
+
+    sets = spark.createDataFrame([(n, [1000 * max(n, 2) + i for i in range(20)]) for n in range(1, 61)], "node long, set array<long>")
+    leaves = spark.createDataFrame([(k, n, 20) for n in range(1, 61) for k in (1, 2)], "key long, node long, size long")
+    roots = {r.node: r.root for r in near_roots(leaves, sets, 0.8, Recorded(spark), most=0).collect()}
+    assert roots == {1: 1, 2: 1}
+    assert sum(n.startswith("close-") for n in names) <= 3
+
+
 def test_same_words_in_another_order(spark):
     """Forty texts of one set of words; each has one near copy, and nothing else is alike."""
     rng = random.Random(6)
