@@ -16,6 +16,7 @@ their tokens are carried into the next block.  Only a partition's last window ca
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections import deque
@@ -47,72 +48,91 @@ class Packing:
     cache: int = 120_000
 
 
-class Encoder:
+#: Composed letters that lower-casing leaves as they are.
+_SMALL_LATIN1 = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Marks that the tokenizer keeps together behind a word: all of ASCII but the apostrophe, which may begin an ending.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class Encoder(dict):
     """Ids of texts as little-endian uint32 bytes; encodings of strings between white space are kept.
 
     The tokenizer drops white space and never joins what stands on its two sides, so the ids of
-    a text are those of its pieces; at most ``cache`` pieces are kept at a time.  A piece of Latin
-    letters, with or without closing punctuation, is one or two units for the tokenizer's BPE model, which is
+    a text are those of its pieces; at most ``cache`` pieces are kept, those of the last misses, in two halves:
+    a full half takes the older one's place, and what is found there moves to the new one.  A piece of Latin
+    letters, with or without closing marks, is one or two units for the tokenizer's BPE model, which is
     asked directly; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str, cache: int):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
-        self.known: dict[bytes, bytes] = {}
+        self.tokenizer, self.half = Tokenizer.from_file(path), cache // 2
+        self.tokenize = self.tokenizer.model.tokenize
+        self.older: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
-        ending = lambda marks: np.array(sorted(i for t, i in vocabulary.items() if (w := t.removesuffix("</w>")) and t != w and set(w) <= set(marks)), np.uint32)
-        self.sentence_ends, self.clause_ends = ending(".!?"), ending(",;:")
+        ending = lambda marks: [i for t, i in vocabulary.items() if (w := t.removesuffix("</w>")) and t != w and set(w) <= set(marks)]
+        #: By id: 1 for a token that ends a sentence, 2 for one that ends a clause.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, np.int8)
+        self.ends[ending(".!?")], self.ends[ending(",;:")] = 1, 2
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.ends))]
         # How the tokenizer's byte level writes each byte: printable Latin-1 as itself, the rest from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
-        self.written = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-    def _word(self, word: str) -> bytes | None:
-        """Ids of a word of composed Latin letters; None for any other."""
-        if not word.isalpha() or max(word) >= "\u0250" or "\u0130" in word or not unicodedata.is_normalized("NFC", word):
+        self.written = {b: 256 + k for k, b in enumerate(rest)}
+        self.marks: dict[bytes, bytes] = {}
+
+    def _letters(self, word: bytes) -> str | None:
+        """A word of composed Latin letters beyond ASCII, as the byte level writes it; None for any other."""
+        try:
+            text = word.decode()
+        except UnicodeDecodeError:
             return None
-        text = word.lower()
-        if not text.isascii():
-            text = "".join([self.written[b] for b in text.encode()])
-        return np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
+        if not _SMALL_LATIN1.fullmatch(text):
+            if not text.isalpha() or max(text) >= "\u0250" or "\u0130" in text or not unicodedata.is_normalized("NFC", text):
+                return None
+            text = text.lower()
+        return text.encode().decode("latin-1").translate(self.written)
 
-    def _whole(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, piece: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: bytes) -> bytes:
-        known = self.known
-        base = piece.rstrip(b".,;:!?")
-        if (ids := known.get(base) if base else None) is None:
-            try:
-                ids = self._word(base.decode()) if base else None
-            except UnicodeDecodeError:
-                ids = None
-            if ids is None:
-                return self._whole(piece.decode("utf-8", "replace"))
-            known[base] = ids
-        elif piece != base and not base.decode().isalpha():
-            return self._whole(piece.decode("utf-8", "replace"))
-        if piece == base:
+        base = piece.rstrip(_MARKS)
+        if (text := base.decode("ascii").lower() if base.isalpha() else self._letters(base) if base else None) is None:
+            return self._whole(piece)
+        packed = self.packed
+        ids = b"".join([packed[t.id] for t in self.tokenize(text)])
+        if len(base) == len(piece):
             return ids
         marks = piece[len(base) :]
-        if marks not in known:
-            known[marks] = self._whole(marks.decode())
-        return ids + known[marks]
+        if (more := self.marks.get(marks)) is None:
+            more = self._whole(marks)
+            if len(self.marks) < 1000:
+                self.marks[marks] = more
+        return ids + more
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if (ids := self.older.get(piece)) is None:
+            ids = self._piece(piece)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+    def forget(self) -> None:
+        self.clear()
+        self.older, self.marks = {}, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known, out = self.known, []
+        out, ids = [], self.__getitem__
         for text in texts:
             raw = text.encode("utf-8", "replace")
             # Folding A-Z first might spell a special token, whose marks are the only ones that matter.
-            pieces = (raw if b"<|" in raw else raw.lower()).split()
-            for piece in set(pieces).difference(known):
-                known[piece] = self._piece(piece)
-            out.append(b"".join([known[piece] for piece in pieces]))
-            if len(known) > self.cache:
-                known.clear()
+            out.append(b"".join(map(ids, (raw if b"<|" in raw else raw.lower()).split())))
         return out
 
 
@@ -123,19 +143,16 @@ def _encoder(path: str, cache: int) -> Encoder:
 
 def cut_places(ids: np.ndarray, document_ends: np.ndarray, encode: Encoder, p: Packing) -> tuple[np.ndarray, np.ndarray]:
     """Places (tokens before them) where a cut may be, first 0 and last the end, and their penalties."""
-    sentences, clauses = (np.flatnonzero(np.isin(ids, e)) + 1 for e in (encode.sentence_ends, encode.clause_ends))
-    places = np.unique(np.concatenate(([0], sentences, clauses, document_ends)))
-    gaps = np.diff(places)
-    long = np.flatnonzero(gaps > p.window)
-    forced = [np.arange(places[i] + p.window // 8, places[i + 1], p.window // 8) for i in long]
-    free = np.unique(np.concatenate(([0], document_ends)))
-    hard = np.concatenate(forced) if forced else np.zeros(0, np.int64)
-    every = np.unique(np.concatenate((places, hard)))
-    penalty = np.full(len(every), p.sentence_penalty)
-    penalty[np.isin(every, clauses)] = p.clause_penalty
-    penalty[np.isin(every, hard)] = p.forced_penalty
-    penalty[np.isin(every, free)] = 0.0
-    return every, penalty
+    ends = encode.ends[ids]
+    penalty = np.full(len(ids) + 1, np.inf)
+    penalty[np.flatnonzero(ends == 1) + 1] = p.sentence_penalty
+    penalty[np.flatnonzero(ends == 2) + 1] = p.clause_penalty
+    penalty[0] = penalty[document_ends] = 0.0
+    places = np.flatnonzero(penalty < np.inf)
+    for i in np.flatnonzero(np.diff(places) > p.window):
+        penalty[places[i] + p.window // 8 : places[i + 1] : p.window // 8] = p.forced_penalty
+    every = np.flatnonzero(penalty < np.inf)
+    return every, penalty[every]
 
 
 def best_cuts(places: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
@@ -210,7 +227,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: Packing
             yield windows(False)
         if held:
             yield windows(True)
-        encode.known.clear()  # the worker stays for other stages
+        encode.forget()  # the worker stays for other stages
         trim()
 
     return docs.select(F.col(id_col), F.col(text)).mapInPandas(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from itemloom.llm.ivfpq import IvfPq, search
 from itemloom.llm.mixing import Mixing, _rates, label_domain, mix, resample
-from itemloom.llm.packing import best_cuts, pack
+from itemloom.llm.packing import Encoder, Packing, best_cuts, pack
 from itemloom.llm.queries import op3_packing, op7_mixing, op8_nearest
 
 FOLDER = "/root/testdata/sf0.001"
@@ -220,3 +220,18 @@ def test_nearest_of_tight_clusters_is_exact(spark):
         score[q] = -2
         hits += sum(a == b for a, b in zip(np.argsort(-score)[:5], got[q]))
     assert hits == 600
+
+
+def test_words_with_marks_are_asked_of_the_model_alone():
+    """Runs of marks behind a word go through the whole tokenizer once, whatever the words; few pieces are kept, and no id differs."""
+    p = Packing()
+    encode, whole = Encoder(p.tokenizer, 8), []
+    ids = lambda text: np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    inner = encode._whole
+    encode._whole = lambda piece: whole.append(piece) or inner(piece)
+    text = " ".join(f"{w}{m}" for w in ("one", "two", "na\u00efve", "\u00c9t\u00e9", "THREE") for m in ("%%%", ".&&&", "", "#*#")) + "\n\tone two one"
+    assert encode([text, text]) == [ids(text)] * 2
+    assert sorted(whole) == [b"#*#", b"%%%", b".&&&"]
+    odd = ["word'! don't x's a.b it's", "<|end|> a<|b|>", "\u0130stanbul e\u0301. x\u0338 \ufb01t", "\x1c a\x1cb 12ab3 -a- ]][", ""]
+    assert encode(odd) == [ids(x) for x in odd]
+    assert len(encode) <= 4 and len(encode.older) <= 4
