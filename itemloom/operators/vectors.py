@@ -21,21 +21,29 @@ def _share(rows: DataFrame, groups: list[str], most: int, name: str) -> DataFram
     return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*groups, F.ceil(F.col("n") / most).alias(name))
 
 
-def _met(asked: DataFrame, have: DataFrame, value: Column, same: list[str], rows: int = ROWS, queries: int = QUERIES) -> tuple[DataFrame, list[str]]:
-    """Queries and rows side by side: each row once for each part of its group's queries, each query once for each part of its group's rows."""
-    a = asked.select(F.col("kq"), F.lit(None).cast(have.schema["kr"].dataType).alias("kr"), F.size("v").alias("size"), value.alias("x"), *same)
-    b = have.select(F.lit(None).cast(asked.schema["kq"].dataType).alias("kq"), "kr", F.size("v").alias("size"), value.alias("x"), *same)
+def in_blocks(asked: DataFrame, have: DataFrame, value: Column, same: list[str], rows: int = ROWS, queries: int = QUERIES) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Queries (kq, v) and rows (kr, v) with the columns by which they meet, ``value`` as "x" instead of "v".
+
+    Each row comes once for each part of its group's queries, each query once for each part of its group's rows, so that every pair meets once.
+    """
+    a, b = (df.withColumns({"size": F.size("v"), "x": value}).drop("v") for df in (asked, have))
     groups = [*same, "size"]
     blocks, parts = _share(b, groups, rows, "blocks"), _share(a, groups, queries, "parts")
 
     def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         counted = df.join(blocks, groups, "left").join(parts, groups, "left")
         mine, theirs = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
-        return counted.withColumn(f"{own}_at", F.pmod(F.xxhash64(key), mine)).withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0).cast("long"), theirs.cast("long") - 1)))
+        each = counted.withColumn(f"{own}_at", F.pmod(F.xxhash64(key), mine)).withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0).cast("long"), theirs.cast("long") - 1)))
+        return each.drop("blocks", "parts")
 
-    columns = ["kq", "kr", "x", *groups, "blocks_at", "parts_at"]
-    both = dealt(a, "kq", "parts", "blocks").select(*columns).unionByName(dealt(b, "kr", "blocks", "parts").select(*columns))
-    return both, [*groups, "blocks_at", "parts_at"]
+    return dealt(a, "kq", "parts", "blocks"), dealt(b, "kr", "blocks", "parts"), [*groups, "blocks_at", "parts_at"]
+
+
+def _met(asked: DataFrame, have: DataFrame, value: Column, same: list[str], rows: int = ROWS, queries: int = QUERIES) -> tuple[DataFrame, list[str]]:
+    """Queries and rows side by side in one table, a query without "kr" and a row without "kq"."""
+    a, b, by = in_blocks(asked, have, value, same, rows, queries)
+    a, b = a.withColumn("kr", F.lit(None).cast(have.schema["kr"].dataType)), b.withColumn("kq", F.lit(None).cast(asked.schema["kq"].dataType))
+    return a.unionByName(b), by
 
 
 def _usable(rows: DataFrame, key: str, name: str, vector: str, same: list[str]) -> DataFrame:
@@ -76,7 +84,8 @@ def nearest(asked: DataFrame, have: DataFrame, key_a: str, key_b: str, vector: s
 def sign_neighbours(asked: DataFrame, have: DataFrame, key_a: str, key_b: str, vector: str, same: list[str], pool: int = 200) -> DataFrame:
     """(kq, kr): each query's ``pool`` rows of fewest differing sign bits, ties to the smaller key.
 
-    Only the signs are shuffled and compared, a bit for each component; the exact comparison is the caller's.
+    Only the signs are shuffled and compared, a bit for each component; the exact comparison is the caller's.  A row behind the
+    ``pool`` first can be nearer than all of them, so that no query that wants all rows goes by it.
     """
     met, by = _met(_usable(asked, key_a, "kq", vector, same), _usable(have, key_b, "kr", vector, same), sign_bits(F.col("v")), same)
 
