@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from itemloom.functions.text import COMPACT_ANSWERS, NUMBERED_ANSWER, answer_parts, blank_to_null, compact_answers, concluded, join_lines, numbered_parts, once, strip, table_answers
 from itemloom.operators.segment import QUESTION
+from itemloom.sources.tables import cut
 
 
 def answer_area(units: DataFrame, marks: DataFrame, paper: str = "paper", seq: str = "seq", text: str = "text") -> DataFrame:
@@ -63,7 +64,7 @@ def distribute(found: DataFrame, paper: str = "paper") -> DataFrame:
     fold over the steps of the papers that have any.
     """
     q = F.row_number().over(Window.partitionBy(paper).orderBy("question")) - 1
-    rows = found.withColumn("__q", q)
+    rows = cut(found.withColumn("__q", q))  # read three times
     marked = F.coalesce(F.col("answer").rlike(NUMBERED_ANSWER), F.lit(False)) | F.coalesce(F.col("analysis").rlike(NUMBERED_ANSWER), F.lit(False))
     papers = rows.where(marked).select(paper).distinct()
     steps = F.concat(_foreign(F.coalesce("answer", F.lit("")), F.col("printed"), F.col("__q"), 0), _foreign(F.coalesce("analysis", F.lit("")), F.col("printed"), F.col("__q"), 1))
